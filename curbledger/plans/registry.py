@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curbledger.plans import monthly
+from curbledger.plans import monthly, reports
 from curbledger.plans.catalog import Query
 
-REGISTRY: dict[str, Query] = {**monthly.QUERIES}
+REGISTRY: dict[str, Query] = {**monthly.QUERIES, **reports.QUERIES}
