@@ -38,6 +38,13 @@ def _carried(blocks: DataFrame, group: Sequence[str], value: Column, name: str)
     )
 
 
+def _joined(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on the keys, NULL matching NULL."""
+    other = carried.select(*[F.col(k).alias(f"_on_{k}") for k in keys], "_carried")
+    on = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return rows.join(other, on, "left").drop(*[f"_on_{k}" for k in keys])
+
+
 def running_sum(
     df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str
 ) -> DataFrame:
@@ -49,7 +56,7 @@ def running_sum(
     )
     local = blocks.withColumn("_local", F.sum(value).over(inside))
     carried = _carried(blocks, group, F.sum(value), "_carried")
-    out = local.join(carried, [*group, BLOCK], "left")
+    out = _joined(local, carried, [*group, BLOCK])
     kind = df.schema[value].dataType
     return out.withColumn(
         name, (F.col("_local") + F.coalesce(F.col("_carried"), F.lit(0).cast(kind)))
@@ -65,7 +72,7 @@ def row_number(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
         "_local", F.row_number().over(Window.partitionBy(BLOCK, *keys).orderBy(*order))
     )
     carried = _carried(blocks, keys, F.count(F.lit(1)), "_carried")
-    out = local.join(carried, [*keys, BLOCK], "left").withColumn(
+    out = _joined(local, carried, [*keys, BLOCK]).withColumn(
         name, F.col("_local") + F.coalesce(F.col("_carried"), F.lit(0))
     )
     return out.drop("_local", "_carried", BLOCK, "_all")
@@ -85,5 +92,5 @@ def with_next(df: DataFrame, group: Sequence[str], order: str, name: str) -> Dat
         .filter(F.col("_carried").isNotNull())
         .select(*group, BLOCK, "_carried")
     )
-    out = local.join(crossing, [*group, BLOCK], "left")
+    out = _joined(local, crossing, [*group, BLOCK])
     return out.withColumn(name, F.coalesce("_local", "_carried")).drop("_local", "_carried", BLOCK)

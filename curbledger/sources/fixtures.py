@@ -114,7 +114,7 @@ SELECT concat('p', c_custkey, ' ') AS car_number, concat('Ａ', c_custkey % 4) A
   CASE c_custkey % 3 WHEN 0 THEN 'TK' WHEN 1 THEN 'KY ' ELSE 'PF' END AS company_code,
   CASE c_custkey % 3 WHEN 0 THEN '１' WHEN 1 THEN '2' ELSE '3' END AS car_type,
   CASE WHEN c_custkey % 9 = 1 THEN NULL ELSE DATE '1997-01-01' + CAST(c_custkey % 300 AS INT) END AS start_date,
-  CASE WHEN c_custkey % 2 = 0 THEN DATE '1998-01-01' + CAST(c_custkey % 100 AS INT) END AS change_date,
+  CASE WHEN c_custkey % 2 = 0 THEN DATE '1998-01-01' + CAST(c_custkey % 100 AS INT) END AS change_item_date,
   DATE '1998-03-01' + CAST(c_custkey % 60 AS INT) AS update_date,
   concat('U', c_custkey % 7) AS user_id,
   CASE c_custkey % 4 WHEN 0 THEN '新 ' WHEN 1 THEN '工' WHEN 2 THEN '優' END AS customer_source,
@@ -131,9 +131,9 @@ SELECT CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE concat('P', o_custkey) END AS
   CASE o_orderkey % 3 WHEN 0 THEN 'TK' WHEN 1 THEN 'KY ' ELSE 'PF' END AS company_code,
   CASE WHEN o_orderkey % 40 = 0 THEN 'X' WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS plan_code,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1 + o_orderkey % 3 END AS car_type,
-  CAST(o_orderdate AS DATE) AS change_from_date,
+  CAST(o_orderdate AS DATE) AS change_fm_date,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(-30 AS INT) END AS start_date,
-  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(5 AS INT) END AS change_date,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(5 AS INT) END AS change_item_date,
   CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INT) AS update_date,
   concat('U', o_orderkey % 13) AS user_id,
   CASE o_orderkey % 5 WHEN 0 THEN '新' WHEN 1 THEN ' 工' WHEN 2 THEN '優' WHEN 3 THEN NULL ELSE '?' END AS customer_source,
@@ -148,21 +148,21 @@ FROM orders""",
 SELECT concat('P', o_custkey) AS car_number,
   CASE o_orderkey % 3 WHEN 0 THEN 'TK' WHEN 1 THEN 'KY ' ELSE 'PF' END AS company_code,
   year(o_orderdate) AS pay_year, month(o_orderdate) AS pay_month,
-  CAST(l_shipdate AS DATE) AS pay_date, CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INT) AS update_date,
+  CAST(l_shipdate AS DATE) AS pay_date, CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INT) AS pay_update_date,
   CASE l_linenumber % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'Z' END AS pay_type,
   CASE WHEN l_linenumber % 2 = 0 THEN concat('chq', l_partkey % 40) END AS pay_type_detail,
-  CASE WHEN l_linenumber = 3 THEN NULL ELSE concat('U', l_suppkey % 5) END AS user_id,
-  CAST(l_quantity * 10 AS DECIMAL(15,2)) AS amount,
-  CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_quantity * (l_linenumber % 3) AS DECIMAL(15,2)) END AS rec_amount,
-  CAST(CASE WHEN l_linenumber % 4 = 0 THEN l_quantity ELSE 0 END AS DECIMAL(15,2)) AS discount,
+  CASE WHEN l_linenumber = 3 THEN NULL ELSE concat('U', l_suppkey % 5) END AS pay_user_id,
+  CAST(l_quantity * 10 AS DECIMAL(15,2)) AS pay_amount,
+  CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_quantity * (l_linenumber % 3) AS DECIMAL(15,2)) END AS pay_rec_amount,
+  CAST(CASE WHEN l_linenumber % 4 = 0 THEN l_quantity ELSE 0 END AS DECIMAL(15,2)) AS pay_discount,
   CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE o_orderkey % 100 END AS pay_no,
-  CASE WHEN l_linenumber = 1 THEN l_returnflag END AS remark
+  CASE WHEN l_linenumber = 1 THEN l_returnflag END AS pay_remark
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "legacy_house": """
 SELECT CASE WHEN c_custkey % 50 = 7 THEN '999' WHEN c_custkey % 10 = 1 THEN concat('1', lpad(CAST(c_custkey % 90 AS VARCHAR(9)), 2, '0'))
     ELSE concat(substr('DHMN', CAST(1 + c_custkey % 4 AS INT), 1), lpad(CAST(c_custkey % 60 AS VARCHAR(9)), 2, '0')) END AS house_code,
   substr('DHMN', CAST(1 + c_custkey % 4 AS INT), 1) AS location_code,
-  CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_name END AS house_name_zh, c_mktsegment AS house_name_en,
+  CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_name END AS house_name_chn, c_mktsegment AS house_name_eng,
   CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE concat(' T', c_custkey % 9, ' ') END AS car_team
 FROM customer WHERE c_custkey % 3 = 1""",
     "legacy_plan": """
@@ -172,8 +172,8 @@ SELECT CASE p_partkey % 12 WHEN 0 THEN '' WHEN 1 THEN '999' WHEN 2 THEN concat('
   substr('ABCDX', CAST(1 + p_partkey % 5 AS INT), 1) AS plan_code,
   CAST(1 + p_partkey % 4 AS VARCHAR(9)) AS car_type,
   CAST(p_retailprice AS DECIMAL(15,2)) AS service_price,
-  CAST(CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 100 + p_size END AS DECIMAL(15,2)) AS worker_price,
-  DATE '1996-01-01' + CAST(p_size AS INT) AS update_date, concat('U', p_size % 4) AS user_id,
+  CAST(CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 100 + p_size END AS DECIMAL(15,2)) AS worker_service_price,
+  DATE '1996-01-01' + CAST(p_size AS INT) AS updatedate, concat('U', p_size % 4) AS user_id,
   CASE WHEN p_partkey % 11 = 0 THEN '99' ELSE '00' END AS status_code
 FROM part""",
     "legacy_worker": """
@@ -181,13 +181,13 @@ SELECT CASE WHEN s_suppkey % 9 = 8 THEN '' ELSE concat('W', s_suppkey) END AS wo
   CASE WHEN s_suppkey % 5 = 0 THEN '99' ELSE '00' END AS status_code,
   CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE DATE '1997-05-01' + CAST(s_suppkey % 90 AS INT) END AS update_date,
   CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 'U1' END AS user_id, concat('dept', s_nationkey) AS worker_dept,
-  CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS work_type,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS type,
   CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('Tel ', 91230000 + s_suppkey, '/', 61230000 + s_suppkey)
     WHEN 2 THEN concat(51230000 + s_suppkey, ' ', 51230000 + s_suppkey, ' x ', 41230000 + s_suppkey) ELSE 'no number' END AS phone
 FROM supplier""",
     "legacy_staff": """
-SELECT s_name AS user_id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('staff ', s_suppkey) END AS user_name,
-  s_suppkey % 5 AS authorization_code, CASE WHEN s_suppkey % 4 = 0 THEN '99' ELSE '00' END AS status_code
+SELECT s_name AS userid, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('staff ', s_suppkey) END AS user_name,
+  s_suppkey % 5 AS authorization, CASE WHEN s_suppkey % 4 = 0 THEN '99' ELSE '00' END AS status_code
 FROM supplier""",
 }
 
