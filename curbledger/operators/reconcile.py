@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbledger.operators.billing import BILL_KEY
+from curbledger.session import durable
 
 DIFF_COLUMNS = [
     "st", "paid", "company", "ix_yrmo", "uid", "cd_license",
@@ -43,9 +44,10 @@ def stored_bills(bill: DataFrame, bill_archive: DataFrame) -> DataFrame:
 def diff_bills(stored: DataFrame, computed: DataFrame) -> DataFrame:
     """Differences between stored bills and computed ones of the same months and payers.
 
-    Computed bills are unique per key, so neither join can multiply rows.  The
-    left join covers removed and changed bills, the anti join new ones; both hash
-    the computed side on the same key.
+    Computed bills are unique per key, so neither join can multiply rows, and the rows
+    of a hot key stay on the side that a skew join may split.  The left join covers
+    removed and changed bills, the anti join new ones; both read `computed`, so pass it
+    durable.
     """
     f = computed.select(
         *BILL_KEY, F.col("amount").alias("f_amount"), F.col("bill_start").alias("f_start"),
@@ -78,7 +80,7 @@ def bill_diff(
     stored = stored_bills(bill, bill_archive).filter(F.col("ix_yrmo") == ix_yrmo)
     if uid is not None:
         stored = stored.filter(F.col("uid") == uid)
-    return diff_bills(stored, computed)
+    return diff_bills(stored, durable(computed))
 
 
 def diff_case() -> Column:

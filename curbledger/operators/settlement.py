@@ -21,7 +21,8 @@ from curbledger.operators.reconcile import MONEY, aligned, apply_archive, apply_
 from curbledger.session import durable
 
 NO_BILL = "*BALANCE(CR)*"  # fixed value: license text of a payment that settled no bill
-MAX_ROUNDS = 200
+FIRST_MONTHS, MOST_MONTHS = 12, 96
+BROADCAST_ROWS = 100_000  # rows of four small columns: a few megabytes
 
 
 class Settlement(NamedTuple):
@@ -120,51 +121,46 @@ def forward_billing(
     bill_archive: DataFrame,
     services: DataFrame,
     customer: DataFrame,
-    months_per_round: int = 12,
+    first_months: int = FIRST_MONTHS,
 ) -> DataFrame:
     """Months to reconcile per payer before settling: uid, ix_yrmo.
 
-    `requests` has uid, cd_license, qualified, start_ix.  Each round bills the next
-    `months_per_round` months of every payer whose money is not used up; the rounds
-    go on until no payer is left, so no payer is cut off.
+    `requests` has uid, cd_license, qualified, start_ix.  The first round bills
+    `first_months` months; each later one twice as many, for the payers whose money is
+    not used up.  Rounds go on until no payer is left, so no payer is cut off.
     """
-    h = months_per_round
-    state = requests.filter(F.col("start_ix").isNotNull()).select(
-        "uid", F.col("cd_license").alias("only"), F.col("qualified").cast("int").alias("fund"),
-        first_of(F.col("start_ix")).alias("month"),
-    ).filter(F.col("fund") > 0)
-    state = durable(state)
-    visited: list[DataFrame] = []
+    state = durable(
+        requests.filter(F.col("start_ix").isNotNull()).select(
+            "uid", F.col("cd_license").alias("only"), F.col("qualified").cast("int").alias("fund"),
+            first_of(F.col("start_ix")).alias("month"),
+        ).filter(F.col("fund") > 0)
+    )
     payers = customer.select("id", "is_mobill")
-    for _ in range(MAX_ROUNDS):
-        if state.isEmpty():
-            break
-        nets = _round_nets(state, bill, bill_archive, services, payers, h)
-        played = state.join(nets, "uid", "left").withColumn(
-            "nets",
-            F.transform(
-                F.sequence(F.lit(0), F.lit(h - 1)),
-                lambda i: F.coalesce(
-                    F.try_element_at(
-                        F.col("by_month"), yrmo(F.add_months(F.col("month"), i))
-                    ),
-                    F.lit(0),
-                ).cast("decimal(25,2)"),
-            ),
-        ).withColumn("end", _spend(F.col("nets"), F.col("fund")))
-        played = durable(played.select("uid", "only", "month", "end"))
+    visited = [state.select("uid", F.lit(0).alias("ix_yrmo")).filter(F.lit(False))]
+    h = first_months
+    while (left := state.count()) > 0:
+        near = F.broadcast(state) if left <= BROADCAST_ROWS else state
+        nets = _round_nets(near, bill, bill_archive, services, payers, h)
+        by_order = F.transform(
+            F.sequence(F.lit(0), F.lit(h - 1)),
+            lambda i: F.coalesce(
+                F.try_element_at(F.col("by_month"), yrmo(F.add_months(F.col("month"), i))), F.lit(0)
+            ).cast("decimal(25,2)"),
+        )
+        played = durable(
+            state.join(nets, "uid", "left")
+            .select("uid", "only", "month", _spend(by_order, F.col("fund")).alias("end"))
+        )
+        steps = F.explode(F.sequence(F.lit(0), F.col("end.months") - 1))
         visited.append(
-            played.filter(F.col("end.months") > 0).select(
-                "uid", F.explode(F.sequence(F.lit(0), F.col("end.months") - 1)).alias("_i"), "month"
-            ).select("uid", yrmo(F.add_months("month", F.col("_i"))).alias("ix_yrmo"))
+            played.filter(F.col("end.months") > 0).select("uid", "month", steps.alias("_i"))
+            .select("uid", yrmo(F.add_months("month", F.col("_i"))).alias("ix_yrmo"))
+        )
+        more = (F.col("end.months") == h) & (F.col("end.fund") > 0) & (F.col("end.net") != 0)
+        state = played.filter(more).select(
+            "uid", "only", F.col("end.fund").alias("fund"), F.add_months("month", h).alias("month")
         )
-        state = played.filter(
-            (F.col("end.months") == h) & (F.col("end.fund") > 0) & (F.col("end.net") != 0)
-        ).select("uid", "only", F.col("end.fund").alias("fund"), F.add_months("month", h).alias("month"))
-    else:
-        raise RuntimeError(f"money not used up after {MAX_ROUNDS * h} months")
-    if not visited:
-        return state.select("uid", F.lit(0).alias("ix_yrmo")).limit(0)
+        h = min(2 * h, MOST_MONTHS)
     return reduce(DataFrame.unionByName, visited)
 
 
@@ -175,7 +171,7 @@ def _round_nets(
     span = state.select("uid", "only", F.col("month").alias("low"), F.add_months("month", h - 1).alias("high"))
     own = services.join(span.withColumnRenamed("uid", "owner_id"), "owner_id")
     months = service_months(own, F.col("low"), F.col("high"))
-    computed = with_due_date(bill_totals(months), payers)
+    computed = durable(with_due_date(bill_totals(months), payers))
     window = span.select("uid", yrmo(F.col("low")).alias("_from"), yrmo(F.col("high")).alias("_to"))
     stored = (
         stored_bills(bill, bill_archive).join(window, "uid")
@@ -209,7 +205,7 @@ def reconcile_months(
         first_of(F.min("ix_yrmo")).alias("low"), first_of(F.max("ix_yrmo")).alias("high")
     )
     months = service_months(services.join(spans, "owner_id"), F.col("low"), F.col("high"))
-    computed = with_due_date(bill_totals(months), customer.select("id", "is_mobill"))
+    computed = durable(with_due_date(bill_totals(months), customer.select("id", "is_mobill")))
     stored = stored_bills(bill, bill_archive).join(visited, ["uid", "ix_yrmo"], "left_semi")
     diff = durable(diff_bills(stored, computed))
     return apply_bills(bill, diff, batch_dtm), apply_archive(bill_archive, diff)
@@ -299,7 +295,7 @@ def settle(
     services: DataFrame,
     account: DataFrame,
     now: dt.datetime,
-    months_per_round: int = 12,
+    first_months: int = FIRST_MONTHS,
 ) -> Settlement:
     """One wave of payments: tables afterwards, the payment records, and the paid bills.
 
@@ -309,7 +305,7 @@ def settle(
     asked = qualify(requests, customer)
     starts = start_month(month_probes(requests, bill, bill_archive, services))
     asked = durable(asked.join(starts, "uid", "left"))
-    visited = durable(forward_billing(asked, bill, bill_archive, services, customer, months_per_round))
+    visited = durable(forward_billing(asked, bill, bill_archive, services, customer, first_months))
     open_bills, archived = reconcile_months(visited, bill, bill_archive, services, customer, now)
     paid = durable(affordable(open_bills, asked))
     sequence = next_sequence(payment, ix)

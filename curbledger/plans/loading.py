@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curbledger.operators import identity, legacy, quality
 from curbledger.plans.catalog import Query, Tables
+from curbledger.session import durable
 from curbledger.sources import seed
 
 CONTACT_VIEWS = ("legacy_car", "legacy_change")
@@ -40,16 +41,16 @@ class Loaded:
 
     @cached_property
     def contacts(self) -> DataFrame:
-        return legacy.without_blank(legacy.split_contacts(self.candidates))
+        return durable(legacy.without_blank(legacy.split_contacts(self.candidates)))
 
     @cached_property
     def logins(self) -> DataFrame:
         owners, _ = identity.link_owners(identity.link_rows(self.contacts))
-        return identity.login_names(identity.customer_groups(self.contacts, owners))
+        return durable(identity.login_names(identity.customer_groups(self.contacts, owners)))
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return legacy.with_ids(legacy.customer_accounts(self.logins, self.cars, self.changes), ACCOUNT_OFFSET)
+        return durable(legacy.with_ids(legacy.customer_accounts(self.logins, self.cars, self.changes), ACCOUNT_OFFSET))
 
     @cached_property
     def owned(self) -> DataFrame:
@@ -380,7 +381,7 @@ result AS (SELECT major AS root, reach FROM ranks WHERE major NOT IN (SELECT min
     ),
     "customer_rows": Query(
         "id:long last_reunion:date balance:money is_mobill:bool is_print_bill:bool is_rtn_envelope:bool mod_dtm:date mod_by:text",
-        lambda t: legacy.customer_rows(Loaded(t).accounts, Loaded(t).owned, Loaded(t).cars), CONTACT_VIEWS,
+        lambda t: (lambda load: legacy.customer_rows(load.accounts, load.owned, load.cars))(Loaded(t)), CONTACT_VIEWS,
         ACCOUNT_SQL + """,
 flagged AS (
   SELECT uid, month_end_yn, reminder_yn, transfer_yn, row_number() OVER (PARTITION BY uid ORDER BY coalesce(change_item_date, start_date) DESC NULLS LAST,

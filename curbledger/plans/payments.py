@@ -11,7 +11,6 @@ from curbledger.operators import settlement
 from curbledger.plans.catalog import Query, Tables
 from curbledger.plans.monthly import IX, NOW, STORED
 
-MONTHS_PER_ROUND = 48
 SQL_HORIZON = 160  # months the SQL prepares; the money of every payer is used up before
 
 VIEWS = (
@@ -124,7 +123,7 @@ class Settled:
     def visited(self) -> DataFrame:
         t = self.t
         return settlement.forward_billing(
-            self.asked, t.bill, t.bill_archive, t.vehicle_service, t.billing_customer, MONTHS_PER_ROUND
+            self.asked, t.bill, t.bill_archive, t.vehicle_service, t.billing_customer
         )
 
     @cached_property
@@ -132,7 +131,7 @@ class Settled:
         t = self.t
         return settlement.settle(
             t.payment_request, t.bill, t.bill_archive, t.payment, t.billing_customer, t.vehicle_service, t.account,
-            NOW, MONTHS_PER_ROUND,
+            NOW,
         )
 
 

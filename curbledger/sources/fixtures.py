@@ -8,10 +8,12 @@ a CTE, preceded by the views it needs.
 from __future__ import annotations
 
 import re
-from pathlib import PurePosixPath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curbledger.session import ensure_checkpoint_dir
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -223,14 +225,58 @@ def duckdb_ctes(*names: str) -> str:
     return _ctes(list(names), r"unnest([\1])")
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(str(PurePosixPath(sf_dir) / f"{name}.parquet")) for name in BASE_TABLES}
+def _inputs(body: str) -> list[str]:
+    return [name for name in (*BASE_TABLES, *VIEWS) if re.search(rf"\b(FROM|JOIN) {name}\b", body)]
+
+
+class DomainTables:
+    """Domain tables of one data folder, each made on first use.
+
+    Tables that several operators share are written once to the shared checkpoint
+    folder, so operators read columns and row groups of a stored table instead of
+    deriving it again; the others stay views.
+    """
+
+    STORED = frozenset({"vehicle_service", "vehicle", "suspended_service", "bill_base"})
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self._frames: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._make(name)
+        return self._frames[name]
+
+    def _make(self, name: str) -> DataFrame:
+        if name in BASE_TABLES:
+            return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        body = _EACH.sub(r"explode(array(\1))", VIEWS[name])
+        used = _inputs(body)
+        for table in used:
+            body = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", body)
+        frame = self.spark.sql(body, **{table: self.table(table) for table in used})
+        if name not in self.STORED:
+            return frame
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/domain-{uuid.uuid4().hex}/{name}"
+        cores = self.spark.sparkContext.defaultParallelism
+        if self.table("orders").rdd.getNumPartitions() < cores:  # one small file: spread it once
+            frame = frame.repartition(cores)
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+
+_OPEN: dict[tuple[str, str], DomainTables] = {}
+
+
+def domain_tables(spark: SparkSession, sf_dir: str) -> DomainTables:
+    """The domain tables of a data folder, kept for the life of the Spark application."""
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _OPEN or _OPEN[key].spark is not spark:
+        _OPEN[key] = DomainTables(spark, str(sf_dir))
+    return _OPEN[key]
 
 
 def domain_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One domain table over the test tables in `sf_dir`."""
-    ctes = _ctes([name], r"explode(array(\1))")
-    used = [table for table in BASE_TABLES if re.search(rf"\b{table}\b", ctes)]
-    for table in used:
-        spark.read.parquet(str(PurePosixPath(sf_dir) / f"{table}.parquet")).createOrReplaceTempView(table)
-    return spark.sql(f"WITH {ctes}\nSELECT * FROM {name}")
+    return domain_tables(spark, sf_dir).table(name)
