@@ -12,19 +12,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curbledger.session import durable, near
+
 LIST_LIMIT = 20_000
 
 
 def place(items: DataFrame, keys: Sequence[str], spread: Sequence[str], limit: int) -> DataFrame:
-    """Add the `part` of each item: 0, or a hash over `spread` in large groups."""
-    large = (
+    """Add the `part` of each item: 0, or a hash over `spread` in large groups.
+
+    The large groups are counted first; normally there is none and nothing is joined.
+    """
+    large = durable(
         items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
         .select(*keys, F.ceil(F.col("_n") / limit).alias("_parts"))
     )
+    found = large.count()
+    if found == 0:
+        return items.withColumn("part", F.lit(0))
     part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64(*spread), F.col("_parts"))
     )
-    return items.join(large, list(keys), "left").withColumn("part", part.cast("int")).drop("_parts")
+    joined = items.join(near(large, found), list(keys), "left")
+    return joined.withColumn("part", part.cast("int")).drop("_parts")
 
 
 def sorted_text(value: Column, separator: str, head: str = "", tail: str = "") -> Column:

@@ -10,6 +10,7 @@ reached plate, and takes the plates after it.  Phones with more than `hot_size`
 plates are not expanded at all: all that follows plate `e` of a hot phone is nested
 in what follows a smaller one, so one label per plate (the largest plate of the hot
 phone that leads to it) answers both "how many" and "which root" for every entry.
+A plate with more than `hot_size` phones counts as a hot phone of its own.
 """
 
 from __future__ import annotations
@@ -55,7 +56,10 @@ def _split(rows: DataFrame, hot_size: int) -> _Phones:
     later = shared.filter(F.col("plate") > F.col("_first")).select("plate").distinct()
     roots = shared.select("plate").distinct().join(later, "plate", "left_anti")
     pick = lambda cond: shared.filter(cond).select("phone", "plate")
-    return _Phones(pick(F.col("_size") <= hot_size), pick(F.col("_size") > hot_size), durable(roots))
+    busy = shared.groupBy("plate").agg(F.count(F.lit(1)).alias("_phones")).filter(F.col("_phones") > hot_size)
+    alone = busy.select(F.concat(F.lit("plate "), "plate").alias("phone"), "plate")
+    hot = pick(F.col("_size") > hot_size).unionByName(alone)
+    return _Phones(pick(F.col("_size") <= hot_size), durable(hot), durable(roots))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -69,7 +69,7 @@ CONSTRAINTS: list[Unique | Reference] = [
     Reference("fk_item_service", "order_item", ["item_id"], "unit_service", ["id"]),
     Unique("pk_suspended", "suspended_service", ["cd_license", "company", "end_dtm"]),
     Reference("fk_bill_account", "bill", ["uid"], "account", ["id"]),
-    Unique("pk_payment", "payment", ["ix_yrmo", "uid", "useq"]),
+    Unique("pk_payment", "payment", ["ix_yrmo", "uid", "useq", "part"]),
     Unique("pk_print_config", "print_config", ["company", "print_id"]),
     Unique("pk_send_log", "invoice_send_log", ["cd_license", "id"]),
 ]

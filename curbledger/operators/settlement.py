@@ -18,11 +18,10 @@ from curbledger.functions import lists, ordered
 from curbledger.functions.calendar import first_of, month_key, yrmo
 from curbledger.operators.billing import BILL_KEY, bill_totals, service_months, with_due_date
 from curbledger.operators.reconcile import MONEY, aligned, apply_archive, apply_bills, diff_bills, stored_bills
-from curbledger.session import durable
+from curbledger.session import durable, near
 
 NO_BILL = "*BALANCE(CR)*"  # fixed value: license text of a payment that settled no bill
 FIRST_MONTHS, MOST_MONTHS = 12, 96
-BROADCAST_ROWS = 100_000  # rows of four small columns: a few megabytes
 
 
 class Settlement(NamedTuple):
@@ -139,8 +138,7 @@ def forward_billing(
     visited = [state.select("uid", F.lit(0).alias("ix_yrmo")).filter(F.lit(False))]
     h = first_months
     while (left := state.count()) > 0:
-        near = F.broadcast(state) if left <= BROADCAST_ROWS else state
-        nets = _round_nets(near, bill, bill_archive, services, payers, h)
+        nets = _round_nets(near(state, left), bill, bill_archive, services, payers, h)
         by_order = F.transform(
             F.sequence(F.lit(0), F.lit(h - 1)),
             lambda i: F.coalesce(
@@ -224,7 +222,7 @@ def affordable(bill: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(F.col("_only").isNull(), F.col("company") == F.col("_company"))
         .otherwise(F.col("cd_license") == F.col("_only"))
     )
-    own = own.withColumn("net", (F.col("amount") - F.col("discount")).cast("decimal(25,2)"))
+    own = durable(own.withColumn("net", (F.col("amount") - F.col("discount")).cast("decimal(25,2)")))
     peer = ["ix_yrmo", "net", "cd_license"]
     steps = own.groupBy("uid", *peer).agg(F.sum("net").cast("decimal(25,2)").alias("_step"))
     cut = ordered.running_sum(steps, ["uid"], peer, "_step", "cumulative_amount").drop("_step")
@@ -262,7 +260,7 @@ def payment_rows(
 
     Company: of the settled bills (the smallest if several), else of the latest service
     under the requested license, else the requested one.  A payment for more licenses
-    than fit one text has further rows with part > 0 and no amount.
+    than fit one text has further rows with part > 0 and amount 0.
     """
     plates = paid.select("uid", "cd_license").distinct()
     texts = (
@@ -278,11 +276,12 @@ def payment_rows(
         .join(account.select(F.col("id").alias("uid"), F.col("display_name").alias("cust_name")), "uid")
     )
     part = F.coalesce("part", F.lit(0))
+    extra = [c for c in ("ref_code", "transfer_dtm", "remarks", "create_by") if c in requests.columns]
     return head.join(texts, "uid", "left").select(
         F.coalesce("paid_company", "last_company", "company").alias("company"),
         F.lit(ix_yrmo).alias("ix_yrmo"), "uid", F.coalesce("useq", F.lit(1)).cast("int").alias("useq"),
         part.alias("part"), F.coalesce("licenses", F.lit(NO_BILL)).alias("cd_license"), "cust_name",
-        F.when(part == 0, F.col("amount")).cast(MONEY).alias("amount"), "payment_type",
+        F.when(part == 0, F.col("amount")).otherwise(F.lit(0)).cast(MONEY).alias("amount"), "payment_type", *extra,
     )
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curbledger.session import tuned
 from curbledger.sources.fixtures import domain_table, duckdb_ctes
 
 _TYPES = {
@@ -43,7 +44,7 @@ class Query:
         return [tuple(item.split(":")) for item in self.columns.split()]
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = self.build(Tables(spark, sf_dir))
+        out = self.build(Tables(tuned(spark), sf_dir))
         return out.select(*[F.col(name).cast(_TYPES[kind][0]).alias(name) for name, kind in self.spec()])
 
     def oracle(self) -> str | None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from curbledger.functions.calendar import key_month, month_last
 from curbledger.operators import billing, reconcile, settlement
@@ -57,7 +58,7 @@ def process_payments(
         rows = durable(done.payment)
         publish({
             "bill": done.bill, "bill_archive": done.bill_archive, "customer": done.customer,
-            "payment": payment.unionByName(rows.drop("part"), allowMissingColumns=True),
+            "payment": payment.unionByName(rows.withColumn("mod_by", F.col("create_by")), allowMissingColumns=True),
         }, root, version, now)
         return rows
     except Exception as error:

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -40,7 +41,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+# Aggregations and windows shuffle on all their keys, even after a join on some of them,
+# so a hot join key is spread again; joins are split at hot keys even if that costs a shuffle.
+SKEW_SETTINGS = {
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+BROADCAST_ROWS = 100_000  # rows of a few small columns: some megabytes
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with the skew settings, where it has none of its own."""
+    have = spark.conf.getAll
+    for key, value in SKEW_SETTINGS.items():
+        if key not in have:
+            spark.conf.set(key, value)
+    return spark
+
+
+def near(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, marked for broadcast if its counted `rows` are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialize once in the shared checkpoint folder; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(tuned(df.sparkSession))
     return df.checkpoint(eager=True)

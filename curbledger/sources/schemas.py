@@ -139,10 +139,10 @@ def tables() -> dict[str, Table]:
         "bill": Table({**_BILL, "remarks": "string?"}, {"create_dtm": NOW}, partition_by=("ix_yrmo",)),
         "bill_archive": Table({**_BILL, "iv_ix": "int?", "iv_seq": "smallint?", "remarks": "string?"}, partition_by=("ix_yrmo",)),
         "payment": Table(
-            {"company": "string", "ix_yrmo": "int", "uid": "int", "useq": "int", "cd_license": "string", "cust_name": "string", "amount": MONEY,
+            {"company": "string", "ix_yrmo": "int", "uid": "int", "useq": "int", "part": "smallint", "cd_license": "string", "cust_name": "string", "amount": MONEY,
              "payment_type": "string", "ref_code": "string?", "transfer_dtm": STAMP + "?", "create_dtm": STAMP, "create_by": "string",
              "mod_dtm": STAMP, "mod_by": "string", "remarks": "string?"},
-            _STAMPED, {"ix_chq": _cheque_number()}, ("ix_yrmo",),
+            {"part": 0, **_STAMPED}, {"ix_chq": _cheque_number()}, ("ix_yrmo",),
         ),
         "print_config": Table({"company": "string", "print_id": "string", "split": "int", "background": "binary?", "fields": "string"}),
         "invoice_send_log": Table(
