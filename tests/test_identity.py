@@ -41,8 +41,8 @@ def random_rows(seed):
     return sorted(rows)
 
 
-@pytest.mark.parametrize("seed", range(8))
-@pytest.mark.parametrize("hot_size", [2, 4, 1000])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+@pytest.mark.parametrize("hot_size", [2, 1000])
 def test_owners_by_definition(spark, seed, hot_size):
     rows = random_rows(seed)
     owners, reach = identity.link_owners(spark.createDataFrame(rows, "phone string, plate string"), hot_size)
