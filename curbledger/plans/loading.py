@@ -404,9 +404,7 @@ result AS (
     "location_fill": Query(
         LOCATION, lambda t: legacy.missing_locations(legacy.locations(t.legacy_house)), ("legacy_house",),
         LOCATION_SQL + """,
-number AS (
-  SELECT srv_dis, max(srv_loc) AS top, 1 AS srv_loc FROM location_t GROUP BY srv_dis
-  UNION ALL SELECT srv_dis, top, srv_loc + 1 FROM number WHERE srv_loc < top),
+number AS (SELECT srv_dis, unnest(generate_series(1, greatest(1, max(srv_loc)))) AS srv_loc FROM location_t GROUP BY srv_dis),
 result AS (
   SELECT srv_dis, srv_loc, '' AS name_zh, '' AS name_en, '' AS cd_fleet, srv_dis AS mgt_dis
   FROM (SELECT srv_dis, srv_loc FROM number EXCEPT SELECT srv_dis, srv_loc FROM location_t))""",
@@ -415,9 +413,7 @@ result AS (
         "srv_dis:text srv_loc:int lhs_cmr:bool",
         lambda t: legacy.with_commission(_locations(t), seed.commission_locations(t.spark)), ("legacy_house",),
         LOCATION_SQL + """,
-number AS (
-  SELECT srv_dis, max(srv_loc) AS top, 1 AS srv_loc FROM location_t GROUP BY srv_dis
-  UNION ALL SELECT srv_dis, top, srv_loc + 1 FROM number WHERE srv_loc < top),
+number AS (SELECT srv_dis, unnest(generate_series(1, greatest(1, max(srv_loc)))) AS srv_loc FROM location_t GROUP BY srv_dis),
 listed(dis, loc) AS (VALUES """ + ", ".join(f"('{d}', {n})" for d, n in seed.COMMISSION_LOCATION) + """),
 result AS (
   SELECT srv_dis, srv_loc, EXISTS (SELECT 1 FROM listed WHERE dis = srv_dis AND loc = srv_loc) AS lhs_cmr

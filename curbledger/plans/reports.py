@@ -31,11 +31,9 @@ task AS (
   SELECT *, CASE WHEN DATE '1998-06-01' > start_dtm THEN DATE '1998-06-01' ELSE start_dtm END AS task_start,
     CASE WHEN end_dtm IS NULL OR DATE '1998-06-30' < end_dtm THEN DATE '1998-06-30' ELSE end_dtm END AS task_end
   FROM vehicle_service WHERE start_dtm <= DATE '1998-06-30' AND (end_dtm IS NULL OR end_dtm >= DATE '1998-06-01')),
-priced AS (SELECT *, row_number() OVER (PARTITION BY srv_dis, srv_loc, company, cd_plan, vh_type ORDER BY effect) AS rn FROM service_plan),
 validity AS (
-  SELECT a.*, coalesce(b.effect - 1, DATE '1998-06-30') AS valid_to FROM priced AS a LEFT JOIN priced AS b
-    ON a.rn + 1 = b.rn AND a.srv_dis = b.srv_dis AND a.srv_loc = b.srv_loc AND a.company = b.company
-    AND a.cd_plan = b.cd_plan AND a.vh_type = b.vh_type),
+  SELECT *, coalesce(lead(effect) OVER (PARTITION BY company, srv_dis, srv_loc, vh_type, cd_plan ORDER BY effect) - 1, DATE '1998-06-30') AS valid_to
+  FROM service_plan),
 unit AS (
   SELECT t.*,
     CASE WHEN srv_plan IN ('A', 'B') THEN coalesce((SELECT sum(1 - pay_ratio) FROM leave_t WHERE leave_t.uid = t.worker
@@ -99,93 +97,84 @@ result AS (
   JOIN service_location AS l ON o.srv_dis = l.srv_dis AND o.srv_loc = l.srv_loc)"""
 
 BONUS_SQL = """
-ranked AS (
-  SELECT year(reg_dtm) * 100 + month(reg_dtm) AS join_ix, s.cd_license, srv_plan, reg_dtm, worker,
-    row_number() OVER (PARTITION BY year(reg_dtm) * 100 + month(reg_dtm), s.cd_license ORDER BY start_dtm, reg_dtm, worker, srv_plan) AS rn
-  FROM vehicle_service AS s JOIN vehicle AS v ON s.owner_id = v.owner_id AND s.cd_license = v.cd_license
-  WHERE source = 2 AND reg_dtm >= DATE '1998-03-01'),
-gone AS (
-  SELECT DISTINCT ix_yrmo, cd_license, srv_plan, end_dtm, worker FROM suspended_service
-  WHERE end_dtm >= DATE '1998-03-01' AND end_dtm <= DATE '1998-06-30' AND is_terminate),
-fact AS (
-  SELECT n.worker, n.cd_license, n.srv_plan, join_ix, d.ix_yrmo AS deft_ix,
-    (year(end_dtm) - year(reg_dtm)) * 12 + month(end_dtm) - month(reg_dtm) AS diff
-  FROM ranked AS n LEFT JOIN gone AS d ON n.cd_license = d.cd_license AND n.worker = d.worker WHERE rn = 1),
-prep AS (
-  SELECT CASE WHEN join_ix = 199806 THEN 'add' ELSE 'base' END AS t, * FROM fact
-  WHERE deft_ix IS NULL OR (deft_ix = 199806 AND diff < 3)
-  UNION ALL SELECT 'sub', * FROM fact WHERE deft_ix = 199806 AND diff < 3),
-counted AS (
-  SELECT join_ix, worker, srv_plan, count(DISTINCT CASE WHEN t = 'base' THEN cd_license END) AS base_,
-    count(DISTINCT CASE WHEN t = 'sub' THEN cd_license END) AS sub_, count(DISTINCT CASE WHEN t = 'add' THEN cd_license END) AS add_
-  FROM prep GROUP BY join_ix, worker, srv_plan),
-adjusted AS (
-  SELECT join_ix, worker, sum(add_ * CASE srv_plan WHEN 'A' THEN bonus_a WHEN 'B' THEN bonus_b WHEN 'C' THEN bonus_c END) AS bonus,
-    min(bonus_extra) * CASE WHEN sum(base_) < 4 THEN 0 WHEN sum(base_) - 3 < sum(sub_) THEN sum(base_) - 3 ELSE sum(sub_) END
-    + sum(sub_ * CASE srv_plan WHEN 'A' THEN bonus_a WHEN 'B' THEN bonus_b WHEN 'C' THEN bonus_c END) AS deduct
-  FROM counted JOIN worker ON worker = uid GROUP BY join_ix, worker),
-final AS (SELECT worker, sum(bonus) AS bonus, sum(deduct) AS deduct, sum(bonus) - sum(deduct) AS total FROM adjusted GROUP BY worker),
-detail AS (
-  SELECT worker, string_agg(CASE WHEN t = 'add' THEN item END, ',' ORDER BY item) AS json_add,
-    string_agg(CASE WHEN t = 'sub' THEN item END, ',' ORDER BY item) AS json_sub
-  FROM (SELECT worker, t, concat('{"l":"', cd_license, '","p":"', srv_plan, '"}') AS item FROM prep) GROUP BY worker),
+newcomer AS (
+  SELECT cd_license, join_ix, first.worker AS worker, first.srv_plan AS srv_plan, first.reg_dtm AS reg_dtm FROM (
+    SELECT s.cd_license, year(reg_dtm) * 100 + month(reg_dtm) AS join_ix,
+      min({start_dtm: start_dtm, reg_dtm: reg_dtm, worker: worker, srv_plan: srv_plan}) AS first
+    FROM vehicle_service AS s SEMI JOIN (SELECT * FROM vehicle WHERE source = 2) AS v USING (owner_id, cd_license)
+    WHERE reg_dtm >= DATE '1998-03-01' GROUP BY ALL)),
+leaving AS (
+  SELECT cd_license, worker, ix_yrmo AS left_ix, srv_plan AS left_plan, end_dtm FROM suspended_service
+  WHERE is_terminate AND end_dtm BETWEEN DATE '1998-03-01' AND DATE '1998-06-30' GROUP BY ALL),
+pair AS (
+  SELECT n.*, left_ix, left_ix = 199806 AND (year(end_dtm) * 12 + month(end_dtm)) - (year(reg_dtm) * 12 + month(reg_dtm)) < 3 AS clawed
+  FROM newcomer AS n LEFT JOIN leaving USING (cd_license, worker)),
+item AS (
+  SELECT worker, join_ix, srv_plan, cd_license, unnest(CASE WHEN clawed THEN [stay, 'sub'] WHEN left_ix IS NULL THEN [stay] ELSE [] END) AS t
+  FROM (SELECT *, if(join_ix = 199806, 'add', 'base') AS stay FROM pair)),
+tally AS (
+  SELECT join_ix, worker, srv_plan, count(DISTINCT cd_license) FILTER (t = 'add') AS adds,
+    count(DISTINCT cd_license) FILTER (t = 'base') AS bases, count(DISTINCT cd_license) FILTER (t = 'sub') AS subs
+  FROM item GROUP BY ALL),
+rate(srv_plan, amount) AS (VALUES ('A', 400), ('B', 300), ('C', 200)),
+month_sum AS (
+  SELECT join_ix, worker, sum(adds * amount) AS bonus,
+    sum(subs * amount) + 100 * greatest(0, least(sum(bases) - 3, sum(subs))) AS deduct
+  FROM tally LEFT JOIN rate USING (srv_plan) GROUP BY ALL),
+earned AS (SELECT worker, sum(bonus) AS bonus, sum(deduct) AS deduct FROM month_sum GROUP BY worker),
+listed AS (
+  SELECT worker, string_agg(x, ',' ORDER BY x) FILTER (t = 'add') AS json_add, string_agg(x, ',' ORDER BY x) FILTER (t = 'sub') AS json_sub
+  FROM (SELECT *, concat('{"l":"', cd_license, '","p":"', srv_plan, '"}') AS x FROM item) GROUP BY worker),
 extra AS (
-  SELECT worker, cd_license, max(rotation) AS rotation, max(CASE WHEN trim(rotation) <> '' THEN 1 ELSE 0 END) AS has_rot, max(waxing::INT) AS has_wax
-  FROM vehicle_service WHERE start_dtm <= DATE '1998-06-30' AND (end_dtm IS NULL OR end_dtm >= DATE '1998-06-01') GROUP BY worker, cd_license),
-rot AS (
-  SELECT worker, count(*) AS rot_cnt, concat('[', string_agg(concat('"', cd_license, ' / ', rotation, '"'), ','
-    ORDER BY concat('"', cd_license, ' / ', rotation, '"')), ']') AS json_rot FROM extra WHERE has_rot > 0 GROUP BY worker),
-wax AS (
-  SELECT worker, count(*) AS wax_cnt, concat('[', string_agg(concat('"', cd_license, '"'), ',' ORDER BY concat('"', cd_license, '"')), ']') AS json_wax
-  FROM extra WHERE has_wax > 0 GROUP BY worker),
-srv AS (SELECT coalesce(rot.worker, wax.worker) AS worker, rot_cnt, wax_cnt, json_rot, json_wax FROM rot FULL JOIN wax ON rot.worker = wax.worker)"""
+  SELECT worker, cd_license, max(rotation) AS rotation, bool_or(trim(rotation) <> '') AS turns, bool_or(waxing) AS waxed
+  FROM vehicle_service WHERE start_dtm <= DATE '1998-06-30' AND coalesce(end_dtm, DATE '9999-01-01') >= DATE '1998-06-01' GROUP BY ALL),
+srv AS (
+  SELECT worker, nullif(count(*) FILTER (turns), 0) AS rot_cnt, nullif(count(*) FILTER (waxed), 0) AS wax_cnt,
+    '[' || string_agg(r, ',' ORDER BY r) FILTER (turns) || ']' AS json_rot, '[' || string_agg(w, ',' ORDER BY w) FILTER (waxed) || ']' AS json_wax
+  FROM (SELECT *, concat('"', cd_license, ' / ', rotation, '"') AS r, concat('"', cd_license, '"') AS w FROM extra WHERE turns OR waxed)
+  GROUP BY worker)"""
 
 BONUS_RESULT = """,
 result AS (
-  SELECT coalesce(f.worker, s.worker) AS worker, 0 AS part, coalesce(bonus, 0) AS bonus, coalesce(deduct, 0) AS deduct, coalesce(total, 0) AS total,
-    '[' || json_add || ']' AS json_add, '[' || json_sub || ']' AS json_sub,
-    coalesce(rot_cnt, 0) AS rot_cnt, trunc(coalesce(rot_cnt, 0) * coalesce(w.sal_rot, 50.0)) AS rot_sal,
-    coalesce(wax_cnt, 0) AS wax_cnt, trunc(coalesce(wax_cnt, 0) * coalesce(w.sal_wax, 15.0)) AS wax_sal, json_rot, json_wax
-  FROM (SELECT final.*, json_add, json_sub, sal_rot, sal_wax FROM final LEFT JOIN worker ON final.worker = uid JOIN detail ON final.worker = detail.worker) AS f
-  FULL JOIN srv AS s ON f.worker = s.worker LEFT JOIN worker AS w ON f.worker = w.uid
-  WHERE NOT (bonus = 0 AND deduct = 0 AND rot_cnt = 0 AND wax_cnt = 0))"""
+  SELECT worker, 0 AS part, coalesce(bonus, 0) AS bonus, coalesce(deduct, 0) AS deduct, coalesce(bonus - deduct, 0) AS total,
+    '[' || json_add || ']' AS json_add, '[' || json_sub || ']' AS json_sub, coalesce(rot_cnt, 0) AS rot_cnt, coalesce(wax_cnt, 0) AS wax_cnt,
+    coalesce(rot_cnt, 0) * coalesce(sal_rot, 50) AS rot_sal, coalesce(wax_cnt, 0) * coalesce(sal_wax, 15) AS wax_sal, json_rot, json_wax
+  FROM (SELECT e.*, sal_rot, sal_wax FROM earned AS e LEFT JOIN worker ON uid = e.worker) AS r
+  FULL JOIN srv USING (worker) LEFT JOIN listed USING (worker)
+  WHERE bonus <> 0 OR deduct <> 0 OR rot_cnt <> 0 OR wax_cnt <> 0)"""
 
 
 def census_sql(first: str, last: str) -> str:
     return f"""
-period AS (
-  SELECT year(m) * 100 + month(m) AS ix, CAST(m AS DATE) AS ls, last_day(m) AS le
+month_list AS (
+  SELECT CAST(m AS DATE) AS m0, last_day(m) AS m1, year(m) * 100 + month(m) AS ix
   FROM unnest(generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 MONTH)) AS g(m)),
-ss1 AS (SELECT company, cd_license, end_dtm, reason_id FROM suspended_service WHERE is_terminate),
-ss2 AS (
-  SELECT ix, v.company, v.cd_license, v.srv_dis, v.srv_loc, s.end_dtm, s.reason_id
-  FROM period JOIN ss1 AS s ON s.end_dtm >= ls - 1 AND s.end_dtm < le
-  JOIN vehicle_service AS v ON s.cd_license = v.cd_license AND v.start_dtm <= s.end_dtm AND v.end_dtm >= s.end_dtm),
-vs0 AS (
-  SELECT ix, le, company, cd_license, srv_dis, srv_loc, min(reg_dtm) AS reg_dtm, max(start_dtm) AS start_dtm, min(start_dtm) AS first_start
-  FROM period JOIN vehicle_service ON start_dtm <= le AND (end_dtm IS NULL OR end_dtm >= ls)
-  GROUP BY ix, le, company, cd_license, srv_dis, srv_loc),
-vs1 AS (
-  SELECT v.ix, v.company, v.cd_license, v.srv_dis, v.srv_loc, v.reg_dtm, v.start_dtm,
-    max(CASE WHEN s.end_dtm < v.start_dtm AND s.end_dtm > v.reg_dtm - INTERVAL 1 YEAR THEN s.end_dtm END) AS last_term,
-    min(CASE WHEN s.end_dtm > v.start_dtm AND s.end_dtm < v.first_start + INTERVAL 3 MONTH THEN s.end_dtm END) AS next_term,
-    min(CASE WHEN s.end_dtm < v.le AND s.end_dtm >= v.start_dtm - 1 THEN s.reason_id END) AS reason_id
-  FROM vs0 AS v LEFT JOIN ss1 AS s ON s.company = v.company AND s.cd_license = v.cd_license GROUP BY ALL),
-vs2 AS (
-  SELECT coalesce(v.ix, s.ix) AS ix, coalesce(v.company, s.company) AS company, coalesce(v.cd_license, s.cd_license) AS cd_license,
-    coalesce(v.srv_dis, s.srv_dis) AS srv_dis, coalesce(v.srv_loc, s.srv_loc) AS srv_loc, coalesce(v.reason_id, s.reason_id) AS reason_id,
-    CASE WHEN v.cd_license IS NULL THEN 0 ELSE 1 END AS is_count, reg_dtm, start_dtm, last_term, next_term
-  FROM vs1 AS v FULL JOIN ss2 AS s ON s.ix = v.ix AND s.cd_license = v.cd_license),
-fact1 AS (
-  SELECT a.*, source,
-    CASE WHEN last_term IS NULL AND next_term IS NULL AND ix = year(reg_dtm) * 100 + month(reg_dtm) THEN 1 ELSE 0 END AS is_new,
-    CASE WHEN last_term IS NOT NULL AND next_term IS NULL AND ix = year(start_dtm) * 100 + month(start_dtm) THEN 1 ELSE 0 END AS is_reu
-  FROM vs2 AS a LEFT JOIN vehicle AS c ON a.cd_license = c.cd_license),
+stop AS (SELECT *, year(end_dtm + 1) * 100 + month(end_dtm + 1) AS ix FROM suspended_service WHERE is_terminate),
+stopped AS (
+  SELECT s.ix, s.reason_id, r.company, r.cd_license, r.srv_dis, r.srv_loc
+  FROM stop AS s JOIN month_list USING (ix) JOIN vehicle_service AS r ON r.cd_license = s.cd_license AND s.end_dtm BETWEEN r.start_dtm AND r.end_dtm),
+history AS (SELECT company, cd_license, list({{d: end_dtm, r: reason_id}}) AS ends FROM stop GROUP BY ALL),
+present AS (
+  SELECT ix, m1, company, cd_license, srv_dis, srv_loc, min(reg_dtm) AS reg, max(start_dtm) AS latest, min(start_dtm) AS earliest
+  FROM vehicle_service JOIN month_list ON start_dtm <= m1 AND coalesce(end_dtm, m0) >= m0 GROUP BY ALL),
+dated AS (
+  SELECT ix, company, cd_license, srv_dis, srv_loc, reg, latest,
+    len(list_filter(ends, lambda e: e.d < latest AND e.d > reg - INTERVAL 1 YEAR)) > 0 AS had,
+    len(list_filter(ends, lambda e: e.d > latest AND e.d < earliest + INTERVAL 3 MONTH)) > 0 AS soon,
+    list_min(list_transform(list_filter(ends, lambda e: e.d < m1 AND e.d >= latest - 1), lambda e: e.r)) AS reason
+  FROM present LEFT JOIN history USING (company, cd_license)),
+every AS (
+  SELECT 1 AS here, p.* EXCLUDE (had, soon, reason), coalesce(had, FALSE) AS had, coalesce(soon, FALSE) AS soon, coalesce(reason, s.reason_id) AS reason
+  FROM dated AS p LEFT JOIN stopped AS s ON s.ix = p.ix AND s.cd_license = p.cd_license
+  UNION ALL
+  SELECT 0, ix, company, cd_license, srv_dis, srv_loc, NULL, NULL, NULL, NULL, reason_id FROM stopped AS s ANTI JOIN present USING (ix, cd_license)),
 marked AS (
-  SELECT ix, company, cd_license, srv_dis, srv_loc, is_count AS m_total, CASE WHEN source = 0 THEN is_new ELSE 0 END AS m_new_flt,
-    CASE WHEN source <> 0 THEN is_new ELSE 0 END AS m_new_oth, is_reu AS m_reu,
-    CASE WHEN reason_id = 4 THEN 1 ELSE 0 END AS m_term_cmp, CASE WHEN reason_id <> 4 THEN 1 ELSE 0 END AS m_term_nrm
-  FROM fact1)"""
+  SELECT e.ix, e.company, e.cd_license, e.srv_dis, e.srv_loc, here AS m_total,
+    coalesce((source = 0 AND NOT had AND NOT soon AND ix = year(reg) * 100 + month(reg))::INT, 0) AS m_new_flt,
+    coalesce((source <> 0 AND NOT had AND NOT soon AND ix = year(reg) * 100 + month(reg))::INT, 0) AS m_new_oth,
+    coalesce((had AND NOT soon AND ix = year(latest) * 100 + month(latest))::INT, 0) AS m_reu,
+    coalesce((reason = 4)::INT, 0) AS m_term_cmp, coalesce((reason <> 4)::INT, 0) AS m_term_nrm
+  FROM every AS e LEFT JOIN vehicle USING (cd_license))"""
 
 
 def census_wide_sql(first: str, last: str) -> str:
@@ -262,7 +251,7 @@ QUERIES: dict[str, Query] = {
         "join_ix:int worker:long srv_plan:text kind:text cnt:long", _referral_counts,
         ("vehicle_service", "vehicle", "suspended_service", "worker"),
         BONUS_SQL + """,
-result AS (SELECT join_ix, worker, srv_plan, t AS kind, count(DISTINCT cd_license) AS cnt FROM prep GROUP BY join_ix, worker, srv_plan, t)""",
+result AS (SELECT join_ix, worker, srv_plan, t AS kind, count(DISTINCT cd_license) AS cnt FROM item GROUP BY ALL)""",
     ),
     "service_extras": Query(
         "worker:long rot_cnt:int wax_cnt:int",
@@ -289,6 +278,6 @@ result AS (SELECT ix, company, srv_dis, srv_loc, """
         lambda t: census.terminations_in_period(t.vehicle_service, t.suspended_service, dt.date(1998, 1, 1), ED),
         CENSUS_VIEWS,
         census_sql("1998-01-01", "1998-06-01") + """,
-result AS (SELECT ix, cd_license, company, srv_dis, srv_loc, reason_id, count(*) AS n FROM ss2 GROUP BY ALL)""",
+result AS (SELECT ix, cd_license, company, srv_dis, srv_loc, reason_id, count(*) AS n FROM stopped GROUP BY ALL)""",
     ),
 }
