@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbledger.session import tuned
-from curbledger.sources.fixtures import domain_table, duckdb_ctes
+from curbledger.sources.fixtures import domain_table, domain_tables, duckdb_ctes
+
+S = TypeVar("S")
 
 _TYPES = {
     "int": ("int", "INTEGER"), "long": ("long", "BIGINT"), "text": ("string", "VARCHAR"),
@@ -30,6 +33,13 @@ class Tables:
         setattr(self, name, table)
         return table
 
+    def run(self, stages: type[S]) -> S:
+        """The one run of a multi-stage job over this data that its queries share."""
+        runs = domain_tables(self.spark, self.sf_dir).runs
+        if stages not in runs:
+            runs[stages] = stages(self)
+        return runs[stages]
+
 
 @dataclass(frozen=True)
 class Query:

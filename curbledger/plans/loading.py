@@ -268,7 +268,7 @@ ACCOUNT = "login_name:text display_name:text role:text active:bool"
 
 
 def _workers(t: Tables) -> DataFrame:
-    return legacy.with_ids(legacy.worker_accounts(t.legacy_worker, Loaded(t).changes))
+    return legacy.with_ids(legacy.worker_accounts(t.legacy_worker, t.run(Loaded).changes))
 
 
 def _locations(t: Tables) -> DataFrame:
@@ -288,7 +288,7 @@ def _audit(t: Tables) -> DataFrame:
 
 
 def _backfilled(t: Tables) -> DataFrame:
-    receipts = Loaded(t).receipts
+    receipts = t.run(Loaded).receipts
     newer, older = receipts.filter(F.col("pay_year") >= 1997), receipts.filter(F.col("pay_year") < 1997)
     out = legacy.backfilled(newer, older, until_year=1996, before=dt.date(1996, 7, 1))
     return out.groupBy("pay_year", "pay_month").agg(F.count(F.lit(1)).alias("n"))
@@ -296,7 +296,7 @@ def _backfilled(t: Tables) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "plate_normalize": Query(
-        "car_number:text house_code:text company_code:text car_type:text", lambda t: Loaded(t).cars, CONTACT_VIEWS,
+        "car_number:text house_code:text company_code:text car_type:text", lambda t: t.run(Loaded).cars, CONTACT_VIEWS,
         NORMAL_SQL + ",\nresult AS (SELECT * FROM car)",
     ),
     "receipt_backfill": Query(
@@ -340,18 +340,18 @@ result AS (
   SELECT id AS uid, 10 AS c_type, trim(p.worker_name) AS c_name, piece AS c_num FROM peeled AS p JOIN worker_id AS w ON w.login_name = lower(p.worker_code))""",
     ),
     "phone_candidates": Query(
-        CONTACT, lambda t: Loaded(t).candidates, CONTACT_VIEWS, CANDIDATE_SQL + ",\nresult AS (SELECT * FROM candidate)",
+        CONTACT, lambda t: t.run(Loaded).candidates, CONTACT_VIEWS, CANDIDATE_SQL + ",\nresult AS (SELECT * FROM candidate)",
     ),
     "phone_split": Query(
-        CONTACT, lambda t: Loaded(t).contacts, CONTACT_VIEWS,
+        CONTACT, lambda t: t.run(Loaded).contacts, CONTACT_VIEWS,
         CANDIDATE_SQL + "," + peel_sql("candidate") + ",\nresult AS (SELECT * FROM contact_t)",
     ),
     "phone_split_household": Query(
-        CONTACT, lambda t: Households(t).contacts, ("legacy_phone",),
+        CONTACT, lambda t: t.run(Households).contacts, ("legacy_phone",),
         peel_sql("legacy_phone").strip() + ",\nresult AS (SELECT * FROM contact_t)",
     ),
     "link_direct": Query(
-        "major:text minor:text", lambda t: identity.successor_links(Households(t).rows), ("legacy_phone",),
+        "major:text minor:text", lambda t: identity.successor_links(t.run(Households).rows), ("legacy_phone",),
         peel_sql("legacy_phone").strip() + """,
 result AS (
   SELECT DISTINCT cd_license AS major, minor FROM (
@@ -359,29 +359,29 @@ result AS (
     FROM (SELECT DISTINCT cd_license, c_num FROM contact_t WHERE c_num <> '' AND c_name NOT LIKE '%管理處%')) WHERE minor IS NOT NULL)""",
     ),
     "link_owner": Query(
-        "plate:text owner:text", lambda t: identity.link_owners(Households(t).rows)[0], ("legacy_phone",),
+        "plate:text owner:text", lambda t: identity.link_owners(t.run(Households).rows)[0], ("legacy_phone",),
         peel_sql("legacy_phone").strip() + "," + LINK_SQL + ",\nresult AS (SELECT * FROM owned)",
     ),
     "link_reach": Query(
-        "root:text reach:long", lambda t: identity.link_owners(Households(t).rows)[1], ("legacy_phone",),
+        "root:text reach:long", lambda t: identity.link_owners(t.run(Households).rows)[1], ("legacy_phone",),
         peel_sql("legacy_phone").strip() + "," + LINK_SQL + """,
 result AS (SELECT major AS root, reach FROM ranks WHERE major NOT IN (SELECT minor FROM linked))""",
     ),
     "link_owner_hot": Query(
-        "plate:text owner:text", lambda t: identity.link_owners(Households(t).rows, hot_size=2)[0], ("legacy_phone",),
+        "plate:text owner:text", lambda t: identity.link_owners(t.run(Households).rows, hot_size=2)[0], ("legacy_phone",),
         peel_sql("legacy_phone").strip() + "," + LINK_SQL + ",\nresult AS (SELECT * FROM owned)",
     ),
     "customer_logins": Query(
-        CONTACT + " owner:text login_name:text", lambda t: Loaded(t).logins, CONTACT_VIEWS,
+        CONTACT + " owner:text login_name:text", lambda t: t.run(Loaded).logins, CONTACT_VIEWS,
         LOGIN_SQL + ",\nresult AS (SELECT * FROM login_t)",
     ),
     "customer_accounts": Query(
-        "id:long login_name:text display_name:text create_dtm:date mod_dtm:date mod_by:text", lambda t: Loaded(t).accounts,
+        "id:long login_name:text display_name:text create_dtm:date mod_dtm:date mod_by:text", lambda t: t.run(Loaded).accounts,
         CONTACT_VIEWS, ACCOUNT_SQL + ",\nresult AS (SELECT * FROM account_t)",
     ),
     "customer_rows": Query(
         "id:long last_reunion:date balance:money is_mobill:bool is_print_bill:bool is_rtn_envelope:bool mod_dtm:date mod_by:text",
-        lambda t: (lambda load: legacy.customer_rows(load.accounts, load.owned, load.cars))(Loaded(t)), CONTACT_VIEWS,
+        lambda t: legacy.customer_rows(t.run(Loaded).accounts, t.run(Loaded).owned, t.run(Loaded).cars), CONTACT_VIEWS,
         ACCOUNT_SQL + """,
 flagged AS (
   SELECT uid, month_end_yn, reminder_yn, transfer_yn, row_number() OVER (PARTITION BY uid ORDER BY coalesce(change_item_date, start_date) DESC NULLS LAST,
@@ -392,7 +392,7 @@ result AS (
     coalesce(transfer_yn, FALSE) AS is_rtn_envelope, mod_dtm, mod_by FROM account_t LEFT JOIN flagged ON uid = id AND did = 1)""",
     ),
     "customer_contacts": Query(
-        "uid:long c_type:int c_name:text c_num:text", lambda t: legacy.customer_contacts(Loaded(t).owned), CONTACT_VIEWS,
+        "uid:long c_type:int c_name:text c_num:text", lambda t: legacy.customer_contacts(t.run(Loaded).owned), CONTACT_VIEWS,
         ACCOUNT_SQL + """,
 result AS (
   SELECT uid, 10 AS c_type, coalesce(max(trim(c_name)), '車主') AS c_name, c_num FROM owner_t WHERE c_num <> '' GROUP BY uid, c_num)""",
@@ -425,29 +425,29 @@ result AS (
     ),
     "latest_vehicle": Query(
         "cd_license:text owner_id:long vh_type:int source:int brand:text create_dtm:date mod_dtm:date mod_by:text remarks:text",
-        lambda t: Loaded(t).vehicles, CONTACT_VIEWS, VEHICLE_SQL + ",\nresult AS (SELECT * FROM vehicle_t)",
+        lambda t: t.run(Loaded).vehicles, CONTACT_VIEWS, VEHICLE_SQL + ",\nresult AS (SELECT * FROM vehicle_t)",
     ),
     "receipt_bills": Query(
         "company:text ix_yrmo:int uid:long cd_license:text bill_type:int create_dtm:date amount:money discount:money "
         "bill_start:date bill_end:date due_dtm:date iv_ix:int iv_seq:int",
-        lambda t: (lambda load: legacy.receipt_bills(load.receipts, load.vehicles))(Loaded(t)),
+        lambda t: legacy.receipt_bills(t.run(Loaded).receipts, t.run(Loaded).vehicles),
         (*CONTACT_VIEWS, "legacy_receipt"), RECEIPT_BILL_SQL,
     ),
     "receipt_payments": Query(
         "company:text ix_yrmo:int uid:long useq:int cd_license:text cust_name:text amount:money payment_type:text "
         "ref_code:text transfer_dtm:date create_dtm:date create_by:text remarks:text",
-        lambda t: (lambda load: legacy.receipt_payments(load.receipts, load.vehicles, load.accounts))(Loaded(t)),
+        lambda t: legacy.receipt_payments(t.run(Loaded).receipts, t.run(Loaded).vehicles, t.run(Loaded).accounts),
         (*CONTACT_VIEWS, "legacy_receipt"), RECEIPT_PAYMENT_SQL,
     ),
     "orders": Query(
         "id:long company:text ix_yrmo:int cust_id:long cd_license:text o_status:int payment_type:text payment_amount:money "
         "order_dtm:date create_dtm:date mod_by:text",
-        lambda t: (lambda load: legacy.orders(load.changes, load.vehicles))(Loaded(t)), CONTACT_VIEWS,
+        lambda t: legacy.orders(t.run(Loaded).changes, t.run(Loaded).vehicles), CONTACT_VIEWS,
         ORDER_SQL + ",\nresult AS (SELECT * FROM order_t)",
     ),
     "order_items": Query(
         "oid:long item_id:int qty:int unit_price:money discount:money",
-        lambda t: (lambda load: legacy.order_items(legacy.orders(load.changes, load.vehicles)))(Loaded(t)), CONTACT_VIEWS,
+        lambda t: legacy.order_items(legacy.orders(t.run(Loaded).changes, t.run(Loaded).vehicles)), CONTACT_VIEWS,
         ORDER_SQL + ",\nresult AS (SELECT id AS oid, 7 AS item_id, 1 AS qty, payment_amount AS unit_price, 0 AS discount FROM order_t)",
     ),
     "constraint_audit": Query(

@@ -137,11 +137,11 @@ class Settled:
 
 QUERIES: dict[str, Query] = {
     "settle_probes": Query(
-        "uid:long bill_ix:int archive_ix:int service_ix:int", lambda t: Settled(t).probes, VIEWS,
+        "uid:long bill_ix:int archive_ix:int service_ix:int", lambda t: t.run(Settled).probes, VIEWS,
         PROBE_SQL + ",\nresult AS (SELECT * FROM probes)",
     ),
     "settle_start_month": Query(
-        "uid:long start_ix:int", lambda t: settlement.start_month(Settled(t).probes), VIEWS,
+        "uid:long start_ix:int", lambda t: settlement.start_month(t.run(Settled).probes), VIEWS,
         PROBE_SQL + ",\nresult AS (SELECT * FROM started)",
     ),
     "settle_sequence": Query(
@@ -149,21 +149,21 @@ QUERIES: dict[str, Query] = {
         "result AS (SELECT uid, 1 + max(useq) AS useq FROM payment WHERE ix_yrmo = 199806 GROUP BY uid)",
     ),
     "forward_months": Query(
-        "uid:long ix_yrmo:int", lambda t: Settled(t).visited, VIEWS,
+        "uid:long ix_yrmo:int", lambda t: t.run(Settled).visited, VIEWS,
         FORWARD_SQL + ",\nresult AS (SELECT * FROM visited)",
     ),
     "settle_affordable": Query(
         STORED + " cumulative_amount:money",
-        lambda t: Settled(t).whole.paid, VIEWS, SETTLE_SQL + ",\nresult AS (SELECT * FROM paid_bill)",
+        lambda t: t.run(Settled).whole.paid, VIEWS, SETTLE_SQL + ",\nresult AS (SELECT * FROM paid_bill)",
     ),
     "settle_open_bills": Query(
-        STORED, lambda t: Settled(t).whole.bill, VIEWS,
+        STORED, lambda t: t.run(Settled).whole.bill, VIEWS,
         SETTLE_SQL + """,
 result AS (SELECT * FROM open_bill AS o WHERE NOT (bill_type = 1 AND EXISTS (
     SELECT 1 FROM paid_bill AS p WHERE p.company = o.company AND p.ix_yrmo = o.ix_yrmo AND p.uid = o.uid AND p.cd_license = o.cd_license)))""",
     ),
     "settle_balance": Query(
-        "id:long balance:money last_payment:date", lambda t: Settled(t).whole.customer, VIEWS,
+        "id:long balance:money last_payment:date", lambda t: t.run(Settled).whole.customer, VIEWS,
         SETTLE_SQL + """,
 result AS (
   SELECT id, CASE WHEN r.uid IS NULL THEN balance ELSE qualified - coalesce(settled, 0) END AS balance,
@@ -172,7 +172,7 @@ result AS (
     ),
     "settle_payment_row": Query(
         "company:text ix_yrmo:int uid:long useq:int part:int cd_license:text cust_name:text amount:money payment_type:text",
-        lambda t: Settled(t).whole.payment, VIEWS,
+        lambda t: t.run(Settled).whole.payment, VIEWS,
         SETTLE_SQL + """,
 last_service AS (
   SELECT owner_id, cd_license, company, row_number() OVER (PARTITION BY owner_id, cd_license ORDER BY start_dtm DESC, company DESC) AS rn

@@ -243,6 +243,7 @@ class DomainTables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = {}
+        self.runs: dict[type, object] = {}  # multi-stage jobs over these tables, by their class
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
