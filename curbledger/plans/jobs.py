@@ -64,3 +64,19 @@ def process_payments(
     except Exception as error:
         append_error(spark, root, "process_payments", str(error), now)
         raise SettlementFailed(str(error)) from error
+
+
+def process_all_payments(
+    spark: SparkSession, root: str, requests: DataFrame, arrival: str, version: str, now: dt.datetime
+) -> int:
+    """Settle payments of which a payer may have several: wave after wave, each published.
+
+    A payer's payments follow one another by `arrival`; all payers of a wave run together.
+    Returns the number of waves.
+    """
+    numbered = durable(settlement.waves(requests, arrival))
+    last = numbered.agg(F.max("wave")).first()[0] or 0
+    for wave in range(1, last + 1):
+        due = numbered.filter(F.col("wave") == wave).drop("wave")
+        process_payments(spark, root, due, f"{version}-{wave}", now + dt.timedelta(microseconds=wave))
+    return last

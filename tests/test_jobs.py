@@ -43,6 +43,17 @@ def test_reconcile_then_pay(spark, root):
     assert tables.read_table(spark, root, "bill").count() == 0
 
 
+def test_payments_of_one_payer_run_in_waves(spark, root):
+    ask = spark.createDataFrame(
+        [(1, "TK", None, D(100), "C", "web", 2), (1, "TK", None, D(200), "C", "web", 1)],
+        "uid int, company string, cd_license string, amount decimal(15,2), payment_type string, create_by string, arrival int",
+    )
+    assert jobs.process_all_payments(spark, root, ask, "arrival", "w", NOW) == 2
+    rows = sorted((r.useq, r.amount, r.cd_license) for r in tables.read_table(spark, root, "payment").collect())
+    assert rows == [(1, D(200), "*BALANCE(CR)*"), (2, D(100), "AB1")]  # 5 + 200 is too little, 305 pays June
+    assert tables.read_table(spark, root, "customer").first().balance == D(5)
+
+
 def test_errors_are_logged_and_change_nothing(spark, root):
     assert jobs.recalc_bills(spark, root, 199813, "v1", NOW) is None
     with pytest.raises(jobs.SettlementFailed):
