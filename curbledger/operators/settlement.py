@@ -294,17 +294,19 @@ def settle(
     services: DataFrame,
     account: DataFrame,
     now: dt.datetime,
-    first_months: int = FIRST_MONTHS,
+    visited: DataFrame | None = None,
 ) -> Settlement:
     """One wave of payments: tables afterwards, the payment records, and the paid bills.
 
     `requests`: uid, company, cd_license (NULL for all), amount, payment_type; one row per payer.
+    `visited` is the result of `forward_billing` for the same requests, if it is known.
     """
     ix = month_key(now.date())
     asked = qualify(requests, customer)
     starts = start_month(month_probes(requests, bill, bill_archive, services))
     asked = durable(asked.join(starts, "uid", "left"))
-    visited = durable(forward_billing(asked, bill, bill_archive, services, customer, first_months))
+    if visited is None:
+        visited = durable(forward_billing(asked, bill, bill_archive, services, customer))
     open_bills, archived = reconcile_months(visited, bill, bill_archive, services, customer, now)
     paid = durable(affordable(open_bills, asked))
     sequence = next_sequence(payment, ix)

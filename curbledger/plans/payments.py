@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from curbledger.operators import settlement
 from curbledger.plans.catalog import Query, Tables
 from curbledger.plans.monthly import IX, NOW, STORED
+from curbledger.session import durable
 
 SQL_HORIZON = 160  # months the SQL prepares; the money of every payer is used up before
 
@@ -122,16 +123,16 @@ class Settled:
     @cached_property
     def visited(self) -> DataFrame:
         t = self.t
-        return settlement.forward_billing(
+        return durable(settlement.forward_billing(
             self.asked, t.bill, t.bill_archive, t.vehicle_service, t.billing_customer
-        )
+        ))
 
     @cached_property
     def whole(self) -> settlement.Settlement:
         t = self.t
         return settlement.settle(
             t.payment_request, t.bill, t.bill_archive, t.payment, t.billing_customer, t.vehicle_service, t.account,
-            NOW,
+            NOW, self.visited,
         )
 
 
