@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbledger.functions import lists
-from curbledger.functions.calendar import month_first, month_key, yrmo
+from curbledger.functions.calendar import month_first, yrmo
 from curbledger.operators.billing import service_months
 from curbledger.session import durable
 
@@ -186,8 +186,3 @@ def location_census(
             *names.values(),
         )
     )
-
-
-def census_months(sd: dt.date, ed: dt.date) -> tuple[int, int]:
-    """Month keys that a report from `sd` to `ed` covers."""
-    return month_key(month_first(sd)), month_key(month_first(ed))

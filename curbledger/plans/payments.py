@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from curbledger.operators import settlement
 from curbledger.plans.catalog import Query, Tables
