@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +70,20 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialize once in the shared checkpoint folder; survives lost executors."""
     ensure_checkpoint_dir(tuned(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, removed when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write once as Parquet in the shared folder and read it back: later reads are pruned."""
+    spark = tuned(df.sparkSession)
+    folder = shared_folder(spark)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
