@@ -11,11 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from curbledger.llm.exact_dedup import first_copies
+from curbledger.llm.hilbert_packing import pack
 from curbledger.llm.minhash_forest import one_of_each
 from curbledger.llm.substring_dedup import remaining
+from curbledger.llm.weak_labels import good_documents
 from curbledger.session import stored
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier rejects go."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     return first_copies(docs)
@@ -31,8 +38,15 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return remaining(docs)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 2048-token sequences along the Hilbert curve, with their ids."""
+    return pack(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("near_dedup", near), ("substring_dedup", substrings)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality), ("exact_dedup", exact), ("near_dedup", near), ("substring_dedup", substrings), ("packing", packing),
+]
 
 #: A classifier is trained on the way, which SQL cannot express: tests run a brute-force version.
 ORACLE_SQL = None

@@ -149,9 +149,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
     # a few rows from each block border, in order again
     edge = found.filter("b IS NULL").select("region", "tail", F.col("a").alias("node")).distinct()
     order = Window.partitionBy("region").orderBy("tail", "node")
-    near = edge.select(F.col("node").alias("a"), F.explode(F.array(
-        *[F.lead("node", d).over(order) for d in range(1, WIDTH + 1)])).alias("b")).filter("b IS NOT NULL").select(
-        "a", "b", F.lit(DEPTH).alias("depth"))
+    following = edge.withColumn("next", F.array(*[F.lead("node", d).over(order) for d in range(1, WIDTH + 1)]))
+    near = following.select(F.col("node").alias("a"), F.explode("next").alias("b"), F.lit(DEPTH).alias("depth")).filter(
+        "b IS NOT NULL")
     return pairs.unionByName(near).filter("a <> b").groupBy(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("depth").alias("support"))
 
