@@ -134,7 +134,8 @@ def calc_bonus(
 ) -> DataFrame:
     """Bonus per worker with the license lists as JSON text.
 
-    The personal rotation and waxing rates count only for workers with referrals.  A
+    The personal rotation and waxing rates count only for workers with referrals; the default
+    rates are whole numbers, without their fraction.  A
     list above `limit` goes on in rows with part > 0, whose amounts are NULL.
     """
     ix = month_key(month)
@@ -155,7 +156,7 @@ def calc_bonus(
     )
     count = lambda c: F.coalesce(c, F.lit(0))
     pay = lambda cnt, rate, default: (
-        count(cnt) * F.coalesce(F.col(rate).cast("double"), F.lit(float(default)))
+        count(cnt) * F.coalesce(F.col(rate).cast("double"), F.lit(int(default)))
     ).cast("int")
     numbers = have.filter(~none).select(
         F.coalesce("worker", "_w").alias("worker"),

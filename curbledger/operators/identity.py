@@ -249,6 +249,6 @@ def login_names(grouped: DataFrame) -> DataFrame:
 
 
 def _fallback(number: Column) -> Column:
-    """CU and the last six digits of the number, padded with zeros."""
+    """CU and the whole number, padded with zeros to six digits at least."""
     text = number.cast("string")
-    return F.concat(F.lit("CU"), F.right(F.concat(F.lit("000000"), text), F.lit(6)))
+    return F.concat(F.lit("CU"), F.repeat(F.lit("0"), F.greatest(F.lit(6) - F.length(text), F.lit(0))), text)

@@ -105,6 +105,11 @@ def with_ids(accounts: DataFrame, offset: int = 0) -> DataFrame:
     return numbered.withColumn("id", F.col("_no") + offset).drop("_no")
 
 
+def largest_id(accounts: DataFrame) -> int:
+    """The largest id given so far: later accounts go on from it."""
+    return accounts.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+
+
 def worker_rows(accounts: DataFrame, workers: DataFrame) -> DataFrame:
     """Worker rows with default rates; type A where the master list says so."""
     day_workers = workers.filter(text.match_key(F.col("type")) == "A").select(
@@ -140,13 +145,14 @@ def worker_contacts(workers: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def contact_candidates(changes: DataFrame, cars: DataFrame) -> DataFrame:
     """Plate, name and phone text from the change records, and from the master list
-    for plates without any change record.  The text ends in a mark."""
+    for plates without any change record; a master row without a plate is none.  The text
+    ends in a mark."""
     mark = lambda c: F.concat(F.coalesce(F.col(c), F.lit("")), F.lit("#")).alias("c_num")
     history = with_plate(changes).select(
         F.col("car_number").alias("cd_license"), F.trim(F.coalesce("customer_name", F.lit(""))).alias("c_name"),
         mark("customer_phone"),
     ).distinct()
-    master = cars.select(
+    master = cars.filter(F.col("car_number").isNotNull()).select(
         F.col("car_number").alias("cd_license"), F.coalesce("customer_name", F.lit("")).alias("c_name"),
         mark("customer_phone"),
     ).distinct()

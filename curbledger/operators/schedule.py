@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from curbledger.functions.calendar import iso_weekday
 from curbledger.functions.text import CRLF
 
-MAX_DAYS = 466  # the first day and 465 more
-
 
 def visit_days() -> Column:
     """Whether `l_date` is a visit day: A not on Saturday, B on three weekdays, C on one."""
@@ -38,8 +36,8 @@ def worker_schedule(
 
     All joins run per service; days are exploded last, in the same stage.
     """
-    if not 0 <= (ed - sd).days < MAX_DAYS:
-        raise ValueError(f"a schedule covers 1 to {MAX_DAYS} days")
+    if ed < sd:
+        raise ValueError("a schedule covers one day at least")
     served = services.filter(
         F.col("srv_plan").isin("A", "B", "C")
         & (F.col("start_dtm") <= F.lit(ed))

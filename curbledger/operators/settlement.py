@@ -33,8 +33,9 @@ class Settlement(NamedTuple):
 
 
 def waves(requests: DataFrame, arrival: str) -> DataFrame:
-    """Wave number per payment: 1 for a payer's first, by arrival."""
-    return ordered.row_number(requests, ["uid"], [arrival], "wave")
+    """Wave number per payment: 1 for a payer's first, by arrival, then by its other columns."""
+    rest = [c for c, kind in requests.dtypes if c not in ("uid", arrival) and not kind.startswith("map")]
+    return ordered.row_number(requests, ["uid"], [arrival, *rest], "wave")
 
 
 def next_sequence(payment: DataFrame, ix_yrmo: int) -> DataFrame:
@@ -46,9 +47,12 @@ def next_sequence(payment: DataFrame, ix_yrmo: int) -> DataFrame:
 
 
 def qualify(requests: DataFrame, customer: DataFrame) -> DataFrame:
-    """Requests with the money at hand: balance plus payment."""
+    """Requests with the money at hand: balance plus payment.
+
+    A payer without a customer row has no money to settle with (NULL), but keeps the request.
+    """
     have = customer.select(F.col("id").alias("uid"), "balance")
-    return requests.join(have, "uid").withColumn(
+    return requests.join(have, "uid", "left").withColumn(
         "qualified", (F.col("balance") + F.col("amount")).cast(MONEY)
     )
 
@@ -238,7 +242,7 @@ def settled_per_payer(paid: DataFrame) -> DataFrame:
 
 
 def new_balance(requests: DataFrame, settled: DataFrame) -> DataFrame:
-    """Balance per payer after the payment."""
+    """Balance per payer after the payment (NULL without a customer row)."""
     zero = F.lit(0).cast(MONEY)
     return requests.join(settled, "uid", "left").select(
         "uid", "qualified", F.coalesce("settled", zero).alias("settled"),

@@ -13,8 +13,7 @@ from curbledger.plans.catalog import Query, Tables
 from curbledger.session import durable
 from curbledger.sources import seed
 
-CONTACT_VIEWS = ("legacy_car", "legacy_change")
-ACCOUNT_OFFSET = 1000  # customer ids start after staff and workers
+CONTACT_VIEWS = ("legacy_car", "legacy_change", "legacy_worker")
 
 
 class Loaded:
@@ -50,7 +49,8 @@ class Loaded:
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return durable(legacy.with_ids(legacy.customer_accounts(self.logins, self.cars, self.changes), ACCOUNT_OFFSET))
+        return durable(legacy.with_ids(
+            legacy.customer_accounts(self.logins, self.cars, self.changes), legacy.largest_id(_workers(self.t))))
 
     @cached_property
     def owned(self) -> DataFrame:
@@ -123,10 +123,21 @@ named AS (SELECT owner, min(c_num) AS login FROM grouped WHERE owner IS NOT NULL
 logged AS (SELECT g.*, login FROM grouped AS g LEFT JOIN named ON named.owner = g.owner),
 numbered AS (SELECT cd_license, row_number() OVER (ORDER BY cd_license) AS no FROM (SELECT DISTINCT cd_license FROM logged WHERE login IS NULL)),
 login_t AS (
-  SELECT l.cd_license, c_name, c_num, l.owner, coalesce(login, 'CU' || right('000000' || no, 6)) AS login_name
+  SELECT l.cd_license, c_name, c_num, l.owner, coalesce(login, 'CU' || CASE WHEN no < 100000 THEN right('00000' || no, 6) ELSE CAST(no AS VARCHAR) END) AS login_name
   FROM logged AS l LEFT JOIN numbered AS n ON l.cd_license = n.cd_license)"""
 
-ACCOUNT_SQL = LOGIN_SQL + """,
+WORKER_ID_SQL = """
+worker_login AS (
+  SELECT lower(trim(coalesce(w.worker_code, c.worker_code))) AS login_name, coalesce(worker_name, 'no-record') AS display_name, 'WORKER' AS role,
+    coalesce(status_code = '00', FALSE) AS active, DATE '1970-01-01' AS create_dtm, coalesce(update_date, DATE '1970-01-01') AS mod_dtm,
+    coalesce(user_id, 'SYSMIG') AS mod_by, worker_dept AS remarks
+  FROM legacy_worker AS w FULL JOIN (SELECT DISTINCT worker_code FROM change) AS c ON c.worker_code = upper(w.worker_code)
+  WHERE coalesce(w.worker_code, c.worker_code) <> ''),
+worker_id AS (SELECT *, row_number() OVER (ORDER BY login_name) AS id FROM worker_login)"""
+
+WORKER_SQL = NORMAL_SQL + "," + WORKER_ID_SQL
+
+ACCOUNT_SQL = LOGIN_SQL + "," + WORKER_ID_SQL + """,
 move AS (
   SELECT car_number, start_date, change_item_date, user_id FROM car
   UNION ALL SELECT car_number, start_date, change_item_date, user_id FROM change WHERE car_number NOT IN (SELECT car_number FROM car)),
@@ -141,7 +152,7 @@ customer_t AS (
   JOIN (SELECT login_name, min(start_date) AS create_dtm, max(coalesce(change_item_date, start_date)) AS mod_dtm FROM moved GROUP BY login_name) AS d
     ON n.login_name = d.login_name
   JOIN moved AS m ON m.login_name = n.login_name AND did = 1),
-account_t AS (SELECT 1000 + row_number() OVER (ORDER BY login_name) AS id, * FROM customer_t),
+account_t AS (SELECT (SELECT coalesce(max(id), 0) FROM worker_id) + row_number() OVER (ORDER BY login_name) AS id, * FROM customer_t),
 owner_t AS (SELECT l.*, id AS uid FROM login_t AS l LEFT JOIN account_t AS a ON a.login_name = l.login_name)"""
 
 VEHICLE_SQL = ACCOUNT_SQL + """,
@@ -173,15 +184,6 @@ location_t AS (
   SELECT srv_dis, srv_loc, max(name_zh) AS name_zh, max(name_en) AS name_en, coalesce(max(cd_fleet), '') AS cd_fleet, srv_dis AS mgt_dis
   FROM house GROUP BY srv_dis, srv_loc)"""
 
-WORKER_SQL = NORMAL_SQL + """,
-worker_login AS (
-  SELECT lower(trim(coalesce(w.worker_code, c.worker_code))) AS login_name, coalesce(worker_name, 'no-record') AS display_name, 'WORKER' AS role,
-    coalesce(status_code = '00', FALSE) AS active, DATE '1970-01-01' AS create_dtm, coalesce(update_date, DATE '1970-01-01') AS mod_dtm,
-    coalesce(user_id, 'SYSMIG') AS mod_by, worker_dept AS remarks
-  FROM legacy_worker AS w FULL JOIN (SELECT DISTINCT worker_code FROM change) AS c ON c.worker_code = upper(w.worker_code)
-  WHERE coalesce(w.worker_code, c.worker_code) <> ''),
-worker_id AS (SELECT *, row_number() OVER (ORDER BY login_name) AS id FROM worker_login)"""
-
 PHONE_SQL = """
 text AS (SELECT worker_code, worker_name, phone FROM legacy_worker WHERE phone <> ''),
 phones AS (
@@ -315,11 +317,11 @@ QUERIES: dict[str, Query] = {
     ),
     "worker_accounts": Query(
         "id:long " + ACCOUNT + " create_dtm:date mod_dtm:date mod_by:text remarks:text", _workers,
-        (*CONTACT_VIEWS, "legacy_worker"), WORKER_SQL + ",\nresult AS (SELECT * FROM worker_id)",
+        CONTACT_VIEWS, WORKER_SQL + ",\nresult AS (SELECT * FROM worker_id)",
     ),
     "worker_rows": Query(
         "uid:long worker_code:text work_type:text bonus_a:int bonus_b:int bonus_c:int bonus_extra:int",
-        lambda t: legacy.worker_rows(_workers(t), t.legacy_worker), (*CONTACT_VIEWS, "legacy_worker"),
+        lambda t: legacy.worker_rows(_workers(t), t.legacy_worker), CONTACT_VIEWS,
         WORKER_SQL + """,
 result AS (
   SELECT id AS uid, upper(login_name) AS worker_code, 400 AS bonus_a, 300 AS bonus_b, 200 AS bonus_c, 100 AS bonus_extra,
@@ -328,13 +330,13 @@ result AS (
     ),
     "employee_rows": Query(
         "uid:long employ_dtm:date create_dtm:date mod_dtm:date mod_by:text",
-        lambda t: legacy.employee_rows(_workers(t)), (*CONTACT_VIEWS, "legacy_worker"),
+        lambda t: legacy.employee_rows(_workers(t)), CONTACT_VIEWS,
         WORKER_SQL + """,
 result AS (SELECT id AS uid, create_dtm AS employ_dtm, create_dtm, mod_dtm, mod_by FROM worker_id)""",
     ),
     "worker_phones": Query(
         "uid:long c_type:int c_name:text c_num:text",
-        lambda t: legacy.worker_contacts(t.legacy_worker, _workers(t)), (*CONTACT_VIEWS, "legacy_worker"),
+        lambda t: legacy.worker_contacts(t.legacy_worker, _workers(t)), CONTACT_VIEWS,
         WORKER_SQL + "," + PHONE_SQL + """,
 result AS (
   SELECT id AS uid, 10 AS c_type, trim(p.worker_name) AS c_name, piece AS c_num FROM peeled AS p JOIN worker_id AS w ON w.login_name = lower(p.worker_code))""",

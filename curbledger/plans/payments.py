@@ -19,7 +19,7 @@ VIEWS = (
 
 PROBE_SQL = """
 req AS (
-  SELECT r.*, CAST(balance + amount AS DECIMAL(15,2)) AS qualified FROM payment_request AS r JOIN billing_customer AS c ON c.id = r.uid),
+  SELECT r.*, CAST(balance + amount AS DECIMAL(15,2)) AS qualified FROM payment_request AS r LEFT JOIN billing_customer AS c ON c.id = r.uid),
 probe AS (
   SELECT r.uid,
     (SELECT min(ix_yrmo) FROM bill AS b WHERE b.uid = r.uid AND (r.cd_license IS NULL OR b.cd_license = r.cd_license)) AS bill_ix,
@@ -159,8 +159,8 @@ QUERIES: dict[str, Query] = {
     "settle_open_bills": Query(
         STORED, lambda t: t.run(Settled).whole.bill, VIEWS,
         SETTLE_SQL + """,
-result AS (SELECT * FROM open_bill AS o WHERE NOT (bill_type = 1 AND EXISTS (
-    SELECT 1 FROM paid_bill AS p WHERE p.company = o.company AND p.ix_yrmo = o.ix_yrmo AND p.uid = o.uid AND p.cd_license = o.cd_license)))""",
+result AS (SELECT * FROM open_bill ANTI JOIN (
+    SELECT DISTINCT company, ix_yrmo, uid, cd_license, 1 AS bill_type FROM paid_bill) AS p USING (company, ix_yrmo, uid, cd_license, bill_type))""",
     ),
     "settle_balance": Query(
         "id:long balance:money last_payment:date", lambda t: t.run(Settled).whole.customer, VIEWS,

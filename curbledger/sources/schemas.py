@@ -137,9 +137,9 @@ def tables() -> dict[str, Table]:
             {"ix_yrmo": yrmo(F.col("end_dtm")), "cix_yrmo": yrmo(F.col("create_dtm"))},
         ),
         "bill": Table({**_BILL, "remarks": "string?"}, {"create_dtm": NOW}, partition_by=("ix_yrmo",)),
-        "bill_archive": Table({**_BILL, "iv_ix": "int?", "iv_seq": "smallint?", "remarks": "string?"}, partition_by=("ix_yrmo",)),
+        "bill_archive": Table({**_BILL, "iv_ix": "int?", "iv_seq": "int?", "remarks": "string?"}, partition_by=("ix_yrmo",)),
         "payment": Table(
-            {"company": "string", "ix_yrmo": "int", "uid": "int", "useq": "int", "part": "smallint", "cd_license": "string", "cust_name": "string", "amount": MONEY,
+            {"company": "string", "ix_yrmo": "int", "uid": "int", "useq": "int", "part": "int", "cd_license": "string", "cust_name": "string", "amount": MONEY,
              "payment_type": "string", "ref_code": "string?", "transfer_dtm": STAMP + "?", "create_dtm": STAMP, "create_by": "string",
              "mod_dtm": STAMP, "mod_by": "string", "remarks": "string?"},
             {"part": 0, **_STAMPED}, {"ix_chq": _cheque_number()}, ("ix_yrmo",),

@@ -376,3 +376,36 @@ def test_last_day_of_a_month_counts_for_the_next(spark, make):
     )
     out = census.terminations_in_period(make(service("A", dt.date(1998, 1, 1), dt.date(1998, 5, 31))), gone, D0, D1).collect()
     assert [(r.ix, r.reason_id, r.n) for r in out] == [(199806, 4, 1)]
+
+
+def test_a_payer_without_a_customer_row_keeps_the_request(spark):
+    from curbledger.operators import settlement
+
+    requests = spark.createDataFrame([(1, "10"), (2, "20")], "uid int, a string").withColumn("amount", F.col("a").cast("decimal(15,2)"))
+    customer = spark.createDataFrame([(1, "5")], "id int, b string").withColumn("balance", F.col("b").cast("decimal(15,2)"))
+    got = {r.uid: r.qualified for r in settlement.qualify(requests, customer).collect()}
+    assert got[1] == 15 and got[2] is None
+
+
+def test_waves_break_ties(spark):
+    from curbledger.operators import settlement
+
+    rows = [(1, 5, "b"), (1, 5, "a"), (2, 5, "c")]
+    got = settlement.waves(spark.createDataFrame(rows, "uid int, at int, kind string"), "at").collect()
+    assert sorted((r.uid, r.kind, r.wave) for r in got) == [(1, "a", 1), (1, "b", 2), (2, "c", 1)]
+
+
+def test_logins_keep_all_digits(spark):
+    from curbledger.operators import identity
+
+    got = spark.range(1).select(*[identity._fallback(F.lit(n)).alias(str(n)) for n in (5, 999999, 1000005)]).first()
+    assert list(got) == ["CU000005", "CU999999", "CU1000005"]
+
+
+def test_a_master_row_without_a_plate_is_no_contact(spark):
+    from curbledger.operators import legacy
+
+    schema = "car_number string, customer_name string, customer_phone string"
+    cars = spark.createDataFrame([(None, "x", "1"), ("AB1", "y", "2")], schema)
+    changes = spark.createDataFrame([], schema)
+    assert [r.cd_license for r in legacy.contact_candidates(changes, cars).collect()] == ["AB1"]
