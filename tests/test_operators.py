@@ -241,8 +241,10 @@ def test_visit_days(spark, make):
     ).count()
     assert [count(p) for p in "ABCD"] == [6, 3, 1, 0]
     assert count("A", worker=901) == 0
+    long = schedule.worker_schedule(make(service("C")), _accounts(spark), _cars(spark), _place(spark), D0, D0 + dt.timedelta(days=699))
+    assert long.count() == 100  # 700 days, one visit a week
     with pytest.raises(ValueError):
-        schedule.worker_schedule(make(service()), _accounts(spark), _cars(spark), _place(spark), D0, dt.date(2000, 1, 1))
+        schedule.worker_schedule(make(service()), _accounts(spark), _cars(spark), _place(spark), D0, D0 - dt.timedelta(days=1))
 
 
 @pytest.mark.parametrize("user, car, expected", [
