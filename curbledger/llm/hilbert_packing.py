@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbledger.functions.ordered import running_sum
-from curbledger.llm.token_ids import ByteEncoder, crc_column, encoded, encoder
-from curbledger.llm.words import slices
+from curbledger.llm.token_ids import SLICE, ByteEncoder, crcs, encoder
+from curbledger.llm.words import binaries, slices
 from curbledger.session import stored
 
 LENGTH = 2048
@@ -69,21 +69,21 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def points(ids: list[bytes]) -> np.ndarray:
-    """Grid points of documents given by their 16-bit ids."""
-    table = directions()
-    means = np.array([table[np.frombuffer(v, np.uint16)].mean(axis=0, dtype=np.float64) for v in ids]).reshape(-1, DIMENSIONS)
+def points(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Grid points of documents: `ids` of all of them, and where each begins."""
+    table, at = directions(), bounds.tolist()
+    sums = np.array([np.ones(b - a, np.float32) @ table[ids[a:b]] for a, b in zip(at[:-1], at[1:])], np.float64).reshape(-1, DIMENSIONS)
+    means = sums / np.maximum(np.diff(bounds), 1)[:, None]
     return np.minimum((0.5 + 0.5 * np.tanh(SPREAD * means)) * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
 
 
 def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ByteEncoder, path)
-        for part in slices(batches, "text"):
-            ids = encoded(part.column("text"), encode, END)
+        for part in slices(batches, "text", size=SLICE):
+            ids, bounds = encode.texts(part.column("text"), END)
             yield pa.RecordBatch.from_arrays([
-                part.column("doc"), pa.array(hilbert_keys(points(ids), BITS)),
-                pa.array([len(v) // 2 for v in ids], pa.int64()), pa.array(ids, pa.binary()),
+                part.column("doc"), pa.array(hilbert_keys(points(ids, bounds), BITS)), pa.array(np.diff(bounds)), binaries(ids, 2 * bounds),
             ], ["doc", "key", "n", "ids"])
 
     return run
@@ -101,13 +101,13 @@ def _pieces(length: int, with_ids: bool):
             low = np.maximum(begin[row], sequence * length)
             high = np.minimum(end[row], (sequence + 1) * length)
             start = low - begin[row]
-            blobs = part.column("ids")
-            cut = [blobs[int(r)].as_buffer()[2 * s:2 * (s + m)].to_pybytes() for r, s, m in zip(row, start.tolist(), (high - low).tolist())]
-            columns = [part.column("doc").take(pa.array(row)), pa.array(start), pa.array(high - low), crc_column(cut),
+            ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), np.uint16)
+            bounds = np.concatenate([[0], np.cumsum(high - low)])  # the pieces lie one after the other
+            columns = [part.column("doc").take(pa.array(row)), pa.array(start), pa.array(high - low), crcs(ids, bounds),
                        pa.array(n[row]), pa.array(sequence), pa.array(low - sequence * length)]
             names = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                columns.append(pa.array(cut, pa.binary()))
+                columns.append(binaries(ids, 2 * bounds))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

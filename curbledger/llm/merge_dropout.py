@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from curbledger.llm import words as W
-from curbledger.llm.token_ids import crc_column
+from curbledger.llm.token_ids import crcs
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 1, 4
@@ -260,7 +260,7 @@ def _encode(path: str, dropout: float, seed: int, variants: int):
             ids = encoder.texts(texts, part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))
             same = [encoder.pieces.decode(v) == t.encode() for v, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.array([len(v) // 2 for v in ids], pa.int64()), crc_column(ids), pa.array(same), pa.array(ids, pa.binary()),
+                part.column("doc_id"), pa.array([len(v) // 2 for v in ids], pa.int64()), crcs(np.frombuffer(b"".join(ids), np.uint16), np.cumsum([0] + [len(v) // 2 for v in ids])), pa.array(same), pa.array(ids, pa.binary()),
             ], ["doc_id", "n_tokens", "ids_crc32", "lossless", "ids"])
 
     return run

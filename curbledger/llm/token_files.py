@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbledger.llm.token_ids import WordEncoder, encoded, encoder
+from curbledger.llm.token_ids import SLICE, WordEncoder, crcs, encoder
 from curbledger.llm.words import slices
 from curbledger.session import shared_folder, stored
 
@@ -156,13 +155,12 @@ def _write(folder: str, path: str):
         name = f"{root}/part-{shard:06d}.ids"
         own = f"{root}/_attempt-{uuid.uuid4().hex}"
         counts, docs, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", size=SLICE):
             if out is None:
                 out = store.open_output_stream(own)
-            ids = encoded(part.column("text"), encode, END)
-            for v in ids:
-                out.write(v)
-            counts.append(np.array([len(v) // 2 for v in ids]))
+            ids, bounds = encode.texts(part.column("text"), END)
+            out.write(ids.astype("<u2").tobytes())
+            counts.append(np.diff(bounds))
             docs.append(part.column("doc").to_numpy())
         if out is None:
             return
@@ -207,12 +205,11 @@ def _read(folder: str):
                 at = 0
                 while at < source.n_docs:
                     to = max(at + 1, int(np.searchsorted(ends, ends[at] + READ_IDS, "right")) - 1)
-                    ids = source.ids(int(ends[at]), int(ends[to])).astype("<u4")
                     bounds = ends[at:to + 1] - ends[at]
-                    crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+                    crc = crcs(source.ids(int(ends[at]), int(ends[to])), bounds)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(docs[at:to], pa.int64()), pa.array(ends[at:to] + row["before"]),
-                        pa.array(np.diff(bounds)), pa.array(crc, pa.int64()),
+                        pa.array(np.diff(bounds)), crc,
                     ], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     at = to
                 source.close()

@@ -137,8 +137,8 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, bounds, starts, ends, np.searchsorted(starts, bounds))
 
 
-def slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
-    """The rows again, in slices whose texts are about SLICE_BYTES long together."""
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows again, in slices whose texts are about `size` bytes long together."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -147,7 +147,7 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Reco
         at = 0
         while at < batch.num_rows:
             done = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(sizes, done + size, "right")))
             yield batch.slice(at, to - at)
             at = to
 

@@ -28,8 +28,20 @@ def crc(ids):
 @pytest.mark.parametrize("kind, name", [(ByteEncoder, H.TOKENIZER), (WordEncoder, T.TOKENIZER)])
 def test_segments_give_the_same_ids(kind, name):
     e = encoder(kind, public_tokenizers.path(name))
-    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(14))) for _ in range(20_000)]
-    assert [t for t in texts if e(t) != e.plain(t)] == []
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(14))) for _ in range(20_000)] + [None, "", "İstanbul", "aİ bc", "x" * 200 + " y"]
+    ids, bounds = e.texts(pa.array(texts))
+    assert [t for t, a, b in zip(texts, bounds[:-1], bounds[1:]) if ids[a:b].tolist() != e.plain(t or "").tolist()] == []
+    ids, bounds = e.texts(pa.array(["one", None, "two"]), 1)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*e.plain("one"), 1], [1], [*e.plain("two"), 1]]
+    assert e.texts(pa.array([], pa.string()), 1)[0].tolist() == []
+
+
+def test_memory_generations(monkeypatch):
+    monkeypatch.setattr("curbledger.llm.token_ids.KEEP", 5)
+    e = ByteEncoder(public_tokenizers.path(H.TOKENIZER))
+    for _ in range(6):
+        t = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) for _ in range(50))
+        assert e.texts(pa.array([t]))[0].tolist() == e.plain(t).tolist()
 
 
 def test_hilbert_curve_visits_neighbours():
@@ -76,7 +88,7 @@ def test_packing(spark, rows):
 def test_similar_documents_are_neighbours():
     texts = [" ".join(rng.choice(words) for _ in range(300)) for words in (["alpha", "beta", "gamma"], ["one", "two", "three"]) for _ in range(10)]
     e = encoder(ByteEncoder, public_tokenizers.path(H.TOKENIZER))
-    keys = H.hilbert_keys(H.points([e(t) for t in texts]), H.BITS)
+    keys = H.hilbert_keys(H.points(*e.texts(pa.array(texts))), H.BITS)
     first = np.argsort(keys)[:10]
     assert set(first // 10) in ({0}, {1})
 
