@@ -7,7 +7,9 @@
   prefixes: where a region is dense the neighbours agree to a greater depth, where it is sparse
   three values do.  Two sets of similarity 0.8 share a region in some tree with probability
   1 - (1 - 0.8 ** 3) ** 20 = 1 - 6e-7.
-* Each node is a candidate with its next `WIDTH` neighbours in each tree.  The sorted orders are range
+* Each node is a candidate with its next neighbour in each tree, and, where that one does not agree to
+  depth `DENSE`, with the next `WIDTH`: dense regions are chained by close neighbours, and in sparse ones a
+  node between two similar ones does not part them.  The sorted orders are range
   partitions, so a region of any size spreads over blocks; block borders meet in a second step.
 * Candidates are confirmed on the full sets, best supported pairs first.  Pairs whose nodes are
   connected already need no look: components are the result, and in a group of n near copies
@@ -29,7 +31,8 @@ from curbledger.session import stored
 
 TREES, DEPTH, TAIL = 20, 3, 8
 VALUES = TREES * DEPTH
-WIDTH = 3
+WIDTH = 2
+DENSE = 6  # a neighbour that agrees to this depth is enough
 ROUNDS = 4
 NO_ID = -(1 << 63)  # stands for a NULL document id: before all others
 
@@ -131,6 +134,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in range(1, WIDTH + 1):
             at = np.flatnonzero(region[d:] == region[:-d])
             at = at[at + d >= new]  # the others were seen with the batch before
+            if d > 1:
+                at = at[(region[at] != region[at + 1]) | (_depths(tail[at], tail[at + 1]) < DENSE)]
             if len(at):
                 a, b = rows.column("node").take(pa.array(at)), rows.column("node").take(pa.array(at + d))
                 yield pa.RecordBatch.from_arrays([a.cast(pa.binary()), b.cast(pa.binary()), pa.array(_depths(tail[at], tail[at + d])),
@@ -186,10 +191,9 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.expr("xxhash64(text) & 2147483647L").alias("tag"), "text")
     sketches = stored(rows.mapInArrow(_sketch(shingle), "doc long, tag long, n_shingles long, node binary, signature binary"))
     some = sketches.filter("n_shingles > 0")
-    nodes = some.groupBy("node").agg(F.min(F.struct("doc", "tag")).alias("d"), F.first("signature").alias("signature"))
+    nodes = stored(some.groupBy("node").agg(F.min(F.struct("doc", "tag")).alias("d"), F.first("signature").alias("signature")))
     pairs = stored(candidates(nodes.select("node", "signature")))
-    wanted = some.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("doc", "tag")).alias("d")).select("node", "d.*")
+    wanted = nodes.select("node", "d.*").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     texts = stored(rows.join(wanted, ["doc", "tag"]).select("node", "text").dropDuplicates(["node"]))
 
     def confirmed(few: DataFrame) -> DataFrame:
@@ -219,7 +223,8 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         label = docs.sparkSession.createDataFrame([], "node binary, root binary")
     rooted = sketches.select("doc", "n_shingles", "node").join(label, "node", "left").withColumn(
         "root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
-    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("component"))
+    # a table of its own: a root with very many documents can then be split in the join
+    least = stored(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("component")))
     return rooted.join(least, "root", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 
 
