@@ -75,7 +75,8 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.concatenate([lowered.counts(), np.diff(first)])
     key, count = np.unique(owner * (2 * HALF) + bucket, return_counts=True)
     owner, bucket = key // (2 * HALF), key % (2 * HALF)
-    return owner, bucket, count / total[owner + len(texts) * (bucket >= HALF)]
+    share = count / total[owner + len(texts) * (bucket >= HALF)]
+    return owner.astype(np.int32), bucket.astype(np.int32), share.astype(np.float32)
 
 
 def fit(texts: list[str | None], labels: np.ndarray, importance: np.ndarray) -> Model:
@@ -83,9 +84,10 @@ def fit(texts: list[str | None], labels: np.ndarray, importance: np.ndarray) ->
     if not len(texts) or labels.max() == labels.min():  # nothing to tell apart
         p = float(labels.mean()) if len(texts) else 1.0
         return Model(np.zeros(2 * HALF), 0.0, 1.0, float(np.log((p + 1e-3) / (1 - p + 1e-3))))
-    parts = [_features(pa.array(texts[i:i + 256], pa.string())) for i in range(0, len(texts), 256)]
-    owner = np.concatenate([p[0] + 256 * k for k, p in enumerate(parts)])
+    parts = [_features(pa.array(texts[i:i + 64], pa.string())) for i in range(0, len(texts), 64)]
+    owner = np.concatenate([p[0] + np.int32(64 * k) for k, p in enumerate(parts)])
     bucket, share = (np.concatenate([p[j] for p in parts]) for j in (1, 2))
+    del parts
     aside = np.array([zlib.crc32((t or "").encode()) % 4 == 3 for t in texts])
     if aside.all() or labels[aside].size < 20:
         aside[:] = False

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from curbledger.llm import words as W
 
-KEEP = 1_000_000  # segments in each of a memory's two generations: about 200 MB
+KEEP = 700_000    # segments in each of a memory's two generations: about 140 MB
 SLICE = 8 << 20    # bytes of text that share a look-up
 GROUP = 100       # new segments that are encoded in one call
 SHORT = 64        # bytes; longer segments are encoded alone and not remembered
