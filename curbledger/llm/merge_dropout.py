@@ -30,6 +30,7 @@ MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 1, 4
 SPACE = "▁"
 LONG = 40          # characters; longer segments are merged one by one
+SLICE = 8 << 20    # bytes of text whose new segments are merged together
 KEEP = 250_000     # segments in memory for each variant
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 _NONE = -(1 << 60)
@@ -255,7 +256,7 @@ def _encode(path: str, dropout: float, seed: int, variants: int):
         if name not in _open:
             _open[name] = Encoder(*name)
         encoder = _open[name]
-        for part in W.slices(batches, "text"):
+        for part in W.slices(batches, "text", size=SLICE):
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids = encoder.texts(texts, part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))
             same = [encoder.pieces.decode(v) == t.encode() for v, t in zip(ids, texts)]
