@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbledger.functions import lists
-from curbledger.functions.calendar import month_first, yrmo
+from curbledger.functions.calendar import month_first, month_last, yrmo
 from curbledger.operators.billing import service_months
 from curbledger.session import durable
 
@@ -33,12 +33,12 @@ def terminations_in_period(
     The last day of a month counts for the next month.  Rows are merged with a weight
     `n`, so a license with many services does not multiply.
     """
-    first, last = month_first(sd), month_first(ed)
-    counted = F.date_add("end_dtm", 1)
+    # from the last day of the month before to the last day but one: plain bounds, which reach both scans
+    since, until = month_first(sd) - dt.timedelta(days=1), month_last(ed)
     ended = suspended.filter(
-        F.col("is_terminate") & F.trunc(counted, "month").between(F.lit(first), F.lit(last))
-    ).select("cd_license", yrmo(counted).alias("ix"), F.col("end_dtm").alias("_gone"), "reason_id")
-    running = services.filter(F.col("end_dtm").isNotNull()).select(
+        F.col("is_terminate") & (F.col("end_dtm") >= F.lit(since)) & (F.col("end_dtm") < F.lit(until))
+    ).select("cd_license", yrmo(F.date_add("end_dtm", 1)).alias("ix"), F.col("end_dtm").alias("_gone"), "reason_id")
+    running = services.filter((F.col("end_dtm") >= F.lit(since)) & (F.col("start_dtm") < F.lit(until))).select(
         "company", "cd_license", "srv_dis", "srv_loc", "start_dtm", "end_dtm"
     )
     hits = running.join(ended, "cd_license").filter(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbledger.functions import lists, ordered
-from curbledger.functions.calendar import first_of, month_key, yrmo
+from curbledger.functions.calendar import first_of, month_key, month_last, shift_month, yrmo
 from curbledger.operators.billing import BILL_KEY, bill_totals, service_months, with_due_date
 from curbledger.operators.reconcile import MONEY, aligned, apply_archive, apply_bills, diff_bills, stored_bills
 from curbledger.session import durable, near
@@ -141,8 +141,15 @@ def forward_billing(
     payers = customer.select("id", "is_mobill")
     visited = [state.select("uid", F.lit(0).alias("ix_yrmo")).filter(F.lit(False))]
     h = first_months
-    while (left := state.count()) > 0:
-        nets = _round_nets(near(state, left), bill, bill_archive, services, payers, h)
+    while True:
+        # one row: the months of this round as plain bounds, which reach the scans
+        left, low, last = state.agg(F.count(F.lit(1)), F.min("month"), F.max("month")).first()
+        if not left:
+            break
+        high = shift_month(last, h - 1)
+        within = F.col("ix_yrmo").between(month_key(low), month_key(high))
+        served = (F.col("start_dtm") <= F.lit(month_last(high))) & (F.col("end_dtm").isNull() | (F.col("end_dtm") >= F.lit(low)))
+        nets = _round_nets(near(state, left), bill.filter(within), bill_archive.filter(within), services.filter(served), payers, h)
         by_order = F.transform(
             F.sequence(F.lit(0), F.lit(h - 1)),
             lambda i: F.coalesce(

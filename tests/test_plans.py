@@ -26,3 +26,11 @@ def test_bill_filters_and_columns_reach_the_scan(spark):
     text = plan(spark, "calc_bills")
     assert "LessThanOrEqual(start_dtm,1998-06-30)" in text
     assert "srv_floor" not in text and "rotation" not in text
+
+
+def test_census_dates_reach_both_scans(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # else the lists of filters are cut
+    pushed = [line for line in plan(spark, "census_terminations").splitlines() if "PushedFilters" in line]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert any("GreaterThanOrEqual(end_dtm,1997-12-31)" in line and "LessThan(end_dtm,1998-06-30)" in line for line in pushed)
+    assert any("GreaterThanOrEqual(end_dtm,1997-12-31)" in line and "LessThan(start_dtm,1998-06-30)" in line for line in pushed)
