@@ -7,13 +7,16 @@
   prefixes: where a region is dense the neighbours agree to a greater depth, where it is sparse
   three values do.  Two sets of similarity 0.8 share a region in some tree with probability
   1 - (1 - 0.8 ** 3) ** 20 = 1 - 6e-7.
-* Each node is a candidate with its next neighbour in each tree, and, where that one does not agree to
-  depth `DENSE`, with the next `WIDTH`: dense regions are chained by close neighbours, and in sparse ones a
-  node between two similar ones does not part them.  The sorted orders are range
-  partitions, so a region of any size spreads over blocks; block borders meet in a second step.
+* First, each node is a candidate with its next neighbour in each tree, and, where that one does not agree to
+  depth `DENSE`, with the next `WIDTH`: dense regions are chained by close neighbours.  The sorted orders are
+  range partitions, so a region of any size spreads over blocks; block borders meet in a second step.
 * Candidates are confirmed on the full sets, best supported pairs first.  Pairs whose nodes are
   connected already need no look: components are the result, and in a group of n near copies
   about n pairs are compared rather than n * n / 2.  All pairs left after `ROUNDS` rounds are compared.
+* Then every region whose nodes are not all connected is compared whole: all pairs of nodes of different
+  components, one by one in regions of up to `SMALL` nodes, and in blocks of about `BLOCK` nodes (on full sets, too) in
+  larger ones.  So each pair that shares a region is compared or connected, however crowded the region is.
+  This grows with the square of the nodes of a crowd that stay apart, such as texts of one template.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ from pyspark.sql import functions as F
 
 from curbledger.functions.components import connected
 from curbledger.llm import words as W
-from curbledger.session import stored
+from curbledger.session import near, stored
 
 TREES, DEPTH, TAIL = 20, 3, 8
 VALUES = TREES * DEPTH
 WIDTH = 2
 DENSE = 6  # a neighbour that agrees to this depth is enough
 ROUNDS = 4
+SMALL = 16   # nodes of a region whose pairs are listed
+BLOCK = 256  # nodes of a larger region that are compared with as many others at a time
 NO_ID = -(1 << 63)  # stands for a NULL document id: before all others
 
 _rng = np.random.default_rng(20)
@@ -86,6 +91,18 @@ def _sketch(size: int):
     return run
 
 
+def _region(signature: np.ndarray, t: int) -> np.ndarray:
+    """Tree t's region of every node."""
+    region = np.full(len(signature), t, np.uint64)
+    for k in range(DEPTH * t, DEPTH * (t + 1)):
+        region = W.mixed(region * np.uint64(W.BYTE_BASE) + signature[:, k])
+    return region.view(np.int64)
+
+
+def _signatures(part: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(part.num_rows, VALUES).astype(np.uint64)
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each node and tree: region, the next values' low bytes in order, node."""
     for part in batches:
@@ -93,16 +110,21 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         node = part.column("node")
-        signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(n, VALUES).astype(np.uint64)
+        signature = _signatures(part)
         for t in range(TREES):
-            order = [(DEPTH * t + i) % VALUES for i in range(DEPTH + TAIL)]
-            region = np.full(n, t, np.uint64)
-            for k in order[:DEPTH]:
-                region = W.mixed(region * np.uint64(W.BYTE_BASE) + signature[:, k])
             tail = np.zeros(n, np.uint64)
-            for k in order[DEPTH:]:
-                tail = (tail << np.uint64(8)) | (signature[:, k] & np.uint64(255))
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(tail.view(np.int64)), node], ["region", "tail", "node"])
+            for i in range(DEPTH, DEPTH + TAIL):
+                tail = (tail << np.uint64(8)) | (signature[:, (DEPTH * t + i) % VALUES] & np.uint64(255))
+            yield pa.RecordBatch.from_arrays([pa.array(_region(signature, t)), pa.array(tail.view(np.int64)), node], ["region", "tail", "node"])
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each node and tree: region, node, root."""
+    for part in batches:
+        if part.num_rows:
+            signature = _signatures(part)
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(_region(signature, t)), part.column("node"), part.column("root")], ["region", "node", "root"])
 
 
 def _depths(tails: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -178,6 +200,92 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _open_regions(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """(region, node, root, n) of regions of n > 2 nodes that are not all connected (two nodes were neighbours)."""
+    rooted = stored(nodes.select("node", "signature").join(label, "node", "left").select("node", "signature", F.coalesce("root", "node").alias("root")))
+    rows = rooted.mapInArrow(_regions, "region long, node binary, root binary")
+    parted = stored(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+                    .filter("n > 2 AND low <> high").select("region", "n"))
+    return stored(rows.join(near(parted, parted.count()), "region"))
+
+
+def _listed(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of nodes of different components in small regions."""
+    rows = members.filter(F.col("n") <= SMALL).groupBy("region").agg(F.collect_list(F.struct("node", "root")).alias("m"))
+    both = rows.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
+    return both.filter("x.node < y.node AND x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """(region, i, j, own, node, root): nodes of large regions, for each pair (i, j) of blocks that theirs is in.
+
+    The nodes of a region's largest component are blocks behind the others, and are not compared with each other.
+    """
+    large = members.filter(F.col("n") > SMALL)
+    top = large.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.max(F.struct("c", "root")).alias("top"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    spot = F.xxhash64("node")
+    sized = large.join(top, "region").select("region", "node", "root", (F.col("root") == F.col("top.root")).alias("main"),
+                                             blocks(F.col("top.c")).alias("mains"), blocks(F.col("n") - F.col("top.c")).alias("rests"))
+    own = F.when(F.col("main"), F.col("rests") + F.pmod(spot, F.col("mains"))).otherwise(F.pmod(spot, F.col("rests"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("rests") + F.when(F.col("main"), 0).otherwise(F.col("mains")) - 1)
+    return sized.select("region", own.alias("own"), F.explode(others).alias("other"), "node", "root").select(
+        "region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+
+
+def _compare(size: int, percent: int):
+    """Links (a, b) between the components of one pair of blocks, none that follows from the others."""
+    width = 4096  # shingles at a time
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        n, i, j = block.num_rows, block.column("i")[0].as_py(), block.column("j")[0].as_py()
+        own, roots = block.column("own").to_numpy(), block.column("root").combine_chunks().dictionary_encode()
+        root = roots.indices.to_numpy()
+        hashes, first = shingle_sets(block.column("text").combine_chunks(), size)
+        owner, counts = np.repeat(np.arange(n), np.diff(first)), np.diff(first)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        place = np.zeros(n, np.int64)
+        place[left] = np.arange(len(left))
+        place[right] = np.arange(len(right))
+        order = np.argsort(hashes, kind="stable")
+        owner, code = owner[order], np.cumsum(np.diff(hashes[order], prepend=hashes[order][:1]) != 0)
+        shared = np.zeros((len(left), len(right)), np.float32)  # whole numbers, exact below 2**24
+        if len(left) and len(right):
+            sides = [np.bincount(code[own[owner] == k], minlength=code[-1] + 1) for k in (i, j)]
+            common = (sides[0] > 0) & (sides[1] > 0) if i != j else sides[0] > 1
+            kept = common[code]
+            owner, code = owner[kept], (np.cumsum(common) - 1)[code[kept]]
+            for at in range(0, int(common.sum()), width):
+                low, high = np.searchsorted(code, (at, at + width))
+                who, what = owner[low:high], code[low:high] - at
+                one, two = own[who] == i, own[who] == j
+                a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+                a[place[who[one]], what[one]] = 1
+                b[place[who[two]], what[two]] = 1
+                shared += a @ b.T
+        both = shared.astype(np.int64)
+        linked = 100 * both >= percent * (counts[left][:, None] + counts[right][None, :] - both)
+        linked &= root[left][:, None] != root[right][None, :]
+        x, y = np.nonzero(linked)
+        top: dict[int, int] = {}
+
+        def end(r: int) -> int:
+            while r in top:
+                r = top[r]
+            return r
+
+        out = []
+        for r, s in np.unique(np.stack([root[left][x], root[right][y]], axis=1), axis=0).tolist():
+            if end(r) != end(s):
+                top[end(r)] = end(s)
+                out.append((r, s))
+        names = roots.dictionary
+        return pa.table([names.take(pa.array([o[k] for o in out], pa.int32())) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc (NO_ID for a NULL id), n_shingles, component (smallest doc).
 
@@ -201,6 +309,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return stored(both.mapInArrow(_confirm(shingle, percent), "a binary, b binary, linked boolean"))
 
+    tried = pairs.select("a", "b")
     links = label = None
     for turn in range(ROUNDS + 1):
         if not pairs.limit(1).count():
@@ -219,6 +328,14 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             for side in ("a", "b"):
                 rest = rest.join(label.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left")
             pairs = stored(rest.filter("_a IS NULL OR _b IS NULL OR _a <> _b").select("a", "b", "support"))
+    if label is not None:  # regions whose nodes are not all connected, whole
+        members = _open_regions(nodes, label)
+        listed = stored(_listed(members).join(tried, ["a", "b"], "left_anti"))
+        blocks = _blocked(members).join(texts, "node").groupBy("region", "i", "j").applyInArrow(
+            _compare(shingle, percent), "a binary, b binary")
+        new = stored(confirmed(listed).filter("linked").select("a", "b").unionByName(blocks))
+        if new.limit(1).count():
+            label = stored(connected(links.unionByName(new)))
     if label is None:
         label = docs.sparkSession.createDataFrame([], "node binary, root binary")
     rooted = sketches.select("doc", "n_shingles", "node").join(label, "node", "left").withColumn(

@@ -82,6 +82,27 @@ def test_same_as_all_pairs(spark, name):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got], key=repr) == brute(CASES[name])
 
 
+def template(n=1000, own=18, words=126, seed=5):
+    """Texts that share a template at 0.75 or less with one another, and 60 hidden pairs of 0.8 and a little more."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(words - own)]
+    texts = [base + [str(rng.random()) for _ in range(own)] for _ in range(n)]
+    for k in range(60):  # the pair shares a part of its end
+        texts[n - 1 - k] = texts[k][:-12] + [str(rng.random()) for _ in range(12)]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_pairs_hidden_among_texts_of_one_template(spark):
+    rows = template()
+    some = dict(rows)
+    known = [100 * len(a & b) / len(a | b) for a, b in ((sets(some[x], 4), sets(some[y], 4)) for x, y in [(0, 999), (0, 1), (500, 999)])]
+    assert 80 <= known[0] < 85 and 70 <= known[1] <= 76 and 70 <= known[2] <= 76
+    got = M.op3_minhash_forest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, 999 - d if d > 939 else d) for d, _ in rows)
+
+
 def test_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(d, t, 5) for d, t in CASES["groups"]], "doc_id long, text string, tag int")
     out = M.one_of_each(docs)
