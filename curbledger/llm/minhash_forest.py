@@ -287,7 +287,8 @@ def _compare(size: int, percent: int):
 
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of `docs`: doc (NO_ID for a NULL id), n_shingles, component (smallest doc).
+    """One row per row of `docs`: doc (NO_ID for a NULL id), tag (a hash of the text), n_shingles, component (smallest
+    doc), first (the smallest tag of that doc in the component).
 
     Words are lower-cased (A-Z).  Documents are linked if 100 * |intersection| >= percent * |union| of
     their sets of `shingle` words; a text without words is linked with nothing.  Rows of one id and
@@ -296,7 +297,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     if percent < 80:
         raise ValueError("the forest finds links of 80 percent and more")
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.expr("xxhash64(text) & 2147483647L").alias("tag"), "text")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
     sketches = stored(rows.mapInArrow(_sketch(shingle), "doc long, tag long, n_shingles long, node binary, signature binary"))
     some = sketches.filter("n_shingles > 0")
     nodes = stored(some.groupBy("node").agg(F.min(F.struct("doc", "tag")).alias("d"), F.first("signature").alias("signature")))
@@ -338,11 +339,12 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             label = stored(connected(links.unionByName(new)))
     if label is None:
         label = docs.sparkSession.createDataFrame([], "node binary, root binary")
-    rooted = sketches.select("doc", "n_shingles", "node").join(label, "node", "left").withColumn(
+    rooted = sketches.select("doc", "tag", "n_shingles", "node").join(label, "node", "left").withColumn(
         "root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
     # a table of its own: a root with very many documents can then be split in the join
-    least = stored(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("component")))
-    return rooted.join(least, "root", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
+    least = stored(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc", "tag")).alias("least")))
+    return rooted.join(least, "root", "left").select("doc", "tag", "n_shingles", F.coalesce("least.doc", "doc").alias("component"),
+                                                     F.coalesce("least.tag", "tag").alias("first"))
 
 
 def op3_minhash_forest(docs: DataFrame) -> DataFrame:
@@ -354,7 +356,11 @@ def op3_minhash_forest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their group, with all their columns."""
-    gone = near_components(docs, shingle, percent).filter("doc <> component").select(F.col("doc").alias("_doc")).distinct()
-    return docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(gone, "_doc", "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    """The row of the smallest id of each group, with all its columns.
+
+    Of several texts of that id one stays; rows equal in id and text (the exact stage leaves none) stay or go together.
+    """
+    gone = near_components(docs, shingle, percent).filter("doc <> component OR tag <> first").select(
+        F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).distinct()
+    return docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(NO_ID)), "_tag": F.xxhash64("text")}).join(
+        gone, ["_doc", "_tag"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

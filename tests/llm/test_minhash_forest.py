@@ -110,6 +110,16 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, _, _, kept in brute(CASES["groups"], 5) if kept)
 
 
+def test_stage_with_repeated_and_missing_ids(spark):
+    text = lambda k, end: " ".join([f"{k}w{i}" for i in range(100)] + [end])
+    rows = [(3, text("a", "x")), (5, text("a", "y")), (5, text("b", "x")), (6, text("c", "x")), (6, text("c", "y")),
+            (None, text("d", "x")), (None, text("d", "y")), (None, text("e", "x")), (7, text("e", "y")), (8, None), (8, "")]
+    out = [tuple(r) for r in M.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(out) == len(set(out)) == 7
+    assert {rows[0], rows[2], rows[7], (8, None), (8, "")} < set(out)
+    assert len({rows[3], rows[4]} & set(out)) == len({rows[5], rows[6]} & set(out)) == 1
+
+
 def test_signatures_estimate_similarity():
     a = " ".join(str(i) for i in range(2000))
     b = " ".join(str(i) for i in range(400, 2000))
