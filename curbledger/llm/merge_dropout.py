@@ -2,13 +2,15 @@
 
 Merging works on an agenda: of all neighbouring symbols whose concatenation is a piece, the pair with
 the best score (the leftmost of equals) is merged, and its new neighbours join the agenda.  A
-candidate is skipped for good if a keyed hash of (seed, variant, segment, its place, the piece) falls
-below the dropout rate; so the same key always gives the same segmentation and others vary.
+candidate is skipped for good if a keyed hash of (seed, document, place of the segment, place in the segment, the
+piece) falls below the dropout rate; so each occurrence of a word is drawn by itself, and always the same.
 
 Pieces never cross from a word to the next, so a text is cut into segments (spaces and the word behind
-them; line ends), and all distinct segments of a slice are merged together as rows of one array,
-one step of every segment's agenda at a time.  Each occurrence in a text takes one of `VARIANTS`
-keyed variants of its segment, chosen by a hash of the seed, the document and the place.
+them; line ends).  The merges that a segment takes are remembered for each set of skipped candidates
+(a path), the empty set first.  An occurrence follows a path if none of its merges is skipped in that
+occurrence; else the skipped ones join the set, and the next path is looked at.  The last path is
+what the agenda gives with all draws of the occurrence: at each step the best candidate that is not skipped.
+New paths of a slice are merged together as rows of one array, one step of every agenda at a time.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from curbledger.llm import words as W
 from curbledger.llm.token_ids import crcs
 
 MODEL = "piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 1, 4
+DROPOUT, SEED = 0.1, 1
 SPACE = "▁"
 LONG = 40          # characters; longer segments are merged one by one
-SLICE = 8 << 20    # bytes of text whose new segments are merged together
-KEEP = 250_000     # segments in memory for each variant
+SLICE = 8 << 20    # bytes of text whose new paths are merged together
+KEEP = 400_000     # paths in memory
+DRAWS = 200_000    # occurrences that are drawn at a time
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 _NONE = -(1 << 60)
 _open: dict[tuple, "Pieces"] = {}
@@ -110,7 +113,15 @@ def _keys(seed: int, segments: list[tuple[str, int]]) -> np.ndarray:
 def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, dropout: float) -> np.ndarray:
     if dropout <= 0:
         return np.zeros(len(place), bool)
-    h = W.mixed(key ^ W.mixed(place.astype(np.uint64) * np.uint64(1 << 32) + piece.astype(np.uint64)))
+    return _drawn(key, _codes(place, piece), dropout)
+
+
+def _codes(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return place.astype(np.uint64) * np.uint64(1 << 32) + piece.astype(np.uint64)
+
+
+def _drawn(key: np.ndarray, codes: np.ndarray, dropout: float) -> np.ndarray:
+    h = W.mixed(key ^ W.mixed(codes))
     return (h >> np.uint64(11)).astype(np.float64) < dropout * 2.0 ** 53
 
 
@@ -145,6 +156,11 @@ def merge_one(p: Pieces, segment: str, key: int, dropout: float) -> bytes:
 
 def merge_many(p: Pieces, segments: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
     """The agendas of many segments of similar length, side by side."""
+    return _merged(p, segments, lambda rows, place, piece: _skipped(keys[rows], place, piece, dropout))[0]
+
+
+def _merged(p: Pieces, segments: list[str], skip) -> tuple[list[bytes], list[bytes]]:
+    """Ids and taken merges (place << 32 | piece) of segments; skip(segment numbers, places, pieces) tells what is left out."""
     n, width = len(segments), max(map(len, segments))
     symbols = np.full((n, width + 1), -1, np.int64)
     for i, s in enumerate(segments):
@@ -153,19 +169,19 @@ def merge_many(p: Pieces, segments: list[str], keys: np.ndarray, dropout: float)
     # for the pair that begins at each symbol: rank (or _NONE) and merged piece
     rank, merged = np.full((n, width), _NONE, np.int64), np.zeros((n, width), np.int64)
 
-    def look(rows: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
+    def look(rows: np.ndarray, at: np.ndarray) -> None:
         a, b = symbols[rows, at], symbols[rows, at + 1]
         code = np.where((a >= 0) & (b >= 0), a * p.width + b, -1)
         spot = np.minimum(np.searchsorted(p.pairs, code), len(p.pairs) - 1)
         found = p.pairs[spot] == code
-        found &= ~_skipped(key[rows], starts[rows, at], p.merged[spot], dropout)
+        found &= ~skip(number[rows], starts[rows, at], p.merged[spot])
         rank[rows, at] = np.where(found, p.rank[spot], _NONE)
         merged[rows, at] = p.merged[spot]
 
-    every = np.arange(n)
+    number = every = np.arange(n)
     for at in range(width):
-        look(every, np.full(n, at), keys)
-    number, out, steps = every, [b""] * n, np.arange(width + 1)
+        look(every, np.full(n, at))
+    out, steps, taken = [b""] * n, np.arange(width + 1), [(every[:0], np.zeros(0, np.uint64))]
     while len(number):
         best = rank.argmax(axis=1)
         rows = np.arange(len(number))
@@ -178,11 +194,12 @@ def merge_many(p: Pieces, segments: list[str], keys: np.ndarray, dropout: float)
                 m = sizes[j]
                 out[number[i]] = narrow[j, :m].tobytes() if plain[j] else p.written(
                     last[j, :m].tolist(), starts[i, :m].tolist(), segments[number[i]])
-            symbols, starts, rank, merged, number, best, keys = (x[go] for x in (symbols, starts, rank, merged, number, best, keys))
+            symbols, starts, rank, merged, number, best = (x[go] for x in (symbols, starts, rank, merged, number, best))
             rows = np.arange(len(number))
             if not len(number):
                 break
         new = merged[rows, best]
+        taken.append((number, _codes(starts[rows, best], new)))
         # drop the right symbol of each best pair; what is behind moves up
         take = np.minimum(steps + (steps > best[:, None]), width)
         symbols = np.take_along_axis(symbols, take, axis=1)
@@ -192,67 +209,110 @@ def merge_many(p: Pieces, segments: list[str], keys: np.ndarray, dropout: float)
         merged = np.take_along_axis(merged, np.minimum(take[:, :-1], width - 1), axis=1)
         rank[:, -1] = _NONE
         symbols[rows, best] = new
-        look(rows, best, keys)
+        look(rows, best)
         left = np.flatnonzero(best > 0)
         if len(left):
-            look(left, best[left] - 1, keys)
-    return out
+            look(left, best[left] - 1)
+    owner, codes = (np.concatenate(x) for x in zip(*taken))
+    order = np.argsort(owner, kind="stable")
+    body, bounds = codes[order].tobytes(), (np.searchsorted(owner[order], np.arange(n + 1)) * 8).tolist()
+    return out, [body[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 class Encoder:
-    """Encodes texts; segments are merged once for each variant and worker."""
+    """Encodes texts; every path is merged once for each worker.  `variants` is not read any more."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int) -> None:
+    def __init__(self, path: str, dropout: float, seed: int, variants: int = 0) -> None:
         self.pieces, self.dropout, self.seed = pieces(path), dropout, seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants if dropout > 0 else 1)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.paths: list[tuple[str, bytes, bytes, bytes]] = []  # segment, skipped merges, taken merges, ids
+        self.first: dict[str, int] = {}                         # path of a segment without skips
+        self.next: dict[tuple[int, int], int] = {}              # by path and a bit for each skipped one of its merges
 
     def texts(self, texts: list[str], documents: np.ndarray) -> list[bytes]:
         cut = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
         places = np.concatenate([np.arange(len(c), dtype=np.uint64) for c in cut] or [np.zeros(0, np.uint64)])
         owner = np.repeat(documents.astype(np.int64).view(np.uint64), [len(c) for c in cut])
-        chosen = W.mixed(W.mixed(owner + np.uint64(self.seed)) + places) % np.uint64(len(self.known))
-        variants, at, missing = chosen.tolist(), 0, set()
-        drawn = []
+        keys = W.mixed(W.mixed(owner + np.uint64(self.seed)) + places)
+        segments = [s for c in cut for s in c]
+        known = set(segments)
+        missing = [s for s in known if s not in self.first and len(s) <= LONG]
+        self.first.update(zip(missing, self._added([(s, b"") for s in missing])))
+        path = np.array([self.first.get(s, -1) for s in segments], np.int64)
+        for at in range(0, len(path) if self.dropout > 0 else 0, DRAWS):
+            self._follow(path[at:at + DRAWS], keys[at:at + DRAWS])
+        long = {i: merge_one(self.pieces, segments[i], int(keys[i]), self.dropout) for i in np.flatnonzero(path < 0).tolist()}
+        ids = [self.paths[k][3] if k >= 0 else long[i] for i, k in enumerate(path.tolist())]
+        out, at = [], 0
         for c in cut:
-            v = variants[at:at + len(c)]
+            out.append(b"".join(ids[at:at + len(c)]))
             at += len(c)
-            drawn.append(v)
-            missing.update([(s, k) for s, k in zip(c, v) if s not in self.known[k]])
-        new = self._merged(sorted(missing, key=lambda x: len(x[0])))
-        out = []
-        for c, v in zip(cut, drawn):
-            try:
-                out.append(b"".join([self.known[k][s] for s, k in zip(c, v)]))
-            except KeyError:  # a segment that is too long to remember
-                out.append(b"".join([self.known[k].get(s) or new[s, k] for s, k in zip(c, v)]))
-        for k, have in enumerate(self.known):
-            if len(have) > KEEP:
-                self.known[k] = {}
+        if len(self.paths) > KEEP:
+            self._forget()
         return out
 
-    def _merged(self, missing: list[tuple[str, int]]) -> dict[tuple[str, int], bytes]:
-        rest: dict[tuple[str, int], bytes] = {}
+    def _follow(self, path: np.ndarray, keys: np.ndarray) -> None:
+        """Moves every occurrence on to the path that its draws leave."""
+        open_ = np.flatnonzero(path >= 0)
+        while len(open_):
+            found, inverse = np.unique(path[open_], return_inverse=True)
+            taken = [self.paths[k][2] for k in found.tolist()]
+            codes = np.frombuffer(b"".join(taken), np.uint64)
+            sizes = np.array([len(t) // 8 for t in taken])
+            begin, n = np.cumsum(sizes) - sizes, sizes[inverse]
+            mine = np.repeat(np.arange(len(open_)), n)
+            inner = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
+            gone = _drawn(keys[open_][mine], codes[begin[inverse][mine] + inner], self.dropout)
+            mask = np.zeros(len(open_), np.uint64)  # a segment of LONG characters has fewer than 64 merges
+            np.bitwise_or.at(mask, mine[gone], np.uint64(1) << inner[gone].astype(np.uint64))
+            hit = np.flatnonzero(mask)
+            open_, mask = open_[hit], mask[hit]
+            order = np.lexsort((mask, path[open_]))
+            open_, mask = open_[order], mask[order]
+            new = np.ones(len(open_), bool)
+            new[1:] = (mask[1:] != mask[:-1]) | (path[open_][1:] != path[open_][:-1])
+            steps = list(zip(path[open_][new].tolist(), mask[new].tolist()))
+            missing = [x for x in steps if x not in self.next]
+            self.next.update(zip(missing, self._added([self._without(*x) for x in missing])))
+            path[open_] = np.array([self.next[x] for x in steps], np.int64)[np.cumsum(new) - 1]
+
+    def _without(self, path: int, mask: int) -> tuple[str, bytes]:
+        segment, skipped, taken, _ = self.paths[path]
+        return segment, skipped + b"".join([taken[8 * k:8 * k + 8] for k in range(mask.bit_length()) if mask >> k & 1])
+
+    def _added(self, wanted: list[tuple[str, bytes]]) -> list[int]:
+        """Numbers of new paths, for segments of up to LONG characters and their skipped merges."""
+        numbers = [0] * len(wanted)
+        order = sorted(range(len(wanted)), key=lambda i: len(wanted[i][0]))
         at = 0
-        while at < len(missing):
-            length = len(missing[at][0])
-            if length > LONG:
-                s, k = missing[at]
-                rest[s, k] = merge_one(self.pieces, s, int(_keys(self.seed, [(s, k)])[0]), self.dropout)
-                at += 1
-                continue
-            to = at
-            while to < len(missing) and to - at < 20_000 and len(missing[to][0]) <= min(LONG, length + 1):
+        while at < len(order):
+            to, length = at, len(wanted[order[at]][0])
+            while to < len(order) and to - at < 20_000 and len(wanted[order[to]][0]) <= length + 1:
                 to += 1
-            part = missing[at:to]
-            for (s, k), ids in zip(part, merge_many(self.pieces, [s for s, _ in part], _keys(self.seed, part), self.dropout)):
-                self.known[k][s] = ids
+            part = [wanted[i] for i in order[at:to]]
+            codes = np.frombuffer(b"".join([k for _, k in part]), np.uint64)
+            rows = np.repeat(np.arange(len(part)), [len(k) // 8 for _, k in part]).astype(np.uint64)
+            # row, place and piece in one number
+            left_out = np.sort((rows << np.uint64(40)) | ((codes >> np.uint64(32)) << np.uint64(24)) | (codes & np.uint64((1 << 24) - 1)))
+
+            def skip(row: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+                if not len(left_out):
+                    return np.zeros(len(row), bool)
+                code = (row.astype(np.uint64) << np.uint64(40)) | (place.astype(np.uint64) << np.uint64(24)) | piece.astype(np.uint64)
+                return left_out[np.minimum(np.searchsorted(left_out, code), len(left_out) - 1)] == code
+
+            for i, (s, skipped), ids, taken in zip(order[at:to], part, *_merged(self.pieces, [s for s, _ in part], skip)):
+                numbers[i] = len(self.paths)
+                self.paths.append((s, skipped, taken, ids))
             at = to
-        return rest
+        return numbers
 
 
-def _encode(path: str, dropout: float, seed: int, variants: int):
+def _encode(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (path, dropout, seed, variants)
+        name = (path, dropout, seed)
         if name not in _open:
             _open[name] = Encoder(*name)
         encoder = _open[name]
@@ -267,7 +327,7 @@ def _encode(path: str, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, lossless (the ids decode to the text), ids (16 bits each, little-endian).
 
     A NULL or empty text has no ids.  Rows of one id and text get the same ids.  Characters without a piece,
@@ -275,7 +335,7 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants
     """
     path = model or public_tokenizers.path(MODEL)
     return docs.select("doc_id", "text").mapInArrow(
-        _encode(path, dropout, seed, variants), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean, ids binary")
+        _encode(path, dropout, seed), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean, ids binary")
 
 
 def op5_merge_dropout(docs: DataFrame) -> DataFrame:

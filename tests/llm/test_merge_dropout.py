@@ -51,6 +51,18 @@ def test_varied_but_keyed():
     assert len(ids(text, 0.0)) < len(a) < len(ids(text, 0.5)) < len(ids(text, 1.0))
 
 
+def test_every_occurrence_is_drawn_by_itself():
+    words = [" of", " considerations", " segmentation"]
+    p, n = M.pieces(PATH), 3000
+    for word in words:
+        text = (word * n)[1:]
+        got = np.frombuffer(ids(text, 0.1, doc=7), np.uint16)
+        key = M.W.mixed(M.W.mixed(np.full(n, 7, np.uint64) + np.uint64(1)) + np.arange(n, dtype=np.uint64))
+        want = [M.merge_one(p, word, int(k), 0.1) for k in key]
+        assert got.tobytes() == b"".join(want)
+        assert len(set(want)) > (1 if len(word) < 4 else 4)
+
+
 def test_rate_of_skipped_candidates():
     n = 200_000
     got = M._skipped(np.arange(n, dtype=np.uint64), np.zeros(n, np.int64), np.full(n, 77), 0.1).mean()
