@@ -4,7 +4,10 @@ One Bloom filter for each language, bit-sliced: cell i holds a 64-bit mask with
 set cell i.  An n-gram (five bytes of the lower-cased text, words apart by one space) looks up two
 cells; the AND of their masks is the set of all languages that contain it.  For each language the n-grams
 of a text are counted (a popcount of its bit), and the count is corrected for the false positives that
-the filter's fill lets expect.  The language with the largest corrected count is the answer.
+the filter's fill lets expect.  The language with the largest corrected count is the answer.  A text without any
+known n-gram of five bytes (a word of one or two letters has none at all) is judged by its n-grams of one to
+four bytes, spaces included, which are in the same filters.  Of equal counts, zeros too, the language with more
+training documents wins.
 
 A language contains the n-grams that at least `LEAST_SHARE` of its training documents have.  Since the text of a
 document has finitely many, that bounds the filter's load whatever the size of the corpus; the filter
@@ -37,8 +40,8 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of every text, and the texts' bounds among them."""
+def grams(texts: pa.Array, size: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of `size` bytes of every text, and the texts' bounds among them."""
     lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     w = W.split(lower)
     # the words again, each with a space before and one behind the last
@@ -49,15 +52,23 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(inner > 0)
     data[at] = w.data[(np.repeat(w.starts, sizes) + inner - 1)[at]]
     bounds = begin[w.first]  # a text's n-grams start in it and may end in the space that follows
-    lengths = np.maximum(np.diff(bounds) + 1 - (GRAM - 1), 0) * (np.diff(bounds) > 0)
+    lengths = np.maximum(np.diff(bounds) + 1 - (size - 1), 0) * (np.diff(bounds) > 0)
     first = np.concatenate([[0], np.cumsum(lengths)])
     start = np.arange(first[-1]) + np.repeat(bounds[:-1] - first[:-1], lengths)
     code = np.zeros(len(start), np.uint64)
-    for k in range(GRAM):
+    for k in range(size):
         code = (code << np.uint64(8)) | data[start + k]
+    if size < GRAM:  # no short one is equal to one of five bytes
+        code += np.uint64(size << 8 * GRAM)
     return W.mixed(code), first
 
 
+def short_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of one to four bytes and their texts' numbers."""
+    found = [grams(texts, size) for size in range(1, GRAM)]
+    return np.concatenate([h for h, _ in found]), np.concatenate([np.repeat(np.arange(len(texts)), np.diff(first)) for _, first in found])
+
+
 def cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & np.uint64(CELLS - 1)).astype(np.int64), ((hashes >> np.uint64(32)) & np.uint64(CELLS - 1)).astype(np.int64)
 
@@ -67,7 +78,8 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in W.slices(batches, "text"):
         hashes, first = grams(part.column("text"))
         language = part.column("language").to_numpy()
-        owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+        short, owner = short_grams(part.column("text"))
+        hashes, owner = np.concatenate([hashes, short]), np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(first)), owner])
         order = np.lexsort((hashes, owner))
         h, o = hashes[order], owner[order]
         new = np.ones(len(h), bool)
@@ -83,26 +95,36 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filters:
-    """The trained filters: language names in order, and the masks."""
+    """The trained filters: language names in order, the masks, and the languages' training documents."""
 
-    def __init__(self, names: list[str], masks: np.ndarray) -> None:
-        self.names, self.masks = names, masks
+    def __init__(self, names: list[str], masks: np.ndarray, documents: list[int]) -> None:
+        self.names, self.masks, self.documents = names, masks, documents
+        self.order = np.argsort(-np.array(documents, np.int64), kind="stable")  # who wins of equals
         bits = np.arange(len(names), dtype=np.uint64)
         fill = np.array([((masks >> b) & np.uint64(1)).mean() for b in bits])
         self.false = np.minimum(fill * fill, 0.999)  # two cells must be set by chance
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the language and score of every text (-1 without n-grams or languages)."""
+        """Number of the language and score of every text (-1 without words or languages)."""
         hashes, first = grams(texts)
+        if not self.names:
+            return np.full(len(texts), -1), np.zeros(len(texts))
+        true, n = self._counts(hashes, first)
+        few = np.flatnonzero(true.max(axis=1, initial=0.0) <= 0)
+        if len(few):
+            short, owner = short_grams(texts.take(pa.array(few)))
+            by = np.argsort(owner, kind="stable")
+            true[few], n[few] = self._counts(short[by], np.searchsorted(owner[by], np.arange(len(few) + 1)))
+        best = self.order[true[:, self.order].argmax(axis=1)]
+        return np.where(n > 0, best, -1), np.clip(true.max(axis=1, initial=0.0) / np.maximum(n, 1), 0.0, 1.0)
+
+    def _counts(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Corrected counts by text and language, and the texts' numbers of n-grams."""
         one, two = cells(hashes)
         found = self.masks[one] & self.masks[two]
         n = np.diff(first).astype(np.float64)
-        counts = np.stack([W.per_text(((found >> np.uint64(b)) & np.uint64(1)).astype(np.float64), first) for b in range(len(self.names))], axis=1) \
-            if self.names else np.zeros((len(texts), 0))
-        true = np.maximum((counts - n[:, None] * self.false) / (1 - self.false), 0.0)
-        best = true.argmax(axis=1) if self.names else np.full(len(texts), -1)
-        top = true.max(axis=1, initial=0.0)
-        return np.where(n > 0, best, -1), np.clip(top / np.maximum(n, 1), 0.0, 1.0)
+        counts = np.stack([W.per_text(((found >> np.uint64(b)) & np.uint64(1)).astype(np.float64), first) for b in range(len(self.names))], axis=1)
+        return np.maximum((counts - n[:, None] * self.false) / (1 - self.false), 0.0), n
 
 
 def train(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
@@ -113,7 +135,7 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
     if len(names) > LANGUAGES:
         raise ValueError(f"{len(names)} languages do not fit a mask of {LANGUAGES} bits")
     if not names:
-        return Filters([], np.zeros(CELLS, np.uint64))
+        return Filters([], np.zeros(CELLS, np.uint64), [])
     spot = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(_SPOTS))
     mine = F.lit(None).cast("int")
     for i, name in enumerate(names):
@@ -129,12 +151,12 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
     out = np.zeros(CELLS, np.uint64)
     for row in packed.toLocalIterator():
         out[np.array(row.c)] = np.array(row.m, np.int64).view(np.uint64)
-    return Filters(names, out)
+    return Filters(names, out, [counts[x] for x in names])
 
 
 def _predicted(filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = Filters(filters.value[0], filters.value[1])
+        ready = Filters(*filters.value)
         names = np.array([*ready.names, "und"], object)
         for part in W.slices(batches, "text"):
             best, score = ready.predict(part.column("text"))
@@ -148,7 +170,7 @@ def _predicted(filters):
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, held_out, lang_pred, score: only the text decides; `und` without letters or languages."""
-    sent = docs.sparkSession.sparkContext.broadcast((filters.names, filters.masks))  # 8 MB, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast((filters.names, filters.masks, filters.documents))  # 8 MB, whatever the input
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("has_letter"), "text")
     return rows.mapInArrow(_predicted(sent), "doc_id long, held_out boolean, lang_pred string, score double")
 

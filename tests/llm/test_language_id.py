@@ -68,3 +68,21 @@ def test_a_lookup_returns_all_languages_of_an_ngram():
         masks[cell] |= np.uint64(2)
     one, two = L.cells(half)
     assert (masks[one] & masks[two] == 3).all()
+
+
+def test_texts_without_long_ngrams(spark):
+    rows = [(d, g, t) for d, g, t in ROWS] + [(d + 10_000, "cc", text("cc")) for d, _, _ in ROWS]
+    odd = [(20_000, None, "q"), (20_001, None, "ök"), (20_002, None, "ka"), (20_003, None, "zzzzqqqq"), (20_004, None, "7"), (20_005, None, "ok")]
+    docs = spark.createDataFrame([(d, t, g) for d, g, t in rows + odd], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.op8_language_id(docs).collect()}
+    assert [got[d].lang_pred for d in (20_000, 20_001, 20_002, 20_003, 20_004)] == ["cc", "bb", "aa", "cc", "und"]
+    assert got[20_005].lang_pred in SYLLABLES and got[20_001].score > 0 and got[20_000].score >= 0
+    assert all(got[d].lang_pred == g for d, g, _ in rows)
+
+
+def test_short_grams_are_those_of_the_text():
+    hashes, owner = L.short_grams(pa.array(["X", "", "ok no"]))
+    whole = [b" x ", b"", b" ok no "]
+    want = [(n, g) for n, b in enumerate(whole) for k in range(1, L.GRAM) for g in [b[i:i + k] for i in range(len(b) - k + 1)]]
+    code = np.array([(len(g) << 40) + int.from_bytes(g, "big") for _, g in want], np.uint64)
+    assert sorted(zip(owner.tolist(), hashes.tolist())) == sorted(zip([n for n, _ in want], L.W.mixed(code).tolist()))
