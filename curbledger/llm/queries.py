@@ -13,6 +13,7 @@ from curbledger.llm.hilbert_packing import op4_hilbert_packing
 from curbledger.llm.language_id import op8_language_id
 from curbledger.llm.merge_dropout import op5_merge_dropout
 from curbledger.llm.minhash_forest import op3_minhash_forest
+from curbledger.llm.page_text import op12_page_text
 from curbledger.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from curbledger.llm.quality_rules import op10_quality_rules
 from curbledger.llm.substring_dedup import op1_substring_dedup
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weak_labels": _over(op9_weak_labels, "documents", "labels"),
     "op10_quality_rules": _over(op10_quality_rules, "documents", "labels"),
     "op11_prefix_trie": _over(op11_prefix_trie, "conversations"),
+    "op12_page_text": _over(op12_page_text, "pages"),
     "op13_fill_middle": _over(op13_fill_middle, "documents"),
 }
 
@@ -44,5 +46,6 @@ ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op6_chat_format": OP6_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_page_text": _over(op12_page_text, "pages"),
     "op13_fill_middle": OP13_SQL,
 }
