@@ -159,15 +159,16 @@ def op2_exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
+    """The rows of `docs` that stay, with all their columns, whatever these are called."""
     stay = exact_groups(docs).groupBy("doc", "sha").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).filter("kept")
-    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(
-        stay.select(F.col("doc").alias("_doc"), F.col("sha").alias("_sha"), F.col("rows").alias("_rows")), "_doc")
-    mine = keyed.filter(F.unhex(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " "), 256)) == F.col("_sha"))
-    single = mine.filter("_rows = 1")
-    repeated = mine.filter("_rows > 1").dropDuplicates(["_doc", "_sha"])
-    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " ")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"),
+                        F.unhex(F.sha2(text, 256)).alias("sha"))
+    mine = keyed.join(stay.select("doc", "sha", "rows"), ["doc", "sha"])
+    single = mine.filter("rows = 1").select("row")
+    repeated = mine.filter("rows > 1").dropDuplicates(["doc", "sha"]).select("row")
+    return single.unionByName(repeated).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 OP2_SQL = r"""

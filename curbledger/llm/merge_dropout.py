@@ -37,7 +37,7 @@ KEEP = 400_000     # paths in memory
 DRAWS = 200_000    # occurrences that are drawn at a time
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 _NONE = -(1 << 60)
-_open: dict[tuple, "Pieces"] = {}
+_open: dict[tuple, "Pieces"] = W.memory({})
 
 
 class Pieces:

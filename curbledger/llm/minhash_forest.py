@@ -356,11 +356,11 @@ def op3_minhash_forest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The row of the smallest id of each group, with all its columns.
+    """The row of the smallest id of each group, with all its columns, whatever these are called.
 
     Of several texts of that id one stays; rows equal in id and text (the exact stage leaves none) stay or go together.
     """
-    gone = near_components(docs, shingle, percent).filter("doc <> component OR tag <> first").select(
-        F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).distinct()
-    return docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(NO_ID)), "_tag": F.xxhash64("text")}).join(
-        gone, ["_doc", "_tag"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = near_components(docs, shingle, percent).filter("doc <> component OR tag <> first").select("doc", "tag").distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"),
+                        F.xxhash64("text").alias("tag"))
+    return keyed.join(gone, ["doc", "tag"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ SLICE = 8 << 20    # bytes of text that share a look-up
 GROUP = 100       # new segments that are encoded in one call
 SHORT = 64        # bytes; longer segments are encoded alone and not remembered
 
-_open: dict[tuple, "Encoder"] = {}
+_open: dict[tuple, "Encoder"] = W.memory({})
 
 
 class Encoder:

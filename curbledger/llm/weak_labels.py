@@ -103,6 +103,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, n_labelle
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.release()
     for part in W.slices(batches, "text"):
         out = votes(part.column("text"), W.split(part.column("text")))
         yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(pattern_of(out))], ["doc", "heuristic"])

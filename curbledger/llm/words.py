@@ -1,12 +1,15 @@
 """Words and word windows of Arrow text batches, as numpy arrays.
 
 A word is a run of bytes other than `[\\x20\\x09-\\x0D]` in UTF-8, so a code point is never cut.
-Hashes are polynomials modulo 2**64 over well-mixed values: a window of 2L words is made from
-two windows of L words by one multiplication.
+`hashes` are eight bytes of a keyed cryptographic digest of each word; hashes of windows are
+polynomials over them modulo 2**64: a window of 2L words is made from two windows of L words by one
+multiplication.  `buckets` are quick polynomials over bytes, for models that bear collisions.
 """
 
 from __future__ import annotations
 
+import gc
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +26,40 @@ SLICE_BYTES = 2 << 20  # texts are worked on in slices of about this size; a lon
 _ODD = (1 << 64) - 1
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
+KEEP = 200_000  # digests of words in a worker's memory: about 30 MB
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+class _Digests(dict):
+    """The digest of a word, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+
+_digests = _Digests()
+
+
+_memories: list[dict] = [_digests, _tables]
+
+
+def memory(of: dict) -> dict:
+    """`of`, to be emptied by `release`."""
+    _memories.append(of)
+    return of
+
+
+def release() -> None:
+    """Forget what earlier stages left in this worker process."""
+    for m in _memories:
+        m.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least (base is odd)."""
     have = _tables.get(base)
@@ -75,7 +109,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+        """A 64-bit digest of each word's bytes; words of one digest are taken as equal."""
+        out = np.empty(len(self), np.uint64)
+        for first, last in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
+            while first < last:  # a very long text in blocks of words
+                low = int(self.starts[first])
+                to = last if self.ends[last - 1] - low <= SLICE_BYTES else max(first + 1, first + int(np.searchsorted(self.ends[first:last], low + SLICE_BYTES)))
+                block = self.data[low:self.ends[to - 1]].tobytes().split()
+                out[first:to] = np.fromiter(map(_digests.__getitem__, block), np.uint64, to - first)
+                first = to
+        if len(_digests) > KEEP:
+            _digests.clear()
+        return out
+
+    def buckets(self) -> np.ndarray:
+        """A quick 64-bit polynomial over each word's bytes.  Unequal words can be found that share one."""
         out = np.empty(len(self), np.uint64)
         at = 0
         while at < len(self):  # blocks of words, so that the power tables stay small

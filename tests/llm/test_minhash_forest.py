@@ -127,3 +127,11 @@ def test_signatures_estimate_similarity():
     out = next(M._sketch(4)(iter([batch])))
     x, y = (np.frombuffer(v, np.uint32) for v in out.column("signature").to_pylist())
     assert 0.6 < (x == y).mean() < 0.95
+
+
+@pytest.mark.parametrize("lead", [[], ["a", "b", "c"]])
+def test_unequal_words_of_equal_polynomials(spark, lead):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(k, " ".join([*lead, "".join(letters[b] for b in bits)])) for k, letters in ((1, "ab"), (2, "ba"))]
+    got = M.op3_minhash_forest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]

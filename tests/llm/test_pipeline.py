@@ -3,6 +3,7 @@
 import re
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -47,3 +48,28 @@ def test_stages(spark):
     for r in kept["packing"]:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == {d: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows}
+
+
+NAMES = ["tag", "_doc", "_sha", "_tag", "_rows", "rest", "found", "doc", "sha", "rows", "row", "score", "kept", "node", "root", "spot", "label", "part"]
+
+
+def test_own_columns_come_back_from_every_stage(spark):
+    words = " ".join(f"word{i} and" for i in range(60)) + "."
+    rows = [(1, words), (2, words), (2, words), (None, "A line of its own, with ten words and some more."), (3, words + " end"), (4, None), (4, "x " * 40)]
+    docs = spark.createDataFrame([(d, t, "l", "s", len(t or ""), *[f"mine {n}" for n in NAMES]) for d, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"mine {n}" for r in got for n in NAMES), name
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, "a b"), (7, "a b"), (7, "a b"), (7, "c"), (8, "")]])
+def test_odd_tables_run_through(spark, tmp_path, rows):
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "mine") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, tag string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {d for d, _ in rows}
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
