@@ -12,7 +12,7 @@ a declared main container goes only if it is no heading and all lines of its kin
 as those of a site's notice are and those of prose are not.
 
 Lines stay where they are: only line keys (8 bytes) are dealt by URL order, in chunks that overlap by
-`NEAR` pages, and the numbers of the lines to delete come back.
+`NEAR` pages, and the numbers of the lines to delete come back, for pages that lose any.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from curbledger.functions.ordered import row_number
 from curbledger.llm import words as W
+from curbledger.session import near as few_rows
 from curbledger.session import stored
 
 NEAR = 2           # pages on each side that a page is aligned with
@@ -394,9 +395,10 @@ def main_texts(pages: DataFrame, near: int = NEAR, chunk: int = CHUNK) -> DataFr
     within = (F.col("rank") - 1) % chunk
     places = F.array_compact(F.array(here, F.when(within < near, here - 1), F.when(within >= chunk - near, here + 1)))
     dealt = ranked.withColumn("_here", here).withColumn("chunk", F.explode(places)).withColumn("own", F.col("chunk") == F.col("_here")).drop("_here")
-    drops = dealt.repartition("chunk").sortWithinPartitions("chunk", "rank").mapInArrow(_compare(near), "row long, drop array<int>")
+    drops = stored(dealt.repartition("chunk").sortWithinPartitions("chunk", "rank").mapInArrow(_compare(near), "row long, drop array<int>"))
+    numbers = drops.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
     lines = F.transform(F.filter(F.arrays_zip("texts", "at"), lambda x: ~F.array_contains("drop", x["at"])), lambda x: x["texts"])
-    return read.select("page_id", "url", "texts", "at", "row").join(drops, "row", "left").select(
+    return read.select("page_id", "url", "texts", "at", "row").join(few_rows(drops, numbers), "row", "left").select(
         "page_id", "url", F.when(F.col("drop").isNull(), F.col("texts")).otherwise(lines).alias("lines"))
 
 
