@@ -2,22 +2,24 @@
 
 Merging works on an agenda: of all neighbouring symbols whose concatenation is a piece, the pair with
 the best score (the leftmost of equals) is merged, and its new neighbours join the agenda.  A
-candidate is skipped for good if a keyed hash of (seed, document, place of the segment, place in the segment, the
-piece) falls below the dropout rate; so each occurrence of a word is drawn by itself, and always the same.
+candidate is skipped for good if a keyed hash of (seed, document, place of the segment, place and split in
+the segment, the piece) falls below the dropout rate; so each occurrence of a word is drawn by itself,
+and always the same.
 
 Pieces never cross from a word to the next, so a text is cut into segments (spaces and the word behind
-them; line ends).  The merges that a segment takes are remembered for each set of skipped candidates
-(a path), the empty set first.  An occurrence follows a path if none of its merges is skipped in that
-occurrence; else the skipped ones join the set, and the next path is looked at.  The last path is
-what the agenda gives with all draws of the occurrence: at each step the best candidate that is not skipped.
-New paths of a slice are merged together as rows of one array, one step of every agenda at a time.
+them; line ends).  Within a block of text, the merges that a distinct segment takes are worked out for
+each set of skipped candidates (a path), the empty set first.  An occurrence follows a path if none of its
+merges is skipped in that occurrence; else the skipped ones join the set, and the next path is looked at.
+The last path is what the agenda gives with all draws of the occurrence: at each step the best candidate that
+is not skipped.  Segments, paths and ids are flat arrays; new paths are merged together as rows of one matrix,
+one step of every agenda at a time.
 """
-
 from __future__ import annotations
 
 import heapq
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -32,11 +34,11 @@ MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
 SPACE = "▁"
 LONG = 40          # characters; longer segments are merged one by one
-SLICE = 8 << 20    # bytes of text whose new paths are merged together
-KEEP = 400_000     # paths in memory
+SLICE = 8 << 20    # bytes of text whose segments are looked at together
+ROWS = 20_000      # paths that are merged together
 DRAWS = 200_000    # occurrences that are drawn at a time
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
-_NONE = -(1 << 60)
+_NONE = -1
 _open: dict[tuple, "Pieces"] = W.memory({})
 
 
@@ -76,9 +78,49 @@ class Pieces:
         rank = np.unique(np.array(score), return_inverse=True)[1]  # equal scores stay equal
         self.rank = rank[order].astype(np.int64)
         self.lookup = dict(zip(self.pairs.tolist(), zip(self.rank.tolist(), self.merged.tolist())))
+        if self.width >= 1 << 18:
+            raise ValueError("too many pieces")
+        self.of_point = np.full(0x110000, self.other, np.int32)
+        for c, i in self.of_char.items():
+            self.of_point[ord(c)] = i
+        self._hash()
         self.bytes = [names[i].replace(SPACE, " ").encode() if i in names else b"" for i in range(self.size)]
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
+        sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.body, self.sizes, self.begin = np.frombuffer(b"".join(self.bytes), np.uint8), sizes, np.cumsum(sizes) - sizes
+
+    def _hash(self) -> None:
+        """An open-addressed table of the pairs."""
+        self.slots = np.full(1 << max(10, (4 * len(self.pairs)).bit_length()), -1, np.int64)
+        self.shift, self.entry = np.uint64(64 - (len(self.slots).bit_length() - 1)), np.zeros(len(self.slots), np.int32)
+        left, self.probes = np.arange(len(self.pairs)), 0
+        spot = self._spots(self.pairs)
+        while len(left):
+            free = self.slots[spot] < 0
+            at, who = np.unique(spot[free], return_index=True)
+            self.slots[at], self.entry[at] = self.pairs[left[free][who]], left[free][who]
+            rest = self.slots[spot] != self.pairs[left]
+            left, spot = left[rest], spot[rest] + 1 & len(self.slots) - 1
+            self.probes += 1
+
+    def _spots(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def found(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each pair, or -1."""
+        spot = self._spots(codes)
+        have = self.slots[spot]
+        out = np.where(have == codes, self.entry[spot], -1)
+        open_ = np.flatnonzero((have != codes) & (have >= 0))
+        for k in range(1, self.probes):
+            if not len(open_):
+                break
+            at = spot[open_] + k & len(self.slots) - 1
+            have, mine = self.slots[at], codes[open_]
+            out[open_] = np.where(have == mine, self.entry[at], -1)
+            open_ = open_[(have != mine) & (have >= 0)]
+        return out
 
     def symbols(self, segment: str) -> list[int]:
         return [self.of_char.get(c, self.other) for c in segment]
@@ -94,7 +136,8 @@ class Pieces:
 
     def decode(self, ids: bytes) -> bytes:
         """The text (UTF-8) of 16-bit ids of a text that was encoded with a space before it."""
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, np.uint16).tolist()))[1:]
+        ids = np.frombuffer(ids, np.uint16)
+        return self.body[W.ranges(self.begin[ids], self.sizes[ids])].tobytes()[1:]
 
 
 def pieces(path: str) -> Pieces:
@@ -110,14 +153,15 @@ def _keys(seed: int, segments: list[tuple[str, int]]) -> np.ndarray:
     return W.mixed(np.array(values, np.uint64) + np.uint64(seed * W.WORD_BASE & low))
 
 
-def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, dropout: float) -> np.ndarray:
+def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, dropout: float, split: np.ndarray | int = 1) -> np.ndarray:
     if dropout <= 0:
         return np.zeros(len(place), bool)
-    return _drawn(key, _codes(place, piece), dropout)
+    return _drawn(key, _codes(place, split, piece), dropout)
 
 
-def _codes(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    return place.astype(np.uint64) * np.uint64(1 << 32) + piece.astype(np.uint64)
+def _codes(place: np.ndarray, split: np.ndarray | int, piece: np.ndarray) -> np.ndarray:
+    """A candidate: where it begins, the characters of its left part, and what it makes."""
+    return (place.astype(np.int64) << 32 | np.asarray(split, np.int64) << 20 | piece).astype(np.uint64)
 
 
 def _drawn(key: np.ndarray, codes: np.ndarray, dropout: float) -> np.ndarray:
@@ -135,7 +179,7 @@ def merge_one(p: Pieces, segment: str, key: int, dropout: float) -> bytes:
     def offer(left: int) -> None:
         right = after[left]
         got = p.lookup.get(symbols[left] * p.width + symbols[right]) if right >= 0 else None
-        if got and not _skipped(np.array([key], np.uint64), np.array([left]), np.array([got[1]]), dropout)[0]:
+        if got and not _skipped(np.array([key], np.uint64), np.array([left]), np.array([got[1]]), dropout, right - left)[0]:
             heapq.heappush(agenda, (-got[0], left, right, symbols[left], symbols[right], got[1]))
 
     for i in range(n - 1):
@@ -156,158 +200,238 @@ def merge_one(p: Pieces, segment: str, key: int, dropout: float) -> bytes:
 
 def merge_many(p: Pieces, segments: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
     """The agendas of many segments of similar length, side by side."""
-    return _merged(p, segments, lambda rows, place, piece: _skipped(keys[rows], place, piece, dropout))[0]
+    points = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in segments]
+    sizes = np.array([len(x) for x in points])
+    out = _merged(p, np.concatenate(points), np.cumsum(sizes) - sizes, sizes,
+                  lambda rows, place, split, piece: _skipped(keys[rows], place, piece, dropout, split))[0]
+    return [out.values[a:b].tobytes() for a, b in zip(out.bounds[:-1], out.bounds[1:])]
+
+
+@dataclass
+class Lists:
+    """Lists of numbers, one after the other."""
+
+    values: np.ndarray
+    bounds: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.bounds)
+
+    def take(self, which: np.ndarray) -> Lists:
+        sizes = self.sizes[which]
+        return Lists(self.values[W.ranges(self.bounds[:-1][which], sizes)], W.sums(sizes))
+
+    @classmethod
+    def of(cls, owner: np.ndarray, values: np.ndarray, n: int) -> Lists:
+        """Values by their owners, in the order given."""
+        order = np.argsort(owner, kind="stable")
+        return cls(values[order], W.sums(np.bincount(owner, minlength=n)))
 
+    @classmethod
+    def joined(cls, parts: list[Lists]) -> Lists:
+        if len(parts) == 1:
+            return parts[0]
+        return cls(np.concatenate([x.values for x in parts]), W.sums(np.concatenate([x.sizes for x in parts])))
 
-def _merged(p: Pieces, segments: list[str], skip) -> tuple[list[bytes], list[bytes]]:
-    """Ids and taken merges (place << 32 | piece) of segments; skip(segment numbers, places, pieces) tells what is left out."""
-    n, width = len(segments), max(map(len, segments))
-    symbols = np.full((n, width + 1), -1, np.int64)
-    for i, s in enumerate(segments):
-        symbols[i, :len(s)] = p.symbols(s)
-    starts = np.tile(np.arange(width + 1), (n, 1))
+
+def _merged(p: Pieces, points: np.ndarray, begin: np.ndarray, sizes: np.ndarray, skip) -> tuple[Lists, Lists]:
+    """Ids and taken merges (`_codes`) of segments; skip(rows, places, splits, pieces) tells what is left out.
+
+    `points` has the code points of the segments, `begin` where each starts.  Every step merges the best
+    pair of every row, so the matrices lose a column; rows without a pair left go.
+    """
+    n, width = len(begin), int(sizes.max())
+    steps = np.arange(width + 1, dtype=np.int32)
+    inside = steps < sizes[:, None]
+    symbols = np.full((n, width + 1), -1, np.int32)
+    symbols[inside] = p.of_point[points[W.ranges(begin, sizes)]]
+    starts = np.tile(steps, (n, 1))
     # for the pair that begins at each symbol: rank (or _NONE) and merged piece
-    rank, merged = np.full((n, width), _NONE, np.int64), np.zeros((n, width), np.int64)
+    rank, merged = np.full((n, width), _NONE, np.int32), np.zeros((n, width), np.int32)
 
     def look(rows: np.ndarray, at: np.ndarray) -> None:
-        a, b = symbols[rows, at], symbols[rows, at + 1]
-        code = np.where((a >= 0) & (b >= 0), a * p.width + b, -1)
-        spot = np.minimum(np.searchsorted(p.pairs, code), len(p.pairs) - 1)
-        found = p.pairs[spot] == code
-        found &= ~skip(number[rows], starts[rows, at], p.merged[spot])
-        rank[rows, at] = np.where(found, p.rank[spot], _NONE)
-        merged[rows, at] = p.merged[spot]
-
-    number = every = np.arange(n)
-    for at in range(width):
-        look(every, np.full(n, at))
-    out, steps, taken = [b""] * n, np.arange(width + 1), [(every[:0], np.zeros(0, np.uint64))]
+        a, b = symbols[rows, at].astype(np.int64), symbols[rows, at + 1]
+        pair = p.found(np.where((a >= 0) & (b >= 0), a * p.width + b, 0))
+        hit = np.flatnonzero((pair >= 0) & (a >= 0) & (b >= 0))
+        rank[rows, at] = _NONE
+        if len(hit):
+            pair, r, c = pair[hit], rows[hit], at[hit]
+            place = starts[r, c]
+            good = ~skip(number[r], place, starts[r, c + 1] - place, p.merged[pair])
+            rank[r, c] = np.where(good, p.rank[pair], _NONE)
+            merged[r, c] = p.merged[pair]
+
+    number = np.arange(n)
+    r, c = np.nonzero(inside[:, 1:])
+    look(r, c)
+    done, odd, taken = [], [], [(number[:0], np.zeros(0, np.uint64))]
     while len(number):
-        best = rank.argmax(axis=1)
+        best = rank.argmax(axis=1) if rank.shape[1] else np.zeros(len(number), np.int64)
         rows = np.arange(len(number))
-        go = rank[rows, best] > _NONE
+        go = rank[rows, best] > _NONE if rank.shape[1] else np.zeros(len(number), bool)
         if not go.all():
-            ended = np.flatnonzero(~go)
-            last = symbols[ended]
-            sizes, plain, narrow = (last >= 0).sum(axis=1).tolist(), (last.max(axis=1) < p.size).tolist(), last.astype(np.uint16)
-            for j, i in enumerate(ended.tolist()):
-                m = sizes[j]
-                out[number[i]] = narrow[j, :m].tobytes() if plain[j] else p.written(
-                    last[j, :m].tolist(), starts[i, :m].tolist(), segments[number[i]])
+            last, who = symbols[~go], number[~go]
+            plain = last.max(axis=1) < p.size
+            for row, at, i in zip(last[~plain], starts[~go][~plain], who[~plain]):
+                m = int((row >= 0).sum())
+                segment = "".join(map(chr, points[begin[i]:begin[i] + sizes[i]]))
+                odd.append((i, np.frombuffer(p.written(row[:m].tolist(), at[:m].tolist(), segment), np.uint16)))
+            last = last[plain]
+            real = last >= 0
+            done.append((np.repeat(who[plain], real.sum(axis=1)), last[real].astype(np.uint16)))
             symbols, starts, rank, merged, number, best = (x[go] for x in (symbols, starts, rank, merged, number, best))
             rows = np.arange(len(number))
             if not len(number):
                 break
-        new = merged[rows, best]
-        taken.append((number, _codes(starts[rows, best], new)))
-        # drop the right symbol of each best pair; what is behind moves up
-        take = np.minimum(steps + (steps > best[:, None]), width)
-        symbols = np.take_along_axis(symbols, take, axis=1)
-        starts = np.take_along_axis(starts, take, axis=1)
-        symbols[:, -1] = -1
-        rank = np.take_along_axis(rank, np.minimum(take[:, :-1], width - 1), axis=1)
-        merged = np.take_along_axis(merged, np.minimum(take[:, :-1], width - 1), axis=1)
-        rank[:, -1] = _NONE
+        new, place = merged[rows, best], starts[rows, best]
+        taken.append((number, _codes(place, starts[rows, best + 1] - place, new)))
         symbols[rows, best] = new
-        look(rows, best)
+        # the right symbol of each best pair goes, and the pair that began with it
+        stay = np.ones(symbols.shape, bool)
+        stay[rows, best + 1] = False
+        symbols, starts = symbols[stay].reshape(len(rows), -1), starts[stay].reshape(len(rows), -1)
+        stay = np.ones(rank.shape, bool)
+        stay[rows, np.minimum(best + 1, rank.shape[1] - 1)] = False
+        rank, merged = rank[stay].reshape(len(rows), -1), merged[stay].reshape(len(rows), -1)
+        right = np.flatnonzero(best < rank.shape[1])
+        look(right, best[right])
         left = np.flatnonzero(best > 0)
-        if len(left):
-            look(left, best[left] - 1)
-    owner, codes = (np.concatenate(x) for x in zip(*taken))
-    order = np.argsort(owner, kind="stable")
-    body, bounds = codes[order].tobytes(), (np.searchsorted(owner[order], np.arange(n + 1)) * 8).tolist()
-    return out, [body[a:b] for a, b in zip(bounds, bounds[1:])]
+        look(left, best[left] - 1)
+    for i, ids in odd:
+        done.append((np.full(len(ids), i), ids))
+    ids = Lists.of(*(np.concatenate(x) for x in zip(*done)), n)
+    return ids, Lists.of(*(np.concatenate(x) for x in zip(*taken)), n)
+
+
+class _Paths:
+    """Paths of the distinct segments of a block: segment, skipped merges, taken merges, ids."""
+
+    def __init__(self, p: Pieces, points: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> None:
+        self.pieces, self.points, self.begin, self.sizes = p, points, begin, sizes
+        none = Lists(np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        self.segment, self.skipped, self.taken, self.ids = np.zeros(0, np.int64), none, none, Lists(np.zeros(0, np.uint16), np.zeros(1, np.int64))
+
+    def add(self, segment: np.ndarray, skipped: Lists) -> np.ndarray:
+        """Numbers of new paths."""
+        n = len(segment)
+        if not n:
+            return np.zeros(0, np.int64)
+        sizes = self.sizes[segment]
+        order = np.argsort(sizes, kind="stable")
+        ids, taken, at = [], [], 0
+        while at < n:
+            to = min(n, at + ROWS, int(np.searchsorted(sizes[order], sizes[order[at]] + 1, "right")))
+            part = order[at:to]
+            out = skipped.take(part)
+            code = out.values.astype(np.int64)
+            # row, place, split and piece in one number
+            packed = lambda row, place, split, piece: row << 30 | place.astype(np.int64) << 24 | split.astype(np.int64) << 18 | piece
+            left_out = np.sort(packed(np.repeat(np.arange(len(part)), out.sizes), code >> 32, code >> 20 & 0xFFF, code & 0xFFFFF))
+
+            def skip(row: np.ndarray, place: np.ndarray, split: np.ndarray, piece: np.ndarray) -> np.ndarray:
+                if not len(left_out):
+                    return np.zeros(len(row), bool)
+                wanted = packed(row, place, split, piece)
+                return left_out[np.minimum(np.searchsorted(left_out, wanted), len(left_out) - 1)] == wanted
+
+            done = _merged(self.pieces, self.points, self.begin[segment[part]], sizes[part], skip)
+            ids.append(done[0])
+            taken.append(done[1])
+            at = to
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        numbers = len(self.segment) + np.arange(n)
+        self.segment = np.concatenate([self.segment, segment])
+        self.skipped = Lists.joined([self.skipped, skipped])
+        self.taken = Lists.joined([self.taken, Lists.joined(taken).take(back)])
+        self.ids = Lists.joined([self.ids, Lists.joined(ids).take(back)])
+        return numbers
+
+    def follow(self, path: np.ndarray, keys: np.ndarray, dropout: float) -> None:
+        """Moves every occurrence on to the path that its draws leave."""
+        open_ = np.flatnonzero(path >= 0)
+        while len(open_):
+            masks = np.zeros(len(open_), np.uint64)  # a segment of LONG characters has fewer than 64 merges
+            for at in range(0, len(open_), DRAWS):
+                some = open_[at:at + DRAWS]
+                taken = self.taken.take(path[some])
+                mine = np.repeat(np.arange(len(some)), taken.sizes)
+                gone = _drawn(keys[some][mine], taken.values, dropout)
+                inner = (np.arange(len(mine)) - taken.bounds[mine])[gone].astype(np.uint64)
+                np.bitwise_or.at(masks, at + mine[gone], np.uint64(1) << inner)
+            hit = np.flatnonzero(masks)
+            open_, masks = open_[hit], masks[hit]
+            order = np.lexsort((masks, path[open_]))
+            open_, masks = open_[order], masks[order]
+            new = np.ones(len(open_), bool)
+            new[1:] = (masks[1:] != masks[:-1]) | (path[open_][1:] != path[open_][:-1])
+            old, mask = path[open_][new], masks[new]
+            had, taken = self.skipped.take(old), self.taken.take(old)
+            mine = np.repeat(np.arange(len(old)), taken.sizes)
+            bit = (mask[mine] >> (np.arange(len(mine)) - taken.bounds[mine]).astype(np.uint64) & np.uint64(1)).astype(bool)
+            skipped = Lists.of(np.concatenate([np.repeat(np.arange(len(old)), had.sizes), mine[bit]]), np.concatenate([had.values, taken.values[bit]]), len(old))
+            path[open_] = self.add(self.segment[old], skipped)[np.cumsum(new) - 1]
 
 
 class Encoder:
-    """Encodes texts; every path is merged once for each worker.  `variants` is not read any more."""
+    """Encodes texts, a block of about `SLICE` bytes of segments at a time."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int = 0) -> None:
+    def __init__(self, path: str, dropout: float, seed: int) -> None:
         self.pieces, self.dropout, self.seed = pieces(path), dropout, seed
-        self._forget()
-
-    def _forget(self) -> None:
-        self.paths: list[tuple[str, bytes, bytes, bytes]] = []  # segment, skipped merges, taken merges, ids
-        self.first: dict[str, int] = {}                         # path of a segment without skips
-        self.next: dict[tuple[int, int], int] = {}              # by path and a bit for each skipped one of its merges
 
     def texts(self, texts: list[str], documents: np.ndarray) -> list[bytes]:
-        cut = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
-        places = np.concatenate([np.arange(len(c), dtype=np.uint64) for c in cut] or [np.zeros(0, np.uint64)])
-        owner = np.repeat(documents.astype(np.int64).view(np.uint64), [len(c) for c in cut])
-        keys = W.mixed(W.mixed(owner + np.uint64(self.seed)) + places)
-        segments = [s for c in cut for s in c]
-        known = set(segments)
-        missing = [s for s in known if s not in self.first and len(s) <= LONG]
-        self.first.update(zip(missing, self._added([(s, b"") for s in missing])))
-        path = np.array([self.first.get(s, -1) for s in segments], np.int64)
-        for at in range(0, len(path) if self.dropout > 0 else 0, DRAWS):
-            self._follow(path[at:at + DRAWS], keys[at:at + DRAWS])
-        long = {i: merge_one(self.pieces, segments[i], int(keys[i]), self.dropout) for i in np.flatnonzero(path < 0).tolist()}
-        ids = [self.paths[k][3] if k >= 0 else long[i] for i, k in enumerate(path.tolist())]
-        out, at = [], 0
-        for c in cut:
-            out.append(b"".join(ids[at:at + len(c)]))
-            at += len(c)
-        if len(self.paths) > KEEP:
-            self._forget()
-        return out
-
-    def _follow(self, path: np.ndarray, keys: np.ndarray) -> None:
-        """Moves every occurrence on to the path that its draws leave."""
-        open_ = np.flatnonzero(path >= 0)
-        while len(open_):
-            found, inverse = np.unique(path[open_], return_inverse=True)
-            taken = [self.paths[k][2] for k in found.tolist()]
-            codes = np.frombuffer(b"".join(taken), np.uint64)
-            sizes = np.array([len(t) // 8 for t in taken])
-            begin, n = np.cumsum(sizes) - sizes, sizes[inverse]
-            mine = np.repeat(np.arange(len(open_)), n)
-            inner = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
-            gone = _drawn(keys[open_][mine], codes[begin[inverse][mine] + inner], self.dropout)
-            mask = np.zeros(len(open_), np.uint64)  # a segment of LONG characters has fewer than 64 merges
-            np.bitwise_or.at(mask, mine[gone], np.uint64(1) << inner[gone].astype(np.uint64))
-            hit = np.flatnonzero(mask)
-            open_, mask = open_[hit], mask[hit]
-            order = np.lexsort((mask, path[open_]))
-            open_, mask = open_[order], mask[order]
-            new = np.ones(len(open_), bool)
-            new[1:] = (mask[1:] != mask[:-1]) | (path[open_][1:] != path[open_][:-1])
-            steps = list(zip(path[open_][new].tolist(), mask[new].tolist()))
-            missing = [x for x in steps if x not in self.next]
-            self.next.update(zip(missing, self._added([self._without(*x) for x in missing])))
-            path[open_] = np.array([self.next[x] for x in steps], np.int64)[np.cumsum(new) - 1]
-
-    def _without(self, path: int, mask: int) -> tuple[str, bytes]:
-        segment, skipped, taken, _ = self.paths[path]
-        return segment, skipped + b"".join([taken[8 * k:8 * k + 8] for k in range(mask.bit_length()) if mask >> k & 1])
-
-    def _added(self, wanted: list[tuple[str, bytes]]) -> list[int]:
-        """Numbers of new paths, for segments of up to LONG characters and their skipped merges."""
-        numbers = [0] * len(wanted)
-        order = sorted(range(len(wanted)), key=lambda i: len(wanted[i][0]))
+        bodies = [b" " + t.encode() if t else b"" for t in texts]
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        ends = np.cumsum([len(b) for b in bodies], dtype=np.int64)
+        del bodies
+        begins = np.zeros(len(data), bool)
+        line, blank = data == 0x0A, data == 0x20
+        begins |= line
+        begins[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        first = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+        begins[first[first < ends]] = True
+        starts = np.flatnonzero(begins)
+        upto = np.searchsorted(starts, np.concatenate([first, ends[-1:]]))  # segments before each text
+        owner = np.repeat(np.arange(len(texts)), np.diff(upto))
+        documents = documents.astype(np.int64).view(np.uint64)
+        out, size_of = [np.zeros(0, np.uint16)], np.zeros(len(starts), np.int64)
         at = 0
-        while at < len(order):
-            to, length = at, len(wanted[order[at]][0])
-            while to < len(order) and to - at < 20_000 and len(wanted[order[to]][0]) <= length + 1:
-                to += 1
-            part = [wanted[i] for i in order[at:to]]
-            codes = np.frombuffer(b"".join([k for _, k in part]), np.uint64)
-            rows = np.repeat(np.arange(len(part)), [len(k) // 8 for _, k in part]).astype(np.uint64)
-            # row, place and piece in one number
-            left_out = np.sort((rows << np.uint64(40)) | ((codes >> np.uint64(32)) << np.uint64(24)) | (codes & np.uint64((1 << 24) - 1)))
-
-            def skip(row: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
-                if not len(left_out):
-                    return np.zeros(len(row), bool)
-                code = (row.astype(np.uint64) << np.uint64(40)) | (place.astype(np.uint64) << np.uint64(24)) | piece.astype(np.uint64)
-                return left_out[np.minimum(np.searchsorted(left_out, code), len(left_out) - 1)] == code
-
-            for i, (s, skipped), ids, taken in zip(order[at:to], part, *_merged(self.pieces, [s for s, _ in part], skip)):
-                numbers[i] = len(self.paths)
-                self.paths.append((s, skipped, taken, ids))
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE)))
+            offsets = np.append(starts[at:to], starts[to] if to < len(starts) else len(data))
+            places = (np.arange(at, to) - upto[owner[at:to]]).astype(np.uint64)
+            keys = W.mixed(W.mixed(documents[owner[at:to]] + np.uint64(self.seed)) + places)
+            ids = self._block(data[offsets[0]:offsets[-1]], offsets - offsets[0], keys)
+            out.append(ids.values)
+            size_of[at:to] = ids.sizes
             at = to
-        return numbers
+        body = np.concatenate(out).tobytes()
+        at = (2 * W.sums(size_of)[upto]).tolist()
+        return [body[a:b] for a, b in zip(at[:-1], at[1:])]
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> Lists:
+        """Ids of the segments between the offsets."""
+        coded = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.tobytes())]).dictionary_encode()
+        which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        bounds = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1)
+        body = distinct.buffers()[2].to_pybytes()[:bounds[-1]]
+        points = np.frombuffer(body.decode().encode("utf-32-le"), np.uint32)
+        begin = W.sums(((np.frombuffer(body, np.uint8) & 0xC0) != 0x80).astype(np.int64))[bounds]
+        sizes = np.diff(begin)
+        paths = _Paths(self.pieces, points, begin[:-1], sizes)
+        short = np.flatnonzero(sizes <= LONG)
+        first = np.full(len(distinct), -1, np.int64)
+        first[short] = paths.add(short, Lists(np.zeros(0, np.uint64), np.zeros(len(short) + 1, np.int64)))
+        path = first[which]
+        if self.dropout > 0:
+            paths.follow(path, keys, self.dropout)
+        long = np.flatnonzero(path < 0)
+        if len(long):
+            one = [np.frombuffer(merge_one(self.pieces, distinct[which[i]].as_py().decode(), int(keys[i]), self.dropout), np.uint16) for i in long.tolist()]
+            path[long] = len(paths.segment) + np.arange(len(long))
+            paths.ids = Lists.joined([paths.ids, Lists(np.concatenate(one), W.sums(np.array([len(x) for x in one])))])
+        return paths.ids.take(path)
 
 
 def _encode(path: str, dropout: float, seed: int):

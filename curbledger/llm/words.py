@@ -90,6 +90,12 @@ def sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of the ranges, one range after the other."""
+    upto = sums(sizes.astype(np.int64))
+    return np.arange(upto[-1]) + np.repeat(starts - upto[:-1], sizes)
+
+
 @dataclass
 class Words:
     data: np.ndarray      # bytes of the texts, one after the other

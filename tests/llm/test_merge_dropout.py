@@ -17,12 +17,12 @@ TEXTS = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(40))) for _ in r
     "", " ", "\n", "a" * 500, "the quick brown fox " * 2000, "internationalization" * 30]
 
 
-def ids(text, dropout, seed=1, doc=0, variants=8):
-    return M.Encoder(PATH, dropout, seed, variants).texts([text], np.array([doc]))[0]
+def ids(text, dropout, seed=1, doc=0):
+    return M.Encoder(PATH, dropout, seed).texts([text], np.array([doc]))[0]
 
 
 def test_without_dropout_as_the_library():
-    got = M.Encoder(PATH, 0.0, 1, 8).texts(TEXTS, np.arange(len(TEXTS)))
+    got = M.Encoder(PATH, 0.0, 1).texts(TEXTS, np.arange(len(TEXTS)))
     assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [SP.encode(t) for t in TEXTS]
 
 
@@ -38,7 +38,7 @@ def test_side_by_side_as_one_by_one(dropout):
 def test_lossless(dropout):
     texts = TEXTS + ["▁", "a ▁b"]
     p = M.pieces(PATH)
-    for t, v in zip(texts, M.Encoder(PATH, dropout, 2, 8).texts(texts, np.arange(len(texts)))):
+    for t, v in zip(texts, M.Encoder(PATH, dropout, 2).texts(texts, np.arange(len(texts)))):
         assert p.decode(v).decode() == t
         assert SP.decode(np.frombuffer(v, np.uint16).tolist()) == t or t.startswith(" ") or "\x00" in t
 
@@ -77,3 +77,30 @@ def test_frame(spark, monkeypatch):
     assert len({(r.n_tokens, r.ids_crc32) for r in got if r.doc_id == 901}) == 1
     assert [r.n_tokens for r in got if r.doc_id == 900] == [0]
     assert M.op5_merge_dropout(docs.limit(0)).collect() == []
+
+
+def test_blocks_of_a_text_do_not_matter(monkeypatch):
+    text = "internationalization of  the\n\n segments and their considerations " * 50
+    whole = ids(text, 0.3, doc=4)
+    for size in (1, 50, 999):
+        monkeypatch.setattr(M, "SLICE", size)
+        assert ids(text, 0.3, doc=4) == whole
+
+
+def test_splits_of_one_piece_are_drawn_apart():
+    n = 200_000
+    key, zero = np.arange(n, dtype=np.uint64), np.zeros(n, np.int64)
+    one, two = (M._skipped(key, zero, np.full(n, 77), 0.1, split) for split in (1, 2))
+    assert abs((one & two).mean() - 0.01) < 0.002
+
+
+def test_cuts_are_those_of_the_pattern():
+    for t in [*TEXTS, "  a  \n b\n\n  c "]:
+        assert "".join(M._SEGMENT.findall(" " + t)) == " " + t
+        data = np.frombuffer((" " + t).encode(), np.uint8)
+        line, blank = data == 10, data == 32
+        cut = line.copy()
+        cut[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        cut[0] = True
+        at = [*np.flatnonzero(cut), len(data)]
+        assert [data[a:b].tobytes().decode() for a, b in zip(at, at[1:])] == M._SEGMENT.findall(" " + t)
