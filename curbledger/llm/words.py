@@ -1,9 +1,10 @@
 """Words and word windows of Arrow text batches, as numpy arrays.
 
 A word is a run of bytes other than `[\\x20\\x09-\\x0D]` in UTF-8, so a code point is never cut.
-`hashes` are eight bytes of a keyed cryptographic digest of each word; hashes of windows are
-polynomials over them modulo 2**64: a window of 2L words is made from two windows of L words by one
-multiplication.  `buckets` are quick polynomials over bytes, for models that bear collisions.
+`hashes` are polynomials over a word's bytes modulo two primes, which have no structured collisions as a
+power of two has; hashes of windows are polynomials over them modulo 2**64: a window of 2L words is made
+from two windows of L words by one multiplication.  `buckets` are quicker polynomials over bytes, for
+models that bear collisions.
 """
 
 from __future__ import annotations
@@ -26,24 +27,11 @@ SLICE_BYTES = 2 << 20  # texts are worked on in slices of about this size; a lon
 _ODD = (1 << 64) - 1
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
-KEEP = 200_000  # digests of words in a worker's memory: about 30 MB
+PRIMES = ((2147483647, 1103515249), (2147483629, 715827883))  # and the bases of polynomials modulo them
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-class _Digests(dict):
-    """The digest of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-
-_digests = _Digests()
-
-
-_memories: list[dict] = [_digests, _tables]
+_memories: list[dict] = [_tables]
 
 
 def memory(of: dict) -> dict:
@@ -74,6 +62,20 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def prime_powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo a prime below 2**31 for i < n at least."""
+    have = _tables.get(prime)
+    if have is None or len(have[0]) < n:
+        pair = []
+        for factor in (base, pow(base, -1, prime)):
+            out = np.ones(1, np.uint64)
+            while len(out) < max(n, 1 << 16):  # doubling
+                out = np.concatenate([out, out * np.uint64(pow(factor, len(out), prime)) % np.uint64(prime)])
+            pair.append(out)
+        have = _tables[prime] = tuple(pair)
+    return have
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread every bit over all 64 (finalizer of a public 64-bit generator)."""
     h = h ^ (h >> np.uint64(30))
@@ -115,18 +117,27 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit digest of each word's bytes; words of one digest are taken as equal."""
+        """A 62-bit hash of each word's bytes, polynomials modulo two primes; words of one hash are taken as equal."""
         out = np.empty(len(self), np.uint64)
-        for first, last in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
-            while first < last:  # a very long text in blocks of words
-                low = int(self.starts[first])
-                to = last if self.ends[last - 1] - low <= SLICE_BYTES else max(first + 1, first + int(np.searchsorted(self.ends[first:last], low + SLICE_BYTES)))
-                block = self.data[low:self.ends[to - 1]].tobytes().split()
-                out[first:to] = np.fromiter(map(_digests.__getitem__, block), np.uint64, to - first)
-                first = to
-        if len(_digests) > KEEP:
-            _digests.clear()
-        return out
+        at = 0
+        while at < len(self):  # blocks of words, so that sums stay below 2**64
+            low = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, low + SLICE_BYTES)))
+            part = self.data[low:self.ends[to - 1]]
+            if len(part) > 4 * SLICE_BYTES:  # one very long word
+                out[at] = int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "little")
+                at = to
+                continue
+            part = part.astype(np.uint64) + np.uint64(1)
+            s, e = self.starts[at:to] - low, self.ends[at:to] - low
+            both = []
+            for prime, base in PRIMES:
+                up, down = prime_powers(prime, base, len(part) + 1)
+                total = sums(part * up[:len(part)])
+                both.append((total[e] - total[s]) % np.uint64(prime) * down[s] % np.uint64(prime))
+            out[at:to] = (both[0] << np.uint64(31)) | both[1]
+            at = to
+        return mixed(out)
 
     def buckets(self) -> np.ndarray:
         """A quick 64-bit polynomial over each word's bytes.  Unequal words can be found that share one."""
