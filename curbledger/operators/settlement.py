@@ -30,6 +30,27 @@ class Settlement(NamedTuple):
     customer: DataFrame
     payment: DataFrame
     paid: DataFrame
+    months: DataFrame  # ix_yrmo: months whose open or archived bills may have changed
+
+
+def checked(requests: DataFrame, customer: DataFrame, account: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that can be settled, and the others with `reason`; nothing raises an error here.
+
+    A payment needs a payer with an account and a customer row that has a balance, a payment type, and an amount that fits
+    the money type alone and with the balance.
+    """
+    known = account.select(F.col("id").alias("uid"), F.lit(True).alias("_account")).distinct()
+    have = customer.groupBy(F.col("id").alias("uid")).agg(F.max("balance").alias("_balance"))
+    money = F.col("amount").try_cast(MONEY)
+    total = F.try_add(F.abs(money).cast("decimal(25,2)"), F.abs(F.col("_balance")).cast("decimal(25,2)")).try_cast(MONEY)
+    reason = (
+        F.when(F.col("uid").isNull(), "no payer").when(F.col("_account").isNull(), "unknown account")
+        .when(F.col("_balance").isNull(), "unknown payer").when(F.col("payment_type").isNull(), "no payment type")
+        .when(F.col("amount").isNull(), "no amount").when(money.isNull() | total.isNull(), "amount out of range")
+    )
+    judged = durable(requests.join(known, "uid", "left").join(have, "uid", "left").withColumn("reason", reason).drop("_account", "_balance"))
+    good = judged.filter("reason IS NULL").drop("reason").withColumn("amount", F.col("amount").cast(MONEY))
+    return good.select(*requests.columns), judged.filter("reason IS NOT NULL")
 
 
 def waves(requests: DataFrame, arrival: str) -> DataFrame:
@@ -284,7 +305,7 @@ def payment_rows(
     head = (
         requests.join(settled, "uid", "left").join(last, ["uid", "cd_license"], "left")
         .join(sequence, "uid", "left")
-        .join(account.select(F.col("id").alias("uid"), F.col("display_name").alias("cust_name")), "uid")
+        .join(account.select(F.col("id").alias("uid"), F.col("display_name").alias("cust_name")), "uid", "left")
     )
     part = F.coalesce("part", F.lit(0))
     extra = [c for c in ("ref_code", "transfer_dtm", "remarks", "create_by") if c in requests.columns]
@@ -339,4 +360,5 @@ def settle(
         customer,
     )
     rows = payment_rows(asked, paid, settled, sequence, services, account, ix)
-    return Settlement(bill_after.select(*bill.columns), archive_after, customer_after, rows, paid)
+    months = visited.select("ix_yrmo").unionByName(paid.select("ix_yrmo")).distinct()
+    return Settlement(bill_after.select(*bill.columns), archive_after, customer_after, rows, paid, months)

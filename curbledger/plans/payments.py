@@ -182,6 +182,6 @@ result AS (
     1 + coalesce((SELECT max(useq) FROM payment AS p WHERE p.uid = r.uid AND p.ix_yrmo = 199806), 0) AS useq, 0 AS part,
     coalesce(licenses, '*BALANCE(CR)*') AS cd_license, display_name AS cust_name, r.amount, payment_type
   FROM req AS r LEFT JOIN settled AS s ON r.uid = s.uid
-  LEFT JOIN last_service AS l ON l.owner_id = r.uid AND l.cd_license = r.cd_license AND rn = 1 JOIN account AS u ON u.id = r.uid)""",
+  LEFT JOIN last_service AS l ON l.owner_id = r.uid AND l.cd_license = r.cd_license AND rn = 1 LEFT JOIN account AS u ON u.id = r.uid)""",
     ),
 }

@@ -14,6 +14,7 @@ from curbledger.functions.calendar import yrmo
 MONEY = "decimal(15,2)"
 STAMP = "timestamp_ntz"
 NOW = object()  # default: the time of the load
+BUCKETS = 32    # parts of a table that is changed by id
 
 
 @dataclass(frozen=True)
@@ -23,7 +24,12 @@ class Table:
     columns: Mapping[str, str]
     defaults: Mapping[str, object] = field(default_factory=dict)
     computed: Mapping[str, Column] = field(default_factory=dict)
-    partition_by: tuple[str, ...] = ()
+    part_name: str = "part_no"  # the column that tells the parts of the table apart
+    bucket_of: str = ""         # parts are buckets of this id; else all rows are in part 0
+
+    def part(self) -> Column:
+        """Part of a row, where it is not a column of the table."""
+        return F.pmod(F.col(self.bucket_of), F.lit(BUCKETS)).cast("int") if self.bucket_of else F.lit(0)
 
     def schema(self) -> T.StructType:
         """Stored columns (computed ones are added on read)."""
@@ -78,6 +84,7 @@ def tables() -> dict[str, Table]:
             {"id": "int", "whatsapp": "string?", "email": "string?", "last_reunion": STAMP, "last_payment": STAMP + "?", "balance": MONEY,
              "is_mobill": "boolean", "is_rtn_envelope": "boolean", "is_print_bill": "boolean", "mod_dtm": STAMP, "mod_by": "string"},
             {"last_reunion": NOW, "balance": 0, "is_mobill": False, "is_rtn_envelope": False, "is_print_bill": False, "mod_dtm": NOW},
+            bucket_of="id",
         ),
         "employee": Table(
             {"uid": "int", "hkid": "string?", "employ_dtm": "date", "resign_dtm": "date?", "supervisor": "int?", "is_manager": "boolean", **_EDITED},
@@ -136,13 +143,13 @@ def tables() -> dict[str, Table]:
             {"fee": 0, "extra_fee": 0, "create_dtm": NOW},
             {"ix_yrmo": yrmo(F.col("end_dtm")), "cix_yrmo": yrmo(F.col("create_dtm"))},
         ),
-        "bill": Table({**_BILL, "remarks": "string?"}, {"create_dtm": NOW}, partition_by=("ix_yrmo",)),
-        "bill_archive": Table({**_BILL, "iv_ix": "int?", "iv_seq": "int?", "remarks": "string?"}, partition_by=("ix_yrmo",)),
+        "bill": Table({**_BILL, "remarks": "string?"}, {"create_dtm": NOW}, part_name="ix_yrmo"),
+        "bill_archive": Table({**_BILL, "iv_ix": "int?", "iv_seq": "int?", "remarks": "string?"}, part_name="ix_yrmo"),
         "payment": Table(
             {"company": "string", "ix_yrmo": "int", "uid": "int", "useq": "int", "part": "int", "cd_license": "string", "cust_name": "string", "amount": MONEY,
              "payment_type": "string", "ref_code": "string?", "transfer_dtm": STAMP + "?", "create_dtm": STAMP, "create_by": "string",
              "mod_dtm": STAMP, "mod_by": "string", "remarks": "string?"},
-            {"part": 0, **_STAMPED}, {"ix_chq": _cheque_number()}, ("ix_yrmo",),
+            {"part": 0, **_STAMPED}, {"ix_chq": _cheque_number()}, "ix_yrmo",
         ),
         "print_config": Table({"company": "string", "print_id": "string", "split": "int", "background": "binary?", "fields": "string"}),
         "invoice_send_log": Table(

@@ -1,5 +1,6 @@
 import datetime as dt
 from decimal import Decimal as D
+from pathlib import Path
 
 import pytest
 
@@ -43,12 +44,67 @@ def test_reconcile_then_pay(spark, root):
     assert tables.read_table(spark, root, "bill").count() == 0
 
 
-def test_payments_of_one_payer_run_in_waves(spark, root):
+def files(root, name):
+    return sorted(str(p.relative_to(root)) for p in (Path(root) / name).rglob("*.parquet"))
+
+
+def test_one_month_is_written_and_other_parts_keep_their_files(spark, root):
+    month = lambda k: (k // 12) * 100 + k % 12 + 199800
+    bills = [("TK", month(k), uid, "X", 1, D(5), D(0), dt.date(1998, 1, 1), dt.date(1998, 1, 1), NOW) for k in range(1, 9) for uid in (1, 2)]
+    names = "company string, ix_yrmo int, uid int, cd_license string, bill_type smallint, amount decimal(15,2), discount decimal(15,2), bill_start date, bill_end date, due_dtm timestamp_ntz"
+    tables.publish({"bill": spark.createDataFrame(bills, names), "bill_archive": spark.createDataFrame(bills[:6], names),
+                    "customer": spark.createDataFrame([(k, D(5)) for k in range(1, 41)], "id int, balance decimal(15,2)")}, root, "v1", NOW + dt.timedelta(seconds=1))
+    old = {name: files(root, name) for name in ("bill", "bill_archive", "customer")}
+    jobs.recalc_bills(spark, root, 199802, "v2", NOW + dt.timedelta(seconds=2))
+    new = {name: [f for f in files(root, name) if f not in old[name]] for name in old}
+    assert {f.split("/")[1:3][1] for f in new["bill"]} == set() and new["bill_archive"] == []  # nothing is served then: the month is empty
+    assert {f.split("/")[2] for f in new["customer"]} == {"part_no=1", "part_no=2"}
+    shot = tables.Snapshot(spark, root)
+    assert {p: v for p, v in shot.live["bill"].items()} == {month(k): ["v1"] for k in range(1, 9) if k != 2}
+    assert 199802 not in shot.live["bill_archive"] and shot.live["customer"][3] == ["v1"] and shot.live["customer"][1] == ["v2"]
+    assert {r.id: r.balance for r in shot.read("customer").collect()} == {k: D(10) if k < 3 else D(5) for k in range(1, 41)}
+    assert shot.read("bill", [199803, 199802]).count() == 2 and shot.read("bill").count() == 14
+    jobs.recalc_bills(spark, root, 199806, "v3", NOW + dt.timedelta(seconds=3))
+    assert {f.split("/")[2] for f in files(root, "bill") if "version=v3" in f} == {"ix_yrmo=199806"}
+
+
+def test_readers_see_a_publication_whole_or_not_at_all(spark, root, monkeypatch):
+    before, real = tables.Snapshot(spark, root).live, tables._write_manifest
+    failed = []
+
+    def once(*args):
+        if not failed:
+            failed.append(1)
+            raise OSError("lost")
+        real(*args)
+
+    monkeypatch.setattr(tables, "_write_manifest", once)
+    assert jobs.recalc_bills(spark, root, 199806, "v1", NOW + dt.timedelta(seconds=1)) is None
+    shot = tables.Snapshot(spark, root)
+    assert files(root, "bill") and shot.read("bill").count() == 0  # written, but not published
+    assert {k: v for k, v in shot.live.items() if k != "audit_error"} == before
+    assert [r.msg for r in shot.read("audit_error").collect()] == ["lost"]
+
+
+def test_added_parts_and_compaction(spark, root):
+    row = lambda n: spark.createDataFrame([(NOW, "c", "m", f"{n}")], "create_dtm timestamp_ntz, caller_class string, caller_member string, msg string")
+    for n in range(3):
+        tables.publish({"audit_error": tables.Change(row(n), added=True)}, root, f"e{n}", NOW + dt.timedelta(seconds=n))
+    assert tables.Snapshot(spark, root).live["audit_error"] == {0: ["e0", "e1", "e2"]}
+    tables.compact(spark, root, "audit_error", [0], "c", NOW + dt.timedelta(seconds=9))
+    assert tables.Snapshot(spark, root).live["audit_error"] == {0: ["c"]}
+    assert sorted(r.msg for r in tables.read_errors(spark, root).collect()) == ["0", "1", "2"]
+    tables.publish({"audit_error": row(7)}, root, "whole", NOW + dt.timedelta(seconds=10))
+    assert [r.msg for r in tables.read_errors(spark, root).collect()] == ["7"]
+
+
+def test_payments_of_one_payer_in_order(spark, root):
     ask = spark.createDataFrame(
         [(1, "TK", None, D(100), "C", "web", 2), (1, "TK", None, D(200), "C", "web", 1)],
         "uid int, company string, cd_license string, amount decimal(15,2), payment_type string, create_by string, arrival int",
     )
-    assert jobs.process_all_payments(spark, root, ask, "arrival", "w", NOW) == 2
+    assert jobs.process_all_payments(spark, root, ask, "arrival", "w", NOW + dt.timedelta(seconds=1)).count() == 2
+    assert {v for parts in tables.Snapshot(spark, root).live.values() for versions in parts.values() for v in versions} == {"v0", "w"}
     rows = sorted((r.useq, r.amount, r.cd_license) for r in tables.read_table(spark, root, "payment").collect())
     assert rows == [(1, D(200), "*BALANCE(CR)*"), (2, D(100), "AB1")]  # 5 + 200 is too little, 305 pays June
     assert tables.read_table(spark, root, "customer").first().balance == D(5)
@@ -62,6 +118,29 @@ def test_errors_are_logged_and_change_nothing(spark, root):
     assert tables.read_table(spark, root, "customer").first().balance == D(5)
 
 
+def test_bad_payments_are_logged_and_the_others_settled(spark, root):
+    n = 1000
+    tables.publish({
+        "customer": spark.createDataFrame([(k, D(0)) for k in range(1, n + 1)] + [(5000, D(1))], "id int, balance decimal(15,2)"),
+        "account": spark.createDataFrame([(k, f"n{k}", "CUSTOMER") for k in range(1, n + 2)], "id int, display_name string, role string"),
+    }, root, "v1", NOW + dt.timedelta(seconds=1))
+    big = D(10) ** 16
+    rows = [(k, "TK", None, D(10), "Q", "web", 1) for k in range(1, n)] + [
+        (n, "TK", None, big, "Q", "web", 1), (n + 1, "TK", None, D(1), "Q", "web", 1), (5000, "TK", None, D(1), "Q", "web", 1),
+        (None, "TK", None, D(1), "Q", "web", 1), (1, "TK", None, None, "Q", "web", 2), (2, "TK", None, D(1), None, "web", 2)]
+    ask = spark.createDataFrame(rows, "uid int, company string, cd_license string, amount decimal(20,2), payment_type string, create_by string, arrival int")
+    done = jobs.process_all_payments(spark, root, ask, "arrival", "w", NOW + dt.timedelta(seconds=2))
+    assert done.count() == n - 1
+    shot = tables.Snapshot(spark, root)
+    assert sorted(r.msg for r in shot.read("audit_error").collect()) == sorted([
+        f"payment of {n}: amount out of range", f"payment of {n + 1}: unknown payer", "payment of 5000: unknown account",
+        "payment of nobody: no payer", "payment of 1: no amount", "payment of 2: no payment type"])
+    assert shot.read("payment").count() == n - 1
+    assert {r.balance for r in shot.read("customer").filter("id BETWEEN 2 AND 999").collect()} == {D(10)}
+    one = jobs.process_payments(spark, root, ask.filter("arrival = 1"), "x", NOW + dt.timedelta(seconds=3))
+    assert one.count() == n - 1 and {r.useq for r in one.collect()} == {2}
+
+
 def test_conform_fills_defaults_and_strips_padding(spark):
     row = tables.conform(
         spark.createDataFrame([(7, "Ann  ", "ADMIN   ")], "id int, display_name string, role string"), all_tables()["account"], NOW
