@@ -138,20 +138,13 @@ worker_id AS (SELECT *, row_number() OVER (ORDER BY login_name) AS id FROM worke
 WORKER_SQL = NORMAL_SQL + "," + WORKER_ID_SQL
 
 ACCOUNT_SQL = LOGIN_SQL + "," + WORKER_ID_SQL + """,
-move AS (
-  SELECT car_number, start_date, change_item_date, user_id FROM car
-  UNION ALL SELECT car_number, start_date, change_item_date, user_id FROM change WHERE car_number NOT IN (SELECT car_number FROM car)),
-moved AS (
-  SELECT m.*, login_name, row_number() OVER (PARTITION BY login_name
-    ORDER BY coalesce(change_item_date, start_date) DESC NULLS LAST, user_id DESC) AS did
-  FROM (SELECT DISTINCT cd_license, login_name FROM login_t) AS c JOIN move AS m ON cd_license = car_number),
+visit AS (
+  SELECT car_number AS cd_license, start_date, coalesce(change_item_date, start_date) AS day, user_id FROM car
+  UNION ALL SELECT car_number, start_date, coalesce(change_item_date, start_date), user_id FROM change ANTI JOIN car USING (car_number)),
 customer_t AS (
-  SELECT n.login_name, CASE WHEN n.c_name IS NULL OR n.c_name = '' THEN n.cd_license ELSE n.c_name END AS display_name,
-    create_dtm, mod_dtm, user_id AS mod_by
-  FROM (SELECT login_name, min(c_name) AS c_name, min(cd_license) AS cd_license FROM login_t GROUP BY login_name) AS n
-  JOIN (SELECT login_name, min(start_date) AS create_dtm, max(coalesce(change_item_date, start_date)) AS mod_dtm FROM moved GROUP BY login_name) AS d
-    ON n.login_name = d.login_name
-  JOIN moved AS m ON m.login_name = n.login_name AND did = 1),
+  SELECT login_name, coalesce(nullif(min(c_name), ''), min(l.cd_license)) AS display_name, min(start_date) AS create_dtm, max(day) AS mod_dtm,
+    max({known: day IS NOT NULL, day: day, who: user_id}).who AS mod_by
+  FROM login_t AS l JOIN visit USING (cd_license) GROUP BY login_name),
 account_t AS (SELECT (SELECT coalesce(max(id), 0) FROM worker_id) + row_number() OVER (ORDER BY login_name) AS id, * FROM customer_t),
 owner_t AS (SELECT l.*, id AS uid FROM login_t AS l LEFT JOIN account_t AS a ON a.login_name = l.login_name)"""
 
@@ -386,12 +379,12 @@ result AS (SELECT major AS root, reach FROM ranks WHERE major NOT IN (SELECT min
         lambda t: legacy.customer_rows(t.run(Loaded).accounts, t.run(Loaded).owned, t.run(Loaded).cars), CONTACT_VIEWS,
         ACCOUNT_SQL + """,
 flagged AS (
-  SELECT uid, month_end_yn, reminder_yn, transfer_yn, row_number() OVER (PARTITION BY uid ORDER BY coalesce(change_item_date, start_date) DESC NULLS LAST,
-    user_id DESC, month_end_yn DESC, reminder_yn DESC, transfer_yn DESC NULLS LAST) AS did
-  FROM car JOIN (SELECT DISTINCT cd_license, uid FROM owner_t) ON cd_license = car_number),
+  SELECT uid, max({known: coalesce(change_item_date, start_date) IS NOT NULL, day: coalesce(change_item_date, start_date), who: user_id,
+      month_end: month_end_yn, reminder: reminder_yn, told: transfer_yn IS NOT NULL, transfer: transfer_yn}) AS last
+  FROM car JOIN (SELECT DISTINCT cd_license AS car_number, uid FROM owner_t) USING (car_number) GROUP BY uid),
 result AS (
-  SELECT id, create_dtm AS last_reunion, 0 AS balance, coalesce(month_end_yn, FALSE) AS is_mobill, coalesce(reminder_yn, FALSE) AS is_print_bill,
-    coalesce(transfer_yn, FALSE) AS is_rtn_envelope, mod_dtm, mod_by FROM account_t LEFT JOIN flagged ON uid = id AND did = 1)""",
+  SELECT id, create_dtm AS last_reunion, 0 AS balance, coalesce(last.month_end, FALSE) AS is_mobill, coalesce(last.reminder, FALSE) AS is_print_bill,
+    coalesce(last.transfer, FALSE) AS is_rtn_envelope, mod_dtm, mod_by FROM account_t LEFT JOIN flagged ON uid = id)""",
     ),
     "customer_contacts": Query(
         "uid:long c_type:int c_name:text c_num:text", lambda t: legacy.customer_contacts(t.run(Loaded).owned), CONTACT_VIEWS,

@@ -11,8 +11,6 @@ from curbledger.plans.catalog import Query, Tables
 from curbledger.plans.monthly import IX, NOW, STORED
 from curbledger.session import durable
 
-SQL_HORIZON = 160  # months the SQL prepares; the money of every payer is used up before
-
 VIEWS = (
     "vehicle_service", "billing_customer", "bill", "bill_archive", "payment", "payment_request", "account",
 )
@@ -31,56 +29,61 @@ probes AS (
     year(last_start) * 100 + month(last_start) AS service_ix FROM probe),
 started AS (SELECT uid, greatest(bill_ix, archive_ix, service_ix) AS start_ix FROM probes)"""
 
-FORWARD_SQL = PROBE_SQL + f""",
-payer_month AS (
-  SELECT uid, CAST(m AS DATE) AS batch_start, last_day(m) AS batch_end, year(m) * 100 + month(m) AS ix_yrmo
-  FROM (SELECT uid, unnest(generate_series(make_date(start_ix // 100, start_ix % 100, 1),
-      make_date(start_ix // 100, start_ix % 100, 1) + INTERVAL {SQL_HORIZON} MONTH, INTERVAL 1 MONTH)) AS m
-    FROM started WHERE start_ix IS NOT NULL)),
-day_list AS (
-  SELECT CAST(d AS DATE) AS d, isodow(d) AS wd FROM unnest(generate_series(DATE '1994-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS g(d)),
-served AS (
-  SELECT s.*, ix_yrmo, batch_start, batch_end, greatest(batch_start, start_dtm) AS b_start,
-    CASE WHEN end_dtm IS NULL OR end_dtm > batch_end THEN batch_end ELSE end_dtm END AS b_end
-  FROM vehicle_service AS s JOIN payer_month AS p ON owner_id = uid AND start_dtm <= batch_end AND (end_dtm IS NULL OR end_dtm >= batch_start)),
-shares AS (
-  SELECT *, CASE WHEN srv_plan IN ('A', 'B') THEN b_end - b_start + 1
-      WHEN srv_plan = 'C' THEN (SELECT count(*) FROM day_list WHERE wd = weekday1 AND d >= b_start AND d <= b_end) ELSE 1 END AS num,
-    CASE WHEN srv_plan IN ('A', 'B') THEN day(batch_end)
-      WHEN srv_plan = 'C' THEN (SELECT count(*) FROM day_list WHERE wd = weekday1 AND d >= batch_start AND d <= batch_end) ELSE 1 END AS den
-  FROM served),
-f AS (
-  SELECT company, ix_yrmo, owner_id AS uid, cd_license, min(b_start) AS bill_start, max(b_end) AS bill_end, any_value(batch_end) AS batch_end,
-    max(extra_fee) + (sum((CAST(fee * 100 AS BIGINT) * 2 * num + den) // (2 * den)) + 50) // 100 AS amount
-  FROM shares GROUP BY company, ix_yrmo, owner_id, cd_license),
-b AS (
-  SELECT 0 AS paid, x.* FROM bill AS x JOIN payer_month AS p ON x.uid = p.uid AND x.ix_yrmo = p.ix_yrmo
-  UNION ALL SELECT 1, x.* FROM bill_archive AS x JOIN payer_month AS p ON x.uid = p.uid AND x.ix_yrmo = p.ix_yrmo),
+
+def payer_bills_sql(months: str, name: str) -> str:
+    """Bills of payers for the months (uid, first_day) of a table, by the closed form for weekdays in a span."""
+    hits = lambda a, b: f"greatest(0, ({b} - {a} - (weekday1 + 7 - isodow({a})) % 7 + 7) // 7)"
+    return f"""
+{name}_part AS MATERIALIZED (
+  SELECT s.company, m.uid, s.cd_license, srv_plan, weekday1, CAST(100 * fee AS BIGINT) AS cents, extra_fee, m.first_day, last_day(m.first_day) AS last_one,
+    greatest(start_dtm, m.first_day) AS since, least(coalesce(end_dtm, last_day(m.first_day)), last_day(m.first_day)) AS until
+  FROM {months} AS m JOIN vehicle_service AS s ON owner_id = m.uid AND start_dtm <= last_day(m.first_day) AND coalesce(end_dtm, m.first_day) >= m.first_day),
+{name} AS MATERIALIZED (
+  SELECT company, year(first_day) * 100 + month(first_day) AS ix_yrmo, uid, cd_license, min(since) AS bill_start, max(until) AS bill_end,
+    any_value(last_one) AS batch_end, max(extra_fee) + (50 + sum((share[2] + 2 * cents * share[1]) // (2 * share[2]))) // 100 AS amount
+  FROM (SELECT *, CASE srv_plan WHEN 'A' THEN [until - since + 1, day(last_one)] WHEN 'B' THEN [until - since + 1, day(last_one)]
+      WHEN 'C' THEN [{hits("since", "until")}, {hits("first_day", "last_one")}] ELSE [1, 1] END AS share FROM {name}_part)
+  GROUP BY company, first_day, uid, cd_license)"""
+
+
+#: From the month after the last date of any service or bill on, every month of a payer costs the same.
+FORWARD_SQL = PROBE_SQL + """,
+settled_after AS (
+  SELECT date_trunc('month', greatest((SELECT max(greatest(start_dtm, coalesce(end_dtm, start_dtm))) FROM vehicle_service),
+    (SELECT max(make_date(ix_yrmo // 100, ix_yrmo % 100, 1)) FROM (SELECT ix_yrmo FROM bill UNION ALL SELECT ix_yrmo FROM bill_archive)))
+    + INTERVAL 1 MONTH)::DATE AS steady),
+payer_span AS (
+  SELECT uid, start_ix, make_date(start_ix // 100, start_ix % 100, 1) AS low, greatest(steady, make_date(start_ix // 100, start_ix % 100, 1)) AS high
+  FROM started, settled_after WHERE start_ix IS NOT NULL),
+payer_month AS MATERIALIZED (
+  SELECT uid, unnest(generate_series(low, high, INTERVAL 1 MONTH))::DATE AS first_day FROM payer_span),""" + payer_bills_sql("payer_month", "f") + """,
+b AS MATERIALIZED (
+  SELECT paid, x.* EXCLUDE (paid) FROM (SELECT 0 AS paid, * FROM bill UNION ALL SELECT 1, * FROM bill_archive) AS x
+  SEMI JOIN payer_month AS p ON x.uid = p.uid AND x.ix_yrmo = year(first_day) * 100 + month(first_day)),
 after_month AS (
   SELECT b.company, b.ix_yrmo, b.uid, b.cd_license, f.amount - b.discount AS net
   FROM b JOIN f USING (company, ix_yrmo, uid, cd_license) WHERE b.paid = 0 OR f.amount > b.amount
   UNION ALL
-  SELECT company, ix_yrmo, uid, cd_license, amount FROM f
-  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.company = f.company AND b.ix_yrmo = f.ix_yrmo AND b.uid = f.uid AND b.cd_license = f.cd_license)),
-monthly AS (
-  SELECT a.uid, a.ix_yrmo, sum(net) AS net FROM after_month AS a JOIN req AS r ON a.uid = r.uid AND (r.cd_license IS NULL OR a.cd_license = r.cd_license)
-  GROUP BY a.uid, a.ix_yrmo),
+  SELECT company, ix_yrmo, uid, cd_license, amount FROM f ANTI JOIN b USING (company, ix_yrmo, uid, cd_license)),
+monthly AS MATERIALIZED (
+  SELECT a.uid, a.ix_yrmo, CAST(sum(net) AS DECIMAL(25,2)) AS net FROM after_month AS a JOIN req AS r
+    ON a.uid = r.uid AND (r.cd_license IS NULL OR a.cd_license = r.cd_license) GROUP BY a.uid, a.ix_yrmo),
 walk AS (
-  SELECT uid, 0 AS step, start_ix AS ix, CAST(trunc(qualified) AS BIGINT) AS fund, CAST(-1 AS DECIMAL(25,2)) AS net
-  FROM req JOIN started USING (uid) WHERE start_ix IS NOT NULL
+  SELECT uid, low AS month, high, CAST(trunc(qualified) AS BIGINT) AS fund, CAST(-1 AS DECIMAL(25,2)) AS net
+  FROM req JOIN payer_span USING (uid)
   UNION ALL
-  SELECT w.uid, step + 1, CASE WHEN w.ix % 100 = 12 THEN w.ix + 89 ELSE w.ix + 1 END,
-    CAST(trunc(fund - coalesce(m.net, 0)) AS BIGINT), CAST(coalesce(m.net, 0) AS DECIMAL(25,2))
-  FROM walk AS w LEFT JOIN monthly AS m ON m.uid = w.uid AND m.ix_yrmo = w.ix WHERE fund > 0 AND w.net <> 0),
-visited AS (
-  SELECT uid, CASE WHEN ix % 100 = 1 THEN ix - 89 ELSE ix - 1 END AS ix_yrmo FROM walk WHERE step > 0)"""
-
-SETTLE_SQL = FORWARD_SQL + """,
-stored AS (SELECT b.* FROM b JOIN visited USING (uid, ix_yrmo)),
-fresh AS (
-  SELECT f.*, CASE WHEN is_mobill THEN last_day(batch_end + 1) ELSE batch_end END AS due_dtm
-  FROM f JOIN visited USING (uid, ix_yrmo) JOIN billing_customer AS c ON c.id = f.uid),
-open_bill AS (
+  SELECT w.uid, (w.month + INTERVAL 1 MONTH)::DATE, high, CAST(trunc(fund - coalesce(m.net, 0)) AS BIGINT), coalesce(m.net, 0)::DECIMAL(25,2)
+  FROM walk AS w LEFT JOIN monthly AS m ON m.uid = w.uid AND m.ix_yrmo = year(least(month, high)) * 100 + month(least(month, high))
+  WHERE fund > 0 AND w.net <> 0),
+visited_month AS MATERIALIZED (
+  SELECT w.uid, (month - INTERVAL 1 MONTH)::DATE AS first_day FROM walk AS w JOIN payer_span AS p ON p.uid = w.uid WHERE month > low),
+visited AS (SELECT uid, year(first_day) * 100 + month(first_day) AS ix_yrmo FROM visited_month)"""
+
+SETTLE_SQL = FORWARD_SQL + "," + payer_bills_sql("visited_month", "made") + """,
+stored AS MATERIALIZED (SELECT b.* FROM b SEMI JOIN visited USING (uid, ix_yrmo)),
+fresh AS MATERIALIZED (
+  SELECT made.*, CASE WHEN is_mobill THEN last_day(batch_end + 1) ELSE batch_end END AS due_dtm FROM made JOIN billing_customer AS c ON c.id = made.uid),
+open_bill AS MATERIALIZED (
   SELECT x.company, x.ix_yrmo, x.uid, x.cd_license, x.k, x.bill_type, x.amount, x.discount, x.bill_start, x.bill_end, x.due_dtm
   FROM bill AS x WHERE NOT EXISTS (SELECT 1 FROM visited AS v WHERE v.uid = x.uid AND v.ix_yrmo = x.ix_yrmo)
   UNION ALL
@@ -93,7 +96,7 @@ open_bill AS (
   UNION ALL
   SELECT n.company, n.ix_yrmo, n.uid, n.cd_license, NULL, 1, n.amount, 0, n.bill_start, n.bill_end, n.due_dtm FROM fresh AS n
   WHERE NOT EXISTS (SELECT 1 FROM stored AS s WHERE s.company = n.company AND s.ix_yrmo = n.ix_yrmo AND s.uid = n.uid AND s.cd_license = n.cd_license)),
-running AS (
+running AS MATERIALIZED (
   SELECT b.*, qualified, sum(b.amount - discount) OVER (PARTITION BY b.uid ORDER BY ix_yrmo, b.amount - discount, b.cd_license) AS cumulative_amount
   FROM open_bill AS b JOIN req AS r ON b.uid = r.uid AND (r.cd_license IS NOT NULL OR b.company = r.company)
     AND (r.cd_license IS NULL OR b.cd_license = r.cd_license)),

@@ -24,45 +24,33 @@ SALARY_RATES = ", ".join(f"('{code}', {value})" for code, value, _ in seed.SALAR
 
 SALARY_SQL = f"""
 rate(code, default_salary) AS (VALUES {SALARY_RATES}),
-day_list AS (
-  SELECT CAST(d AS DATE) AS d, isodow(d) AS wd
-  FROM unnest(generate_series(DATE '1998-06-01', DATE '1998-06-30', INTERVAL 1 DAY)) AS g(d)),
-task AS (
-  SELECT *, CASE WHEN DATE '1998-06-01' > start_dtm THEN DATE '1998-06-01' ELSE start_dtm END AS task_start,
-    CASE WHEN end_dtm IS NULL OR DATE '1998-06-30' < end_dtm THEN DATE '1998-06-30' ELSE end_dtm END AS task_end
-  FROM vehicle_service WHERE start_dtm <= DATE '1998-06-30' AND (end_dtm IS NULL OR end_dtm >= DATE '1998-06-01')),
-validity AS (
-  SELECT *, coalesce(lead(effect) OVER (PARTITION BY company, srv_dis, srv_loc, vh_type, cd_plan ORDER BY effect) - 1, DATE '1998-06-30') AS valid_to
-  FROM service_plan),
+june AS (SELECT CAST(d AS DATE) AS day FROM unnest(generate_series(DATE '1998-06-01', DATE '1998-06-30', INTERVAL 1 DAY)) AS g(d)),
+work_day AS (
+  SELECT src_key, worker, weekday1 = isodow(day) AS visit, day, 1 - pay_ratio AS off
+  FROM vehicle_service JOIN june ON day >= start_dtm AND (end_dtm IS NULL OR day <= end_dtm) LEFT JOIN leave_t ON uid = worker AND leave_dtm = day),
+work AS (
+  SELECT src_key, min(day) AS task_start, max(day) AS task_end, count(*) AS days, count(*) FILTER (visit) AS visits, sum(off) AS off_days,
+    sum(off) FILTER (visit) AS off_visits
+  FROM work_day GROUP BY src_key),
 unit AS (
-  SELECT t.*,
-    CASE WHEN srv_plan IN ('A', 'B') THEN coalesce((SELECT sum(1 - pay_ratio) FROM leave_t WHERE leave_t.uid = t.worker
-        AND leave_dtm >= task_start AND leave_dtm <= task_end), 0)
-      WHEN srv_plan = 'C' THEN (SELECT sum(1 - pay_ratio) FROM leave_t JOIN day_list ON d = leave_dtm
-        WHERE leave_t.uid = t.worker AND d >= task_start AND d <= task_end AND wd = weekday1)
-      ELSE 1 END AS leave_cnt,
-    CASE WHEN srv_plan IN ('A', 'B') THEN task_end - task_start + 1
-      WHEN srv_plan = 'C' THEN (SELECT count(*) FROM day_list WHERE d >= task_start AND d <= task_end AND wd = weekday1)
-      ELSE 1 END AS num,
-    CASE WHEN srv_plan IN ('A', 'B') THEN 30
-      WHEN srv_plan = 'C' THEN (SELECT count(*) FROM day_list WHERE wd = weekday1) ELSE 1 END AS den
-  FROM task AS t)"""
+  SELECT s.*, task_start, task_end,
+    CASE srv_plan WHEN 'C' THEN off_visits WHEN 'D' THEN 1 ELSE coalesce(off_days, 0) END AS leave_cnt,
+    CASE srv_plan WHEN 'C' THEN visits WHEN 'D' THEN 1 ELSE days END AS num,
+    CASE srv_plan WHEN 'C' THEN (SELECT count(*) FROM june WHERE isodow(day) = weekday1) WHEN 'D' THEN 1 ELSE 30 END AS den
+  FROM vehicle_service AS s JOIN work USING (src_key))"""
 
 PAY_SQL = SALARY_SQL + """,
-based AS (
-  SELECT u.*, CAST(floor(coalesce(CASE srv_plan WHEN 'A' THEN salary_a WHEN 'B' THEN salary_b WHEN 'C' THEN salary_c END,
-      p.salary, default_salary)) AS BIGINT) AS base
-  FROM unit AS u LEFT JOIN worker AS w ON u.worker = w.uid
-  LEFT JOIN validity AS p ON p.company = u.company AND p.srv_dis = u.srv_dis AND p.srv_loc = u.srv_loc
-    AND p.vh_type = u.vh_type AND p.cd_plan = u.srv_plan AND p.effect <= task_start AND p.valid_to >= task_end
-  JOIN rate ON code = concat(srv_plan, u.vh_type)),
+price AS (
+  SELECT src_key, CASE WHEN count(*) FILTER (effect > task_start) = 0 THEN max_by(salary, effect) END AS listed
+  FROM unit AS u JOIN service_plan AS p USING (company, srv_dis, srv_loc, vh_type) WHERE cd_plan = srv_plan AND effect <= task_end GROUP BY src_key),
+wage AS (
+  SELECT u.*, 100 * CAST(floor(coalesce(map {'A': salary_a, 'B': salary_b, 'C': salary_c}[srv_plan], listed, default_salary)) AS BIGINT) AS cents
+  FROM unit AS u JOIN rate ON code = srv_plan || u.vh_type LEFT JOIN worker AS w ON w.uid = u.worker LEFT JOIN price USING (src_key)),
 paid AS (
-  SELECT *, (base * 100 * 2 * num + den) // (2 * den) AS pay_cents,
-    (base * 2 * CAST(leave_cnt * 10000 AS BIGINT) + 100 * den) // (200 * den) AS leave_cents,
-    concat('{"p":"', srv_plan, '","s":"', strftime(task_start, '%Y-%m-%d'), '","e":"', strftime(task_end, '%Y-%m-%d'),
-      '","psn":"', srv_floor, ' ', srv_psn, '","d1":', weekday1, ',"d2":', weekday2, ',"d3":', weekday3, ',"wx":',
-      CASE WHEN waxing THEN 'true' ELSE 'false' END, '}') AS item
-  FROM based),
+  SELECT *, (cents * num * 2 + den) // (den * 2) AS pay_cents, (cents * CAST(leave_cnt * 10000 AS BIGINT) * 2 // 100 + den * 100) // (den * 200) AS leave_cents,
+    to_json({p: srv_plan, s: strftime(task_start, '%Y-%m-%d'), e: strftime(task_end, '%Y-%m-%d'), psn: srv_floor || ' ' || srv_psn,
+      d1: weekday1, d2: weekday2, d3: weekday3, wx: waxing})::VARCHAR AS item
+  FROM wage),
 ending AS (
   SELECT cd_license, min(end_dtm) AS fs_end FROM suspended_service
   WHERE is_terminate AND end_dtm >= TIMESTAMP '1998-05-21 12:00:00' GROUP BY cd_license),
@@ -85,7 +73,7 @@ per_place AS (
 span AS (
   SELECT worker, srv_dis, srv_loc, count(DISTINCT CASE WHEN srv_plan = 'A' THEN cd_license END) AS c1,
     count(DISTINCT CASE WHEN srv_plan = 'B' THEN cd_license END) AS c2, count(DISTINCT CASE WHEN srv_plan = 'C' THEN cd_license END) AS c3,
-    min(task_start) AS task_start, max(task_end) AS task_end FROM task GROUP BY worker, srv_dis, srv_loc),
+    min(task_start) AS task_start, max(task_end) AS task_end FROM unit GROUP BY worker, srv_dis, srv_loc),
 result AS (
   SELECT o.worker, o.srv_dis, o.srv_loc, 0 AS part, rtrim(concat(name_zh, ' ', coalesce(name_en, ''))) AS loc_name, task_start, task_end,
     c1 AS count_1, c2 AS count_2, c3 AS count_3, s1 / 100.0::DECIMAL(5,2) AS salary_1, s2 / 100.0::DECIMAL(5,2) AS salary_2,
@@ -233,7 +221,9 @@ QUERIES: dict[str, Query] = {
     "plan_validity": Query(
         "srv_dis:text srv_loc:int company:text cd_plan:text vh_type:int salary:money effect:date valid_to:date",
         lambda t: payroll.plan_validity(t.service_plan, ED), PAY_VIEWS,
-        SALARY_SQL + ",\nresult AS (SELECT * FROM validity)",
+        """result AS (
+  SELECT p.*, coalesce((SELECT min(q.effect) FROM service_plan AS q WHERE q.effect > p.effect AND (q.company, q.srv_dis, q.srv_loc, q.vh_type, q.cd_plan)
+    = (p.company, p.srv_dis, p.srv_loc, p.vh_type, p.cd_plan)) - 1, DATE '1998-06-30') AS valid_to FROM service_plan AS p)""",
     ),
     "leave_units": Query(
         "worker:long srv_plan:text n:long units:ratio", _leave_units, PAY_VIEWS,
