@@ -1,4 +1,4 @@
-"""Constraint audit: primary keys, foreign keys, unique and filtered unique keys."""
+"""Constraint audit: primary keys, foreign keys, unique and filtered unique keys, in one pass."""
 
 from __future__ import annotations
 
@@ -75,41 +75,50 @@ CONSTRAINTS: list[Unique | Reference] = [
 ]
 
 
-def _report(rows: DataFrame, name: str, columns: Sequence[str], count: Column) -> DataFrame:
-    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
-    return rows.select(F.lit(name).alias("constraint_name"), key.alias("key"), count.cast("long").alias("n"))
+def _key(columns: Sequence[str], kinds: Mapping[str, str]) -> Column:
+    """A key as text values: without regard to case and trailing blanks, as the model's collation compares."""
+    value = lambda c: F.upper(F.rtrim(F.col(c))) if kinds[c].startswith(("string", "char", "varchar")) else F.col(c).cast("string")
+    return F.array(*[value(c) for c in columns])
 
 
-def violations(tables: Mapping[str, DataFrame], constraint: Unique | Reference) -> DataFrame:
-    """Violating keys of one constraint with their number of rows."""
-    rows = tables[constraint.table]
-    columns = list(constraint.columns)
-    if isinstance(constraint, Unique):
-        if constraint.where:
-            rows = rows.filter(constraint.where)
-        counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    else:
-        known = tables[constraint.parent].select(
-            *[F.col(p).alias(c) for p, c in zip(constraint.parent_columns, columns)]
-        )
-        counted = rows.dropna(subset=columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-        counted = counted.join(known, columns, "left_anti")
-    return _report(counted, constraint.name, columns, F.col("_n"))
+def _given(tables: Mapping[str, DataFrame], c: Unique | Reference) -> bool:
+    if c.table not in tables or not set(c.columns) <= set(tables[c.table].columns):
+        return False
+    return isinstance(c, Unique) or (c.parent in tables and set(c.parent_columns) <= set(tables[c.parent].columns))
+
+
+def _entries(name: str, rows: DataFrame, constraints: Sequence[Unique | Reference]) -> DataFrame | None:
+    """What one scan of a table has to say to the constraints: constraint, key, 1 for a row under it, 1 for a parent."""
+    kinds = dict(rows.dtypes)
+    entry = lambda c, key, holds, n, parents: F.when(holds, F.struct(
+        F.lit(c.name).alias("constraint_name"), key.alias("key"), F.lit(n).cast("long").alias("n"), F.lit(parents).cast("long").alias("parents")))
+    found = []
+    for c in constraints:
+        if c.table == name and isinstance(c, Unique):
+            found.append(entry(c, _key(c.columns, kinds), F.expr(c.where) if c.where else F.lit(True), 1, 0))
+        elif c.table == name:
+            found.append(entry(c, _key(c.columns, kinds), reduce(Column.__and__, [F.col(x).isNotNull() for x in c.columns]), 1, 0))
+        if isinstance(c, Reference) and c.parent == name:
+            found.append(entry(c, _key(c.parent_columns, kinds), F.lit(True), 0, 1))
+    if not found:
+        return None
+    return rows.select(F.explode(F.array_compact(F.array(*found))).alias("e")).select("e.*")
 
 
 def constraint_audit(
     tables: Mapping[str, DataFrame], constraints: Sequence[Unique | Reference] = CONSTRAINTS
 ) -> DataFrame:
-    """Violations of all constraints whose tables and columns are given."""
-
-    def given(c: Unique | Reference) -> bool:
-        if c.table not in tables or not set(c.columns) <= set(tables[c.table].columns):
-            return False
-        return isinstance(c, Unique) or (
-            c.parent in tables and set(c.parent_columns) <= set(tables[c.parent].columns)
-        )
-
-    found = [violations(tables, c) for c in constraints if given(c)]
-    if not found:
+    """Violations of all constraints whose tables and columns are given: constraint_name, key, n (rows of the key).
+
+    Every table is scanned once, whatever number of constraints it takes part in, and all keys meet in
+    one aggregation, which sums them up before the shuffle.
+    """
+    known = [c for c in constraints if _given(tables, c)]
+    parts = [p for name, rows in tables.items() if (p := _entries(name, rows, known)) is not None]
+    if not parts:
         raise ValueError("no constraint applies to the given tables")
-    return reduce(DataFrame.unionByName, found)
+    counted = reduce(DataFrame.unionByName, parts).groupBy("constraint_name", "key").agg(F.sum("n").alias("n"), F.sum("parents").alias("parents"))
+    unique = F.col("constraint_name").isin([c.name for c in known if isinstance(c, Unique)])
+    text = F.concat_ws("|", F.transform("key", lambda k: F.coalesce(k, F.lit("NULL"))))
+    return counted.filter((unique & (F.col("n") > 1)) | (~unique & (F.col("n") > 0) & (F.col("parents") == 0))).select(
+        "constraint_name", text.alias("key"), "n")

@@ -154,14 +154,32 @@ def test_audit_reports_each_kind(spark):
         "customer": spark.createDataFrame([(1,), (9,), (9,)], "id int"),
     }).collect()
     assert sorted((r.constraint_name, r.key, r.n) for r in found) == [
-        ("fk_customer_account", "9", 2), ("pk_customer", "9", 2), ("uq_account_login", "a", 2),
+        ("fk_customer_account", "9", 2), ("pk_customer", "9", 2), ("uq_account_login", "A", 2),
     ]
 
 
+def test_audit_compares_as_the_collation_does_and_scans_a_table_once(spark, tmp_path):
+    frames = {
+        "vehicle": spark.createDataFrame([("ab12 ", 1), ("AB12", 1), ("x|y", 2), ("x", 3), (None, 4), ("NULL", 4)], "cd_license string, owner_id int"),
+        "vehicle_service": spark.createDataFrame([("Ab12", 1, "TK", None), ("AB12 ", 1, "tk", None), ("x|y", 3, "TK", None), (None, 5, "TK", None)],
+                                                 "cd_license string, owner_id int, company string, end_dtm date"),
+        "account": spark.createDataFrame([(k,) for k in (1, 2, 3)], "id int"),
+    }
+    stored = {}
+    for name, frame in frames.items():
+        frame.write.parquet(f"{tmp_path}/{name}")
+        stored[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    audit = quality.constraint_audit(stored)
+    assert sorted((r.constraint_name, r.key, r.n) for r in audit.collect()) == [
+        ("fk_service_vehicle", "X|Y|3", 1), ("fk_vehicle_account", "4", 2), ("pk_vehicle", "AB12|1", 2), ("uq_open_service", "AB12|TK", 2)]
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and plan.count("Aggregate [") == 1
+
+
 def test_seed_rows(spark):
     config = seed.system_config(spark)
     assert config.count() == 2 + 3 + 11 + 4 + 3 + 9 + 9 + 4 + 2 + 41 + 9
-    assert quality.violations({"system_config": config}, quality.CONSTRAINTS[0]).count() == 0
+    assert quality.constraint_audit({"system_config": config}).count() == 0
     groups, services = seed.unit_service_group(spark), seed.unit_service(spark)
     report = quality.constraint_audit({"unit_service_group": groups, "unit_service": services})
     assert (groups.count(), services.count(), report.count()) == (9, 26, 0)
