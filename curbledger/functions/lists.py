@@ -1,8 +1,9 @@
-"""Sorted text lists per group, split into parts where a group is too large.
+"""Sorted text lists per group, in parts that no group outgrows.
 
-A group of at most `limit` items is one list in part 0.  A larger group is
-spread by hash over as many parts as it needs, each a row of its own, so no
-item is dropped and no task holds an unbounded list.
+The items of a group stand in one order, whatever its size, and a part is a run of them: the part of
+an item follows from the bytes before it in its group, by a running sum over range blocks.  Parts put one
+after the other are the list, no item is cut in two, and no task holds more than a part and an item.
+Part 0 is always there; a part begins where the bytes before an item pass a multiple of the limit.
 """
 
 from __future__ import annotations
@@ -12,28 +13,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbledger.session import durable, near
+from curbledger.functions import ordered
 
-LIST_LIMIT = 20_000
+PART_BYTES = 16 << 20
 
 
-def place(items: DataFrame, keys: Sequence[str], spread: Sequence[str], limit: int) -> DataFrame:
-    """Add the `part` of each item: 0, or a hash over `spread` in large groups.
-
-    The large groups are counted first; normally there is none and nothing is joined.
-    """
-    large = durable(
-        items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / limit).alias("_parts"))
-    )
-    found = large.count()
-    if found == 0:
+def place(items: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, limit: int | None = PART_BYTES) -> DataFrame:
+    """Add the `part` of each item; `order` begins with what the list is sorted by.  Without a limit all is part 0."""
+    if limit is None:
         return items.withColumn("part", F.lit(0))
-    part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*spread), F.col("_parts"))
-    )
-    joined = items.join(near(large, found), list(keys), "left")
-    return joined.withColumn("part", part.cast("int")).drop("_parts")
+    sized = items.withColumn("_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
+    running = ordered.running_sum(sized, keys, order, "_bytes", "_upto")
+    return running.withColumn("part", F.floor((F.col("_upto") - F.col("_bytes")) / F.lit(limit)).cast("int")).drop("_bytes", "_upto")
 
 
 def sorted_text(value: Column, separator: str, head: str = "", tail: str = "") -> Column:
@@ -50,13 +41,13 @@ def packed(
     separator: str = ",",
     head: str = "[",
     tail: str = "]",
-    limit: int = LIST_LIMIT,
+    limit: int | None = PART_BYTES,
 ) -> DataFrame:
     """One row per key and part, with one list column per kind.
 
     `items` has the key columns, `kind`, `text`, and `copy` telling equal texts apart.
     """
-    spots = place(items, [*keys, "kind"], ["text", "copy"], limit)
+    spots = place(items, [*keys, "kind"], ["text", "copy"], "text", limit)
     lists = [
         sorted_text(F.when(F.col("kind") == kind, F.col("text")), separator, head, tail).alias(name)
         for kind, name in kinds.items()

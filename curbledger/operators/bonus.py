@@ -130,13 +130,13 @@ def calc_bonus(
     default_rotation: float,
     default_waxing: float,
     worker: int | None = None,
-    limit: int = lists.LIST_LIMIT,
+    limit: int | None = lists.PART_BYTES,
 ) -> DataFrame:
     """Bonus per worker with the license lists as JSON text.
 
     The personal rotation and waxing rates count only for workers with referrals; the default
-    rates are whole numbers, without their fraction.  A
-    list above `limit` goes on in rows with part > 0, whose amounts are NULL.
+    rates are whole numbers, without their fraction.  A list of more than `limit` bytes goes on in
+    rows with part > 0, whose amounts are NULL.
     """
     ix = month_key(month)
     since = shift_month(month, -GRACE_MONTHS)

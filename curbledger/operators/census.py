@@ -154,11 +154,11 @@ def location_census(
     sd: dt.date,
     ed: dt.date,
     companies: Sequence[str] = COMPANIES,
-    limit: int = lists.LIST_LIMIT,
+    limit: int | None = lists.PART_BYTES,
 ) -> DataFrame:
     """Wide report: counts and license lists per company, one row per month and location.
 
-    A list above `limit` goes on in rows with part > 0, whose counts are NULL.
+    A list of more than `limit` bytes goes on in rows with part > 0, whose counts are NULL.
     """
     rows = durable(census_rows(services, suspended, vehicle, sd, ed))
     place = ["ix", "srv_dis", "srv_loc"]

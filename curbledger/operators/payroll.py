@@ -174,18 +174,17 @@ def place_pay(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*PLACE).agg(*sums)
 
 
-def place_detail(lines: DataFrame, terminations: DataFrame, limit: int = lists.LIST_LIMIT) -> DataFrame:
+def place_detail(lines: DataFrame, terminations: DataFrame, limit: int | None = lists.PART_BYTES) -> DataFrame:
     """Detail text per worker and location: license -> ranges, remarks, coming end.
 
-    Ranges and licenses are sorted.  A location with more services than `limit` is
-    spread over several parts; a license may then appear in more than one.
+    Ranges and licenses are sorted.  A license is one entry; a location with more than `limit` bytes of
+    entries goes on in further parts.
     """
-    spots = lists.place(lines, PLACE, ["cd_license", "task_text", "owner_id"], limit)
     blank = F.lit("")
     remarks = F.trim(F.concat(
         F.coalesce(F.min("user_remarks"), blank), F.lit(CRLF), F.coalesce(F.min("car_remarks"), blank)
     ))
-    per_license = spots.groupBy(*PLACE, "part", "cd_license").agg(
+    per_license = lines.groupBy(*PLACE, "cd_license").agg(
         F.array_join(F.array_sort(F.collect_list("task_text")), ",").alias("ranges"), remarks.alias("remarks")
     ).join(terminations, "cd_license", "left")
     end = F.coalesce(F.concat(F.lit('"'), F.date_format("fs_end", "yyyy-MM-dd"), F.lit('"')), F.lit("null"))
@@ -193,17 +192,23 @@ def place_detail(lines: DataFrame, terminations: DataFrame, limit: int = lists.L
         F.lit('"'), F.col("cd_license"), F.lit('":{"range":['), F.col("ranges"), F.lit('],"remarks":'),
         json_quoted(F.col("remarks")), F.lit(',"fs_end":'), end, F.lit("}"),
     )
-    return per_license.groupBy(*PLACE, "part").agg(
-        F.concat(
-            F.lit("{"),
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct(F.col("cd_license"), entry.alias("entry")))),
-                    lambda e: e["entry"],
-                ), ","
-            ),
-            F.lit("}"),
-        ).alias("srv_detail")
+    spots = lists.place(per_license.select(*PLACE, "cd_license", entry.alias("entry")), PLACE, ["cd_license"], "entry", limit)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("cd_license", "entry"))), lambda e: e["entry"])
+    return spots.groupBy(*PLACE, "part").agg(F.concat(F.lit("{"), F.array_join(in_order, ","), F.lit("}")).alias("srv_detail"))
+
+
+def salary_lines(
+    services: DataFrame, worker_table: DataFrame, service_plan: DataFrame, leave: DataFrame, config: DataFrame, account: DataFrame, vehicle: DataFrame,
+    sd: dt.date, ed: dt.date, worker: int | None = None,
+) -> DataFrame:
+    """One row for each task and vehicle that is paid: the detail behind `calc_salary`, of a fixed shape."""
+    owner = account.select(F.col("id").alias("owner_id"), F.col("remarks").alias("user_remarks"))
+    car = vehicle.select("owner_id", "cd_license", F.col("remarks").alias("car_remarks"))
+    rated = rated_tasks(leave_units(tasks(services, sd, ed, worker), leave, sd, ed), worker_table, service_plan, config, ed)
+    lines = paid_lines(rated, sd, ed).join(owner, "owner_id").join(car, ["owner_id", "cd_license"])
+    return lines.select(
+        *PLACE, "cd_license", "owner_id", "srv_plan", "salary", "leave_deduct",
+        _task_text().alias("task_text"), "user_remarks", "car_remarks",
     )
 
 
@@ -221,20 +226,13 @@ def calc_salary(
     ed: dt.date,
     as_of: dt.datetime,
     worker: int | None = None,
-    limit: int = lists.LIST_LIMIT,
+    limit: int | None = lists.PART_BYTES,
 ) -> DataFrame:
     """Pay per worker and location; reversed dates are swapped."""
     sd, ed = min(sd, ed), max(sd, ed)
     task = tasks(services, sd, ed, worker)
-    owner = account.select(F.col("id").alias("owner_id"), F.col("remarks").alias("user_remarks"))
-    car = vehicle.select("owner_id", "cd_license", F.col("remarks").alias("car_remarks"))
-    rated = rated_tasks(leave_units(task, leave, sd, ed), worker_table, service_plan, config, ed)
-    lines = paid_lines(rated, sd, ed).join(owner, "owner_id").join(car, ["owner_id", "cd_license"])
     # read twice below (amounts and detail text), so the joins run once
-    lines = durable(lines.select(
-        *PLACE, "cd_license", "owner_id", "srv_plan", "salary", "leave_deduct",
-        _task_text().alias("task_text"), "user_remarks", "car_remarks",
-    ))
+    lines = durable(salary_lines(services, worker_table, service_plan, leave, config, account, vehicle, sd, ed, worker))
     total = sum((F.col(f"salary_{i}") - F.col(f"leave_deduct_{i}") for i in (1, 2, 3)), F.lit(0))
     place = location.select(
         "srv_dis", "srv_loc", "mpf",

@@ -286,17 +286,17 @@ def payment_rows(
     services: DataFrame,
     account: DataFrame,
     ix_yrmo: int,
-    limit: int = lists.LIST_LIMIT,
+    limit: int | None = lists.PART_BYTES,
 ) -> DataFrame:
     """Payment records: settled licenses as text, and the company they belong to.
 
     Company: of the settled bills (the smallest if several), else of the latest service
-    under the requested license, else the requested one.  A payment for more licenses
-    than fit one text has further rows with part > 0 and amount 0.
+    under the requested license, else the requested one.  A payment whose
+    licenses are more than `limit` bytes has further rows with part > 0 and amount 0.
     """
     plates = paid.select("uid", "cd_license").distinct()
     texts = (
-        lists.place(plates, ["uid"], ["cd_license"], limit).groupBy("uid", "part")
+        lists.place(plates, ["uid"], ["cd_license"], "cd_license", limit).groupBy("uid", "part")
         .agg(lists.sorted_text(F.col("cd_license"), ",").alias("licenses"))
     )
     last = services.groupBy(F.col("owner_id").alias("uid"), F.col("cd_license")).agg(

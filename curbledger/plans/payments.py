@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from curbledger.operators import settlement
 from curbledger.plans.catalog import Query, Tables
@@ -187,4 +188,8 @@ result AS (
   FROM req AS r LEFT JOIN settled AS s ON r.uid = s.uid
   LEFT JOIN last_service AS l ON l.owner_id = r.uid AND l.cd_license = r.cd_license AND rn = 1 LEFT JOIN account AS u ON u.id = r.uid)""",
     ),
+    "settle_payment_license": Query(
+        "uid:long cd_license:text settled:money", lambda t: t.run(Settled).whole.paid.groupBy("uid", "cd_license").agg(F.sum("net").alias("settled")),
+        VIEWS, SETTLE_SQL + ",\nresult AS (SELECT uid, cd_license, sum(amount - discount) AS settled FROM paid_bill GROUP BY ALL)",
+    ),
 }

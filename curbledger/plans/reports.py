@@ -218,6 +218,15 @@ QUERIES: dict[str, Query] = {
         + " ".join(f"{c}_{i}:money" for c in ("salary", "leave_deduct") for i in (1, 2, 3)) + " mpf:money srv_detail:text",
         _salary, PAY_VIEWS, PAY_SQL,
     ),
+    "salary_detail": Query(
+        "worker:long srv_dis:text srv_loc:int cd_license:text owner_id:long srv_plan:text salary:money leave_deduct:money task_text:text",
+        lambda t: payroll.salary_lines(t.vehicle_service, t.worker, t.service_plan, t.leave_t, _config(t), t.account, t.vehicle, SD, ED),
+        PAY_VIEWS, PAY_SQL.split(",\nending AS (")[0] + """,
+result AS (
+  SELECT worker, srv_dis, srv_loc, cd_license, owner_id, srv_plan, pay_cents / 100.0::DECIMAL(5,2) AS salary, leave_cents / 100.0::DECIMAL(5,2) AS leave_deduct,
+    item AS task_text
+  FROM paid SEMI JOIN account AS u ON u.id = owner_id JOIN vehicle AS v USING (owner_id, cd_license))""",
+    ),
     "plan_validity": Query(
         "srv_dis:text srv_loc:int company:text cd_plan:text vh_type:int salary:money effect:date valid_to:date",
         lambda t: payroll.plan_validity(t.service_plan, ED), PAY_VIEWS,
@@ -263,6 +272,16 @@ result AS (SELECT ix, company, srv_dis, srv_loc, """
             t.vehicle_service, t.suspended_service, t.vehicle, t.service_location, SD, ED),
         CENSUS_VIEWS, census_wide_sql("1998-06-01", "1998-06-01"),
     ),
+    "census_detail": Query(
+        "ix:int company:text srv_dis:text srv_loc:int kind:text cd_license:text copies:long",
+        lambda t: census.census_items(census.census_rows(t.vehicle_service, t.suspended_service, t.vehicle, SD, ED)).groupBy(
+            "ix", "company", "srv_dis", "srv_loc", "kind", F.col("text").alias("cd_license")).agg(F.count(F.lit(1)).alias("copies")),
+        CENSUS_VIEWS, census_sql("1998-06-01", "1998-06-01") + """,
+result AS (
+  SELECT ix, company, srv_dis, srv_loc, substr(kind, 3) AS kind, cd_license, sum(marks) AS copies
+  FROM (UNPIVOT (SELECT ix, company, srv_dis, srv_loc, cd_license, COLUMNS('^m_.*')::INT FROM marked) ON COLUMNS('^m_.*') INTO NAME kind VALUE marks)
+  WHERE marks = 1 GROUP BY ALL)""",
+    ),
     "census_terminations": Query(
         "ix:int cd_license:text company:text srv_dis:text srv_loc:int reason_id:int n:long",
         lambda t: census.terminations_in_period(t.vehicle_service, t.suspended_service, dt.date(1998, 1, 1), ED),

@@ -135,14 +135,18 @@ def test_next_value_over_blocks(hot):
         assert got[g, i] == (after[1] if after[0] == g else None)
 
 
-def test_large_lists_go_on_in_parts(spark):
-    rows = [("big", "x", f"{i:05d}", "") for i in range(1000)] + [("small", "x", f"{i}", "") for i in range(9)] + [("small", "y", "1", "")]
-    df = spark.createDataFrame(rows, "k string, kind string, text string, copy string")
-    out = lists.packed(df, ["k"], {"x": "xs", "y": "ys"}, limit=100).collect()
-    small = [r for r in out if r.k == "small"]
-    assert [(r.part, r.xs, r.ys) for r in small] == [(0, "[0,1,2,3,4,5,6,7,8]", "[1]")]
-    big = [r for r in out if r.k == "big"]
-    assert 5 < len(big) <= 10
-    every = sorted(x for r in big for x in r.xs.strip("[]").split(","))
-    assert every == sorted(r[2] for r in rows[:1000])
-    assert max(len(r.xs) for r in big) < 6 * 200
+@pytest.mark.parametrize("limit", [1, 7, 100, lists.PART_BYTES, None])
+def test_parts_of_a_list_are_runs_of_it(spark, limit):
+    rows = [("big", "x", f"{i:05d}", "") for i in range(700)] + [("big", "y", "same", f"{i}") for i in range(40)] + [
+        ("small", "x", f"{i}", "") for i in range(9)] + [("small", "y", "1", ""), (None, "x", "é" * 9, ""), (None, "x", None, "")]
+    df = spark.createDataFrame(rows, "k string, kind string, text string, copy string").repartition(6)
+    out = sorted(lists.packed(df, ["k"], {"x": "xs", "y": "ys"}, limit=limit).collect(), key=lambda r: r.part)
+    for k in ("big", "small", None):
+        for kind, name in (("x", "xs"), ("y", "ys")):
+            parts = [r[name].strip("[]").split(",") for r in out if r.k == k and r[name]]
+            assert [x for p in parts for x in p] == sorted(r[2] for r in rows if r[0] == k and r[1] == kind and r[2] is not None)
+            for p in parts:
+                assert limit is None or len(",".join(p[:-1]).encode()) <= limit
+    assert all(any(r.k == k and r.part == 0 for r in out) for k in ("big", "small", None))
+    assert limit is not None or {r.part for r in out} == {0}
+

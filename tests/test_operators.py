@@ -212,7 +212,7 @@ def test_payment_text_in_parts(spark, make):
         make(service()), spark.createDataFrame([(1, "Ann")], "id long, display_name string"), 199806, limit=10,
     ).collect()
     assert len(rows) > 1 and sum(r.amount for r in rows) == 100
-    assert sorted(p for r in rows for p in r.cd_license.split(",")) == [f"P{i:03d}" for i in range(50)]
+    assert [p for r in sorted(rows, key=lambda r: r.part) for p in r.cd_license.split(",")] == [f"P{i:03d}" for i in range(50)]
 
 
 # schedule
@@ -354,10 +354,10 @@ def test_salary_detail(spark, make):
 
 
 def test_salary_detail_of_a_hot_place_goes_on_in_parts(spark, make):
-    rows = _salary(spark, make, *[service("A", D0 + dt.timedelta(days=i)) for i in range(30)], limit=5)
-    assert len(rows) > 1
-    assert sum(r.srv_detail.count('"p":"A"') for r in rows) == 30
-    assert [r.salary_1 is not None for r in sorted(rows, key=lambda r: r.part)] == [True] + [False] * (len(rows) - 1)
+    hot = [service("A", D0 + dt.timedelta(days=i)) for i in range(30)]
+    rows = _salary(spark, make, *hot, limit=5)
+    assert len(rows) == 1  # a license is never cut in two
+    assert rows[0].srv_detail.count('"p":"A"') == 30 and rows == _salary(spark, make, *hot, limit=None)
 
 
 # census
