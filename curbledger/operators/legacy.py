@@ -17,7 +17,9 @@ from curbledger.functions.calendar import yrmo
 
 # Fixed values of the load.
 EPOCH = dt.date(1970, 1, 1)
+STAFF_SINCE = dt.date(2021, 1, 1)  # fixed value: office staff have no dates of their own
 LOADER = "SYSMIG"
+HKID = "A1234567"  # fixed value: stands for an identity card that is not known
 OWNER_NAME = "車主"
 STAFF_ROLE = {1: "VIEWER", 2: "OPERATOR", 3: "ADMIN"}
 NOT_EMPLOYED = ("ADMIN", "SYSTEM", "CUSTOMER")
@@ -74,7 +76,8 @@ def staff_accounts(staff: DataFrame) -> DataFrame:
         F.lower("userid").alias("login_name"),
         F.when(F.rtrim("user_name") == "", F.col("userid")).otherwise(F.col("user_name")).alias("display_name"),
         _choose(F.col("authorization"), STAFF_ROLE, "OTHER").alias("role"),
-        F.lit(True).alias("active"),
+        F.lit(True).alias("active"), F.lit(STAFF_SINCE).alias("create_dtm"), F.lit(STAFF_SINCE).alias("mod_dtm"),
+        F.lit(LOADER).alias("mod_by"), F.lit(None).cast("string").alias("remarks"),
     )
 
 
@@ -125,9 +128,9 @@ def worker_rows(accounts: DataFrame, workers: DataFrame) -> DataFrame:
 
 
 def employee_rows(accounts: DataFrame) -> DataFrame:
-    """Employees: every account that is not an administrator, system or customer."""
+    """Employees: every account, of staff and workers alike, that is not an administrator, system or customer."""
     return accounts.filter(~F.col("role").isin(*NOT_EMPLOYED)).select(
-        F.col("id").alias("uid"), F.col("create_dtm").alias("employ_dtm"), "create_dtm", "mod_dtm", "mod_by"
+        F.col("id").alias("uid"), F.col("create_dtm").alias("employ_dtm"), "create_dtm", "mod_dtm", "mod_by", F.lit(HKID).alias("hkid")
     )
 
 

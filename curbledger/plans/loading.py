@@ -262,6 +262,13 @@ plan_t AS (
     updatedate AS effect
   FROM legacy_plan WHERE status_code = '00' AND house_code <> '' AND car_type IN ('1', '2', '3') AND plan_code IN ('A', 'B', 'C'))"""
 
+STAFF_SQL = """
+staff_t AS (
+  SELECT lower(userid) AS login_name, coalesce(nullif(user_name, ''), userid) AS display_name,
+    coalesce(['VIEWER', 'OPERATOR', 'ADMIN']["authorization"], 'OTHER') AS role, TRUE AS active,
+    DATE '2021-01-01' AS create_dtm, DATE '2021-01-01' AS mod_dtm, 'SYSMIG' AS mod_by, NULL AS remarks
+  FROM legacy_staff WHERE status_code = '00')"""
+
 CONTACT = "cd_license:text c_name:text c_num:text"
 LOCATION = "srv_dis:text srv_loc:int name_zh:text name_en:text cd_fleet:text mgt_dis:text"
 ACCOUNT = "login_name:text display_name:text role:text active:bool"
@@ -288,11 +295,20 @@ def _audit(t: Tables) -> DataFrame:
     })
 
 
+def _staff_and_workers(t: Tables) -> DataFrame:
+    """Accounts of the staff, then of the workers, numbered in one sequence."""
+    staff = legacy.with_ids(legacy.staff_accounts(t.legacy_staff))
+    workers = legacy.with_ids(legacy.worker_accounts(t.legacy_worker, t.run(Loaded).changes), legacy.largest_id(staff))
+    return staff.unionByName(workers)
+
+
 def _backfilled(t: Tables) -> DataFrame:
+    """Receipts by month for both outcomes of the guard: older ones are added only if there are none that old."""
     receipts = t.run(Loaded).receipts
     newer, older = receipts.filter(F.col("pay_year") >= 1997), receipts.filter(F.col("pay_year") < 1997)
-    out = legacy.backfilled(newer, older, until_year=1996, before=dt.date(1996, 7, 1))
-    return out.groupBy("pay_year", "pay_month").agg(F.count(F.lit(1)).alias("n"))
+    by_month = lambda guard, until: legacy.backfilled(newer, older, until_year=until, before=dt.date(1996, 7, 1)).groupBy(
+        F.lit(guard).alias("guard"), "pay_year", "pay_month").agg(F.count(F.lit(1)).alias("n"))
+    return by_month("added", 1996).unionByName(by_month("kept", 1997))
 
 
 QUERIES: dict[str, Query] = {
@@ -301,18 +317,19 @@ QUERIES: dict[str, Query] = {
         NORMAL_SQL + ",\nresult AS (SELECT * FROM car)",
     ),
     "receipt_backfill": Query(
-        "pay_year:int pay_month:int n:long", _backfilled, ("legacy_receipt",),
-        """result AS (
-  SELECT pay_year, pay_month, count(*) AS n FROM legacy_receipt
-  WHERE pay_year >= 1997 OR (pay_date < DATE '1996-07-01'
-    AND NOT EXISTS (SELECT 1 FROM legacy_receipt WHERE pay_year >= 1997 AND pay_year <= 1996)) GROUP BY 1, 2)""",
+        "guard:text pay_year:int pay_month:int n:long", _backfilled, ("legacy_receipt",),
+        """newer AS (SELECT * FROM legacy_receipt WHERE pay_year >= 1997),
+older AS (SELECT * FROM legacy_receipt WHERE pay_year < 1997 AND pay_date < DATE '1996-07-01'),
+result AS (
+  SELECT 'added' AS guard, pay_year, pay_month, count(*) AS n
+  FROM (FROM newer UNION ALL FROM older WHERE (SELECT min(pay_year) FROM newer) > 1996) GROUP BY ALL
+  UNION ALL
+  SELECT 'kept', pay_year, pay_month, count(*)
+  FROM (FROM newer UNION ALL FROM older WHERE (SELECT min(pay_year) FROM newer) > 1997) GROUP BY ALL)""",
     ),
     "staff_accounts": Query(
-        ACCOUNT, lambda t: legacy.staff_accounts(t.legacy_staff), ("legacy_staff",),
-        """result AS (
-  SELECT lower(userid) AS login_name, CASE WHEN user_name = '' THEN userid ELSE user_name END AS display_name,
-    CASE "authorization" WHEN 1 THEN 'VIEWER' WHEN 2 THEN 'OPERATOR' WHEN 3 THEN 'ADMIN' ELSE 'OTHER' END AS role, TRUE AS active
-  FROM legacy_staff WHERE status_code = '00')""",
+        ACCOUNT + " create_dtm:date mod_dtm:date mod_by:text remarks:text", lambda t: legacy.staff_accounts(t.legacy_staff), ("legacy_staff",),
+        STAFF_SQL + ",\nresult AS (SELECT * FROM staff_t)",
     ),
     "worker_accounts": Query(
         "id:long " + ACCOUNT + " create_dtm:date mod_dtm:date mod_by:text remarks:text", _workers,
@@ -328,10 +345,14 @@ result AS (
   FROM worker_id)""",
     ),
     "employee_rows": Query(
-        "uid:long employ_dtm:date create_dtm:date mod_dtm:date mod_by:text",
-        lambda t: legacy.employee_rows(_workers(t)), CONTACT_VIEWS,
-        WORKER_SQL + """,
-result AS (SELECT id AS uid, create_dtm AS employ_dtm, create_dtm, mod_dtm, mod_by FROM worker_id)""",
+        "uid:long employ_dtm:date create_dtm:date mod_dtm:date mod_by:text hkid:text",
+        lambda t: legacy.employee_rows(_staff_and_workers(t)), (*CONTACT_VIEWS, "legacy_staff"),
+        WORKER_SQL + "," + STAFF_SQL + """,
+numbered AS (
+  SELECT row_number() OVER (ORDER BY login_name) AS uid, role, create_dtm, mod_dtm, mod_by FROM staff_t
+  UNION ALL SELECT (SELECT count(*) FROM staff_t) + id, role, create_dtm, mod_dtm, mod_by FROM worker_id),
+result AS (
+  SELECT uid, create_dtm AS employ_dtm, create_dtm, mod_dtm, mod_by, 'A1234567' AS hkid FROM numbered WHERE role IN ('VIEWER', 'OPERATOR', 'OTHER', 'WORKER'))""",
     ),
     "worker_phones": Query(
         "uid:long c_type:int c_name:text c_num:text",

@@ -151,6 +151,9 @@ def tables() -> dict[str, Table]:
              "mod_dtm": STAMP, "mod_by": "string", "remarks": "string?"},
             {"part": 0, **_STAMPED}, {"ix_chq": _cheque_number()}, "ix_yrmo",
         ),
+        "id_registry": Table({"login_key": "string", "id": "int"}),
+        "load_login": Table({"cd_license": "string", "c_name": "string?", "c_num": "string?", "owner": "string?", "login_name": "string?"}),
+        "load_stage": Table({"load_name": "string", "stage": "string", "done_dtm": STAMP}),
         "print_config": Table({"company": "string", "print_id": "string", "split": "int", "background": "binary?", "fields": "string"}),
         "invoice_send_log": Table(
             {"id": "int", "company": "string", "cd_license": "string", "sent_type": "string", "media_type": "string", "create_dtm": STAMP,
