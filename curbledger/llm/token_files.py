@@ -83,8 +83,8 @@ class EliasFano:
             out[at:at + m] |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return out
 
-    def select(self, i: int) -> int:
-        """Value i, from the nearest select place on, without reading the rest."""
+    def _one(self, i: int) -> int:
+        """Where one number i stands among the high bits, from the nearest select place on."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         one, left = int(self.places[i // STEP]), i % STEP
@@ -95,13 +95,42 @@ class EliasFano:
             left -= count
             byte += 1
             bits = np.unpackbits(self.high[byte:byte + 1])
-        one = byte * 8 + int(np.flatnonzero(bits)[left])
+        return byte * 8 + int(np.flatnonzero(bits)[left])
+
+    def select(self, i: int) -> int:
+        """Value i, without reading the rest."""
+        one = self._one(i)
         low, begin = 0, i * self.low_bits
         for k in range(self.low_bits):
             at = begin + k
             low |= (int(self.low[at >> 3]) >> (7 - (at & 7)) & 1) << k
         return (one - i) << self.low_bits | low
 
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, from their own high and low bits alone."""
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        first, last = self._one(i), self._one(j - 1)
+        ones = np.flatnonzero(np.unpackbits(self.high[first >> 3:(last >> 3) + 1])) + (first >> 3 << 3)
+        ones = ones[(ones >= first) & (ones <= last)]
+        out = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            begin, end = i * self.low_bits, j * self.low_bits
+            bits = np.unpackbits(self.low[begin >> 3:(end + 7) >> 3])[begin & 7:][:end - begin].reshape(j - i, self.low_bits)
+            out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return out
+
+    def upto(self, value: int, i: int) -> int:
+        """How many values are at most `value`; at least i of them are known to be.  By bisection over select."""
+        step = 1
+        while i + step <= self.n and self.select(i + step - 1) <= value:
+            i, step = i + step, 2 * step
+        while step:
+            if i + step <= self.n and self.select(i + step - 1) <= value:
+                i += step
+            step //= 2
+        return i
+
     def bits(self) -> int:
         return 8 * (self.low.nbytes + self.high.nbytes + self.places.nbytes)
 
@@ -133,9 +162,10 @@ class TokenFile:
         self.ends, self.docs = lists
         self.n_docs = self.ends.n
 
-    def doc_ids(self) -> list[int | None]:
-        first = self.about["first_doc"]
-        return [None] * self.about["n_null"] + [int(v) + first for v in self.docs.all()]
+    def doc_ids(self, start: int = 0, end: int | None = None) -> list[int | None]:
+        end, null = self.n_docs if end is None else end, self.about["n_null"]
+        known = self.docs.between(max(0, start - null), max(0, end - null))
+        return [None] * max(0, min(end, null) - start) + [int(v) + self.about["first_doc"] for v in known]
 
     def ids(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at(2 * (end - start), 2 * start), "<u2")
@@ -200,18 +230,17 @@ def _read(folder: str):
         for batch in batches:
             for row in batch.to_pylist():
                 source = TokenFile(f"{folder}/{row['file']}")
-                ends = np.concatenate([[0], source.ends.all().astype(np.int64)])
-                docs = source.doc_ids()
-                at = 0
-                while at < source.n_docs:
-                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + READ_IDS, "right")) - 1)
-                    bounds = ends[at:to + 1] - ends[at]
-                    crc = crcs(source.ids(int(ends[at]), int(ends[to])), bounds)
+                at = start = 0
+                while at < source.n_docs:  # blocks of documents: select finds their bounds, and only a block is decoded
+                    to = max(at + 1, source.ends.upto(start + READ_IDS, at))
+                    ends = np.concatenate([[start], source.ends.between(at, to).astype(np.int64)])
+                    bounds = ends - start
+                    crc = crcs(source.ids(start, int(ends[-1])), bounds)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(docs[at:to], pa.int64()), pa.array(ends[at:to] + row["before"]),
+                        pa.array(source.doc_ids(at, to), pa.int64()), pa.array(ends[:-1] + row["before"]),
                         pa.array(np.diff(bounds)), crc,
                     ], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                    at = to
+                    at, start = to, int(ends[-1])
                 source.close()
 
     return run

@@ -99,6 +99,12 @@ def test_elias_fano(values):
     about, parts = T.EliasFano.of(np.array(values, np.uint64)).sections()
     ef = T.EliasFano.read(about, b"".join(parts))
     assert ef.all().tolist() == values
+    n = len(values)
+    for i, j in [(0, n), (0, 0), (n // 3, n // 2), (n - 1, n), (max(0, n - 300), n), (1, min(n, 258))]:
+        assert ef.between(i, j).tolist() == values[i:j] if n else True
+    for limit in {0, *values[::97], *[v - 1 for v in values[1::131] if v], 1 << 62}:
+        for known in {0, sum(v <= limit for v in values) // 2}:
+            assert ef.upto(limit, known) == sum(v <= limit for v in values)
     for i in range(0, len(values), max(1, len(values) // 500)):
         assert ef.select(i) == values[i]
     if len(values) > 1000:
@@ -132,3 +138,18 @@ def test_pieces_of_slices():
     out = pa.Table.from_batches(H._pieces(8, True)(iter([batch]))).to_pylist()
     assert [(r["doc"], r["start"], r["length"], r["sequence_id"], r["offset"]) for r in out] == [
         (1, 0, 5, 0, 3), (1, 5, 5, 1, 0), (2, 0, 3, 1, 5), (2, 3, 7, 2, 0)]
+
+
+def test_small_blocks_are_read_through_select(spark, monkeypatch, tmp_path):
+    """The files are read block by block: only the blocks' own bounds are decoded."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").coalesce(1)
+    folder = shared_folder(spark)
+    T.write_files(docs, folder)
+    source = T.TokenFile(f"{folder}/part-000000.ids")
+    whole, seen = source.ends.all().tolist(), []
+    monkeypatch.setattr(T.EliasFano, "all", None)
+    monkeypatch.setattr(T, "READ_IDS", 500)
+    monkeypatch.setattr(T, "TokenFile", lambda uri: source)
+    for batch in T._read(folder)(iter([pa.RecordBatch.from_pylist([{"file": "part-000000.ids", "before": 10}])])):
+        seen += list(zip(batch.column("start").to_pylist(), batch.column("n_tokens").to_pylist()))
+    assert [s - 10 + n for s, n in seen] == whole and seen[0][0] == 10
