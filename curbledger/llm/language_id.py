@@ -1,6 +1,6 @@
 """Language identification by language-bitmask n-gram filters.
 
-One Bloom filter for each language, bit-sliced: cell i holds a 64-bit mask with bit l set if language l
+One Bloom filter for each language, bit-sliced: cell i holds masks of 64 bits with bit l set if language l
 set cell i.  An n-gram (five bytes of the lower-cased text, words apart by one space) looks up two
 cells; the AND of their masks is the set of all languages that contain it.  For each language the n-grams
 of a text are counted (a popcount of its bit), and the count is corrected for the false positives that
@@ -9,10 +9,11 @@ known n-gram of five bytes (a word of one or two letters has none at all) is jud
 four bytes, spaces included, which are in the same filters.  Of equal counts, zeros too, the language with more
 training documents wins.
 
-A language contains the n-grams that at least `LEAST_SHARE` of its training documents have.  Since the text of a
-document has finitely many, that bounds the filter's load whatever the size of the corpus; the filter
-itself is `CELLS` masks (8 MB).  Training takes about `FIT_ROWS` documents of each language, chosen by
-a hash of the id.
+A language contains the n-grams that at least `LEAST_SHARE` of its training documents have, and a part of one
+document: the part is a hash of the n-gram, so the fewer documents a language has, the more of its rare
+n-grams count, without a size at which that begins.  Since the text of a document has finitely many, this bounds
+the filter's load whatever the size of the corpus; the filter itself is `CELLS` masks (8 MB for each 64
+languages).  Training takes about `FIT_ROWS` documents of each language, chosen by a hash of the id.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ FIT_ROWS = 4000
 LEAST_SHARE = 0.004
 CELLS = 1 << 20
 GRAM = 5
-LANGUAGES = 64       # bits of a mask
+LANGUAGES = 64       # bits of a mask; more languages have further masks
+SLICE = W.SLICE_BYTES // 4
 HELD_OUT = 2         # crc32(doc_id) mod 4 of documents that training never sees
 _SPOTS = 1 << 30
 
@@ -75,7 +77,7 @@ def cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of documents by language and n-gram, added up for each slice."""
-    for part in W.slices(batches, "text"):
+    for part in W.slices(batches, "text", size=SLICE):
         hashes, first = grams(part.column("text"))
         language = part.column("language").to_numpy()
         short, owner = short_grams(part.column("text"))
@@ -98,12 +100,15 @@ class Filters:
     """The trained filters: language names in order, the masks, and the languages' training documents."""
 
     def __init__(self, names: list[str], masks: np.ndarray, documents: list[int]) -> None:
-        self.names, self.masks, self.documents = names, masks, documents
+        self.names, self.masks, self.documents = names, masks.reshape(-1, CELLS), documents
         self.order = np.argsort(-np.array(documents, np.int64), kind="stable")  # who wins of equals
-        bits = np.arange(len(names), dtype=np.uint64)
-        fill = np.array([((masks >> b) & np.uint64(1)).mean() for b in bits])
+        fill = np.array([self._bit(self.masks[b // LANGUAGES], b).mean() for b in range(len(names))])
         self.false = np.minimum(fill * fill, 0.999)  # two cells must be set by chance
 
+    @staticmethod
+    def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+        return (masks >> np.uint64(language % LANGUAGES)) & np.uint64(1)
+
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language and score of every text (-1 without words or languages)."""
         hashes, first = grams(texts)
@@ -121,9 +126,9 @@ class Filters:
     def _counts(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Corrected counts by text and language, and the texts' numbers of n-grams."""
         one, two = cells(hashes)
-        found = self.masks[one] & self.masks[two]
+        found = [masks[one] & masks[two] for masks in self.masks]
         n = np.diff(first).astype(np.float64)
-        counts = np.stack([W.per_text(((found >> np.uint64(b)) & np.uint64(1)).astype(np.float64), first) for b in range(len(self.names))], axis=1)
+        counts = np.stack([W.per_text(self._bit(found[b // LANGUAGES], b).astype(np.float64), first) for b in range(len(self.names))], axis=1)
         return np.maximum((counts - n[:, None] * self.false) / (1 - self.false), 0.0), n
 
 
@@ -132,8 +137,6 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(~held_out()).select("doc_id", "text", "lang")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # languages are few
     names = sorted(counts)
-    if len(names) > LANGUAGES:
-        raise ValueError(f"{len(names)} languages do not fit a mask of {LANGUAGES} bits")
     if not names:
         return Filters([], np.zeros(CELLS, np.uint64), [])
     spot = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(_SPOTS))
@@ -141,16 +144,17 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
     for i, name in enumerate(names):
         mine = F.when((F.col("lang") == name) & (spot < int(_SPOTS * min(1.0, rows / counts[name]))), i).otherwise(mine)
     chosen = known.select(mine.alias("language"), "text").filter("language IS NOT NULL")
-    least = F.greatest(F.lit(2.0), F.lit(LEAST_SHARE) * F.element_at(F.array(*[F.lit(float(min(rows, counts[x]))) for x in names]), F.col("language") + 1))
     frequent = chosen.mapInArrow(_distinct, "language int, h long, n long").groupBy("language", "h").agg(F.sum("n").alias("n"))
-    load = frequent.filter((F.col("n") >= least) | (F.element_at(F.array(*[F.lit(counts[x]) for x in names]), F.col("language") + 1) < 200))
+    share = F.element_at(F.array(*[F.lit(LEAST_SHARE * min(rows, counts[x])) for x in names]), F.col("language") + 1)
+    load = frequent.filter(F.col("n") >= share + F.pmod(F.xxhash64("h"), F.lit(_SPOTS)) / F.lit(_SPOTS))
     spots = load.select("language", F.explode(F.array(F.col("h").bitwiseAND(CELLS - 1), F.shiftrightunsigned("h", 32).bitwiseAND(CELLS - 1))).alias("cell"))
-    masks = spots.groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, language))").alias("mask"))
-    # at most CELLS rows, as packed arrays
-    packed = masks.groupBy(F.pmod("cell", F.lit(16)).alias("p")).agg(F.collect_list("cell").alias("c"), F.collect_list("mask").alias("m"))
-    out = np.zeros(CELLS, np.uint64)
+    word = F.floor(F.col("language") / LANGUAGES).cast("int")
+    masks = spots.groupBy(word.alias("word"), "cell").agg(F.expr(f"bit_or(shiftleft(1L, language % {LANGUAGES}))").alias("mask"))
+    # at most CELLS rows for each 64 languages, as packed arrays
+    packed = masks.groupBy("word", F.pmod("cell", F.lit(16)).alias("p")).agg(F.collect_list("cell").alias("c"), F.collect_list("mask").alias("m"))
+    out = np.zeros((-(-len(names) // LANGUAGES), CELLS), np.uint64)
     for row in packed.toLocalIterator():
-        out[np.array(row.c)] = np.array(row.m, np.int64).view(np.uint64)
+        out[row.word, np.array(row.c)] = np.array(row.m, np.int64).view(np.uint64)
     return Filters(names, out, [counts[x] for x in names])
 
 
@@ -158,7 +162,7 @@ def _predicted(filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Filters(*filters.value)
         names = np.array([*ready.names, "und"], object)
-        for part in W.slices(batches, "text"):
+        for part in W.slices(batches, "text", size=SLICE):
             best, score = ready.predict(part.column("text"))
             letter = part.column("has_letter").to_numpy(zero_copy_only=False)
             best = np.where(letter, best, -1)
@@ -170,7 +174,7 @@ def _predicted(filters):
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, held_out, lang_pred, score: only the text decides; `und` without letters or languages."""
-    sent = docs.sparkSession.sparkContext.broadcast((filters.names, filters.masks, filters.documents))  # 8 MB, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast((filters.names, filters.masks, filters.documents))  # 8 MB for each 64 languages, whatever the input
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("has_letter"), "text")
     return rows.mapInArrow(_predicted(sent), "doc_id long, held_out boolean, lang_pred string, score double")
 

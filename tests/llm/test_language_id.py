@@ -86,3 +86,51 @@ def test_short_grams_are_those_of_the_text():
     want = [(n, g) for n, b in enumerate(whole) for k in range(1, L.GRAM) for g in [b[i:i + k] for i in range(len(b) - k + 1)]]
     code = np.array([(len(g) << 40) + int.from_bytes(g, "big") for _, g in want], np.uint64)
     assert sorted(zip(owner.tolist(), hashes.tolist())) == sorted(zip([n for n, _ in want], L.W.mixed(code).tolist()))
+
+
+def test_no_jump_between_199_and_200_documents(spark):
+    """One document more of a language changes next to nothing, at any size."""
+    sizes = (199, 200, 201)
+    texts = [(text("aa", 6), text("bb", 6)) for _ in range(max(sizes))]
+    new = [text(g, 3) + " " + text(h, 3) for g in ("aa", "bb") for h in ("aa", "bb") for _ in range(40)]
+    out = []
+    for n in sizes:
+        ids = [d for d in range(5000) if zlib.crc32(str(d).encode()) % 4 != 2][:2 * n]
+        rows = [(d, texts[k // 2][k % 2], ("aa", "bb")[k % 2]) for k, d in enumerate(ids)]
+        filters = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=10 ** 6)
+        out.append((filters.predict(pa.array(new)), int((filters.masks > 0).sum())))
+    (first, score), cells = out[0]
+    for (best, other), used in out[1:]:
+        assert (best == first).mean() >= 0.98 and np.abs(other - score).max() < 0.1
+        assert abs(used - cells) < 0.03 * cells
+
+
+def test_more_languages_than_bits(spark):
+    ids = [d for d in range(9000) if zlib.crc32(str(d).encode()) % 4 != 2]
+    words = {f"l{k:02d}": ["".join(random.Random(k * 10 + j).choices("abcdefghijklmnop", k=7)) for j in range(6)] for k in range(70)}
+    make = lambda g: " ".join(rng.choice(words[g]) for _ in range(8))
+    rows = [(d, make(g), g) for d, g in zip(ids, [g for g in words for _ in range(5)])]
+    filters = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.masks.shape == (2, L.CELLS)
+    best, _ = filters.predict(pa.array([make(g) for g in words]))
+    assert [filters.names[b] for b in best] == list(words)
+
+
+def test_verdict_as_with_plain_sets(spark):
+    """Counts of n-grams found in sets, without filters and corrections, give the same languages."""
+    known = [(d, g, t) for d, g, t in ROWS if zlib.crc32(str(d).encode()) % 4 != 2]
+    have = {g: {} for g in SYLLABLES}
+    for d, g, t in known:
+        for h in set(L.grams(pa.array([t]))[0].tolist()):
+            have[g][h] = have[g].get(h, 0) + 1
+    size = {g: sum(x == g for _, x, _ in known) for g in have}
+    code = [(g, h - (1 << 64) if h >> 63 else h, n) for g in have for h, n in have[g].items()]
+    part = {(r.g, r.h): r.n >= L.LEAST_SHARE * size[r.g] + r.u for r in spark.createDataFrame(code, "g string, h long, n long").selectExpr(
+        "*", f"pmod(xxhash64(h), {L._SPOTS}) / {L._SPOTS} AS u").collect()}
+    sets = {g: {h for h in have[g] if part[g, h - (1 << 64) if h >> 63 else h]} for g in have}
+    texts = [text(rng.choice(sorted(SYLLABLES)), rng.randint(2, 9)) for _ in range(200)]
+    filters = L.train(spark.createDataFrame([(d, t, g) for d, g, t in known], "doc_id long, text string, lang string"))
+    best, _ = filters.predict(pa.array(texts))
+    for t, b in zip(texts, best):
+        counts = {g: sum(h in sets[g] for h in L.grams(pa.array([t]))[0].tolist()) for g in have}
+        assert counts[filters.names[b]] == max(counts.values())
