@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbledger.functions import lists
+from curbledger.functions import lists, text
 from curbledger.functions.calendar import month_first, month_gap, month_key, month_last, shift_month, yrmo
 from curbledger.functions.text import json_quoted
 
@@ -121,21 +121,27 @@ def _bonus_text() -> Column:
     )
 
 
+def default_rate(config: DataFrame, name: str) -> Column:
+    """The whole part of a configured extra rate (NULL if there is none), as a scalar subquery."""
+    same = lambda c, value: text.match_key(F.col(c)) == value
+    rows = config.filter(same("dict_key", "DATA") & same("grp_key", "SALARY_EX") & same("c_value1", name))
+    return rows.agg(F.max(F.col("c_value2").cast("double").cast("int"))).scalar()
+
+
 def calc_bonus(
     services: DataFrame,
     vehicle: DataFrame,
     suspended: DataFrame,
     worker_table: DataFrame,
     month: dt.date,
-    default_rotation: float,
-    default_waxing: float,
+    config: DataFrame,
     worker: int | None = None,
     limit: int | None = lists.PART_BYTES,
 ) -> DataFrame:
     """Bonus per worker with the license lists as JSON text.
 
     The personal rotation and waxing rates count only for workers with referrals; the default
-    rates are whole numbers, without their fraction.  A list of more than `limit` bytes goes on in
+    rates come from `config` and are whole numbers, without their fraction.  A list of more than `limit` bytes goes on in
     rows with part > 0, whose amounts are NULL.
     """
     ix = month_key(month)
@@ -156,14 +162,14 @@ def calc_bonus(
     )
     count = lambda c: F.coalesce(c, F.lit(0))
     pay = lambda cnt, rate, default: (
-        count(cnt) * F.coalesce(F.col(rate).cast("double"), F.lit(int(default)))
+        count(cnt) * F.coalesce(F.col(rate).cast("double"), default)
     ).cast("int")
     numbers = have.filter(~none).select(
         F.coalesce("worker", "_w").alias("worker"),
         count("bonus").cast("int").alias("bonus"), count("deduct").cast("int").alias("deduct"),
         count("total").cast("int").alias("total"),
-        count("rot_cnt").cast("int").alias("rot_cnt"), pay("rot_cnt", "sal_rot", default_rotation).alias("rot_sal"),
-        count("wax_cnt").cast("int").alias("wax_cnt"), pay("wax_cnt", "sal_wax", default_waxing).alias("wax_sal"),
+        count("rot_cnt").cast("int").alias("rot_cnt"), pay("rot_cnt", "sal_rot", default_rate(config, "ROTATION")).alias("rot_sal"),
+        count("wax_cnt").cast("int").alias("wax_cnt"), pay("wax_cnt", "sal_wax", default_rate(config, "WAXING")).alias("wax_sal"),
     )
 
     joined = rows.filter(F.col("kind") != "base").select(

@@ -12,7 +12,6 @@ from curbledger.plans.catalog import Query, Tables
 from curbledger.plans.monthly import ED, NOW, SD
 from curbledger.sources import seed
 
-ROTATION_RATE, WAXING_RATE = (float(value) for _, value, _ in seed.SALARY_EXTRA)
 MONTH = SD
 
 
@@ -104,11 +103,11 @@ tally AS (
   SELECT join_ix, worker, srv_plan, count(DISTINCT cd_license) FILTER (t = 'add') AS adds,
     count(DISTINCT cd_license) FILTER (t = 'base') AS bases, count(DISTINCT cd_license) FILTER (t = 'sub') AS subs
   FROM item GROUP BY ALL),
-rate(srv_plan, amount) AS (VALUES ('A', 400), ('B', 300), ('C', 200)),
 month_sum AS (
-  SELECT join_ix, worker, sum(adds * amount) AS bonus,
-    sum(subs * amount) + 100 * greatest(0, least(sum(bases) - 3, sum(subs))) AS deduct
-  FROM tally LEFT JOIN rate USING (srv_plan) GROUP BY ALL),
+  SELECT join_ix, t.worker, sum(adds * amount) AS bonus,
+    sum(subs * amount) + any_value(bonus_extra) * greatest(0, least(sum(bases) - 3, sum(subs))) AS deduct
+  FROM (SELECT tally.*, bonus_extra, map {'A': bonus_a, 'B': bonus_b, 'C': bonus_c}[srv_plan] AS amount FROM tally LEFT JOIN worker AS w ON uid = tally.worker) AS t
+  GROUP BY join_ix, t.worker),
 earned AS (SELECT worker, sum(bonus) AS bonus, sum(deduct) AS deduct FROM month_sum GROUP BY worker),
 listed AS (
   SELECT worker, string_agg(x, ',' ORDER BY x) FILTER (t = 'add') AS json_add, string_agg(x, ',' ORDER BY x) FILTER (t = 'sub') AS json_sub
@@ -242,7 +241,7 @@ result AS (
         "worker:long part:int bonus:int deduct:int total:int json_add:text json_sub:text rot_cnt:int rot_sal:int wax_cnt:int "
         "wax_sal:int json_rot:text json_wax:text",
         lambda t: bonus.calc_bonus(
-            t.vehicle_service, t.vehicle, t.suspended_service, t.worker, MONTH, ROTATION_RATE, WAXING_RATE
+            t.vehicle_service, t.vehicle, t.suspended_service, t.worker, MONTH, _config(t)
         ),
         ("vehicle_service", "vehicle", "suspended_service", "worker"), BONUS_SQL + BONUS_RESULT,
     ),

@@ -64,8 +64,8 @@ SELECT 1000000 + s_suppkey, s_name, 'WORKER', s_suppkey % 10 <> 9, NULL FROM sup
     "worker": """
 SELECT 1000000 + s_suppkey AS uid, concat('W', s_suppkey) AS worker_code,
   CASE WHEN s_suppkey % 4 = 0 THEN 210 END AS salary_a, CASE WHEN s_suppkey % 4 = 0 THEN 170 END AS salary_b,
-  CASE WHEN s_suppkey % 4 = 0 THEN 120 END AS salary_c, 400 AS bonus_a, 300 AS bonus_b, 200 AS bonus_c,
-  100 AS bonus_extra, CASE WHEN s_suppkey % 3 = 0 THEN 60 END AS sal_rot,
+  CASE WHEN s_suppkey % 4 = 0 THEN 120 END AS salary_c, 400 + s_suppkey % 3 * 10 AS bonus_a,
+  300 + s_suppkey % 4 * 5 AS bonus_b, 200 + s_suppkey % 2 * 20 AS bonus_c, 100 + s_suppkey % 5 * 10 AS bonus_extra, CASE WHEN s_suppkey % 3 = 0 THEN 60 END AS sal_rot,
   CASE WHEN s_suppkey % 3 = 0 THEN 20 END AS sal_wax FROM supplier""",
     "leave_t": f"""
 SELECT {_WORKER.format(key='user_id')} AS uid,

@@ -294,7 +294,9 @@ def _bonus(spark, make, *services):
         "uid long, bonus_a int, bonus_b int, bonus_c int, bonus_extra int, sal_rot int, sal_wax int",
     )
     gone = spark.createDataFrame([], "ix_yrmo int, cd_license string, srv_plan string, end_dtm date, worker long, is_terminate boolean")
-    return bonus.calc_bonus(make(*services), _cars(spark), gone, workers, D0, 50.0, 15.0).collect()
+    config = spark.createDataFrame([("data", "Salary_Ex ", "rotation", "50.9"), ("DATA", "SALARY_EX", "WAXING ", "15"), ("DATA", "SALARY", "WAXING", "9")],
+                                   "dict_key string, grp_key string, c_value1 string, c_value2 string")
+    return bonus.calc_bonus(make(*services), _cars(spark), gone, workers, D0, config).collect()
 
 
 def test_bonus_row_dropped_when_the_test_is_unknown(spark, make):
