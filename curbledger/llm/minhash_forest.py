@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbledger.functions.components import connected
+from curbledger.llm.components import connected
 from curbledger.llm import words as W
 from curbledger.session import near, stored
 
