@@ -46,6 +46,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op6_chat_format": OP6_SQL,
     "op11_prefix_trie": OP11_SQL,
-    "op12_page_text": _over(op12_page_text, "pages"),
     "op13_fill_middle": OP13_SQL,
 }
