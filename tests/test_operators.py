@@ -6,7 +6,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from curbledger.operators import billing, bonus, census, overdue, payroll, reconcile, schedule, settlement
+from curbledger.operators import billing, bonus, census, legacy, overdue, payroll, quality, reconcile, schedule, settlement
 from curbledger.sources import seed
 
 D0, D1 = dt.date(1998, 6, 1), dt.date(1998, 6, 30)
@@ -413,3 +413,12 @@ def test_a_master_row_without_a_plate_is_no_contact(spark):
     cars = spark.createDataFrame([(None, "x", "1"), ("AB1", "y", "2")], schema)
     changes = spark.createDataFrame([], schema)
     assert [r.cd_license for r in legacy.contact_candidates(changes, cars).collect()] == ["AB1"]
+
+
+def test_differences_read_each_side_once(make, payers, capsys):
+    """One join: at 6 GB the second one, with its distinct keys, shuffled all stored and computed bills again."""
+    computed = billing.calc_bills(make(service()), payers, D0, D1)
+    empty = computed.sparkSession.createDataFrame([], BILL)
+    reconcile.diff_bills(reconcile.stored_bills(empty, empty), computed).explain("extended")
+    logical = capsys.readouterr().out.split("== Analyzed Logical Plan ==")[1].split("== Optimized Logical Plan ==")[0]
+    assert logical.count("Join FullOuter") == 1 and "LeftAnti" not in logical
