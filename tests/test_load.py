@@ -89,3 +89,15 @@ def test_worker_lists(spark):
     accounts = spark.createDataFrame([(5, "old"), (6, "stays")], "id int, display_name string")
     named = legacy.renamed_workers(accounts, spark.createDataFrame([("W0050", "New"), ("none", "x")], load.NAMES), worker).collect()
     assert sorted((r.id, r.display_name) for r in named) == [(5, "New"), (6, "stays")]
+
+
+def test_contact_candidates_leave_the_change_records_behind(spark, tmp_path):
+    """The change records are read, cleaned and made distinct once; what follows reads the stored rows."""
+    car = "car_number string, customer_name string, customer_phone string"
+    folder = str(tmp_path / "changes")
+    spark.createDataFrame([("ａ 1", " n ", "t 12345678"), ("ａ 1", "n", "t 12345678"), ("B2", None, None), (" ", "x", "1")], car).write.parquet(folder)
+    changes = legacy.with_plate(legacy.normalized(spark.read.parquet(folder)))
+    cars = legacy.normalized(spark.createDataFrame([("A1", "m", "2"), ("c3", "m", None), (None, "m", "3")], car))
+    found = legacy.contact_candidates(changes, cars)
+    assert not [f for f in found.inputFiles() if folder in f]
+    assert sorted(map(tuple, found.collect())) == [("A1", "n", "t 12345678#"), ("B2", "", "#"), ("C3", "m", "#")]
