@@ -7,6 +7,7 @@ of texts are looked up, new ones are encoded, and arrays of ids are put together
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -48,11 +49,16 @@ class Encoder:
     def _looked_up(self, segments: list[bytes]) -> list[bytes]:
         found = list(map(self.known.get, segments))
         new = [s for s, f in zip(segments, found) if f is None]
-        fresh = {s: self.old[s] for s in new if s in self.old}
-        fresh |= self.learn([s for s in new if s not in fresh])
+        fresh = {s: self.old[s] for s in new if s in self.old} if self.old else {}
+        fresh |= self.learn([s for s in new if s not in fresh] if fresh else new)
         if len(self.known) >= KEEP:  # what is asked for again moves to the new generation
             self.old, self.known = self.known, {}
-        self.known.update([x for x in fresh.items() if len(x[0]) <= SHORT])
+        self.known |= fresh
+        for s in new:
+            if len(s) > SHORT:
+                del self.known[s]
+        if len(new) == len(segments):
+            return list(map(fresh.__getitem__, segments))
         return [fresh[s] if f is None else f for s, f in zip(segments, found)]
 
     def texts(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -69,28 +75,22 @@ class Encoder:
         if len(starts):
             pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(w.data.tobytes())])
             coded = pieces.dictionary_encode()
-            parts = self._looked_up(coded.dictionary.to_pylist())
-            which = coded.indices.to_numpy()
+            parts = pa.array(self._looked_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+            _, ends, body = parts.buffers()
+            upto = np.frombuffer(ends, np.int64, len(parts) + 1) // 2
+            ids = np.frombuffer(body, np.uint16, upto[-1]) if upto[-1] else np.zeros(0, np.uint16)
         else:
-            parts, which = [], np.zeros(0, np.int64)
-        pool = np.frombuffer(b"".join(parts), np.uint16)
-        sizes = np.array([len(p) // 2 for p in parts], np.int64)
-        begin = W.sums(sizes)
-        size = sizes[which] if len(which) else which
-        upto = W.sums(size)
-        ids = pool[np.arange(upto[-1]) + np.repeat(begin[which] - upto[:-1], size)]
+            upto, ids = np.zeros(1, np.int64), np.zeros(0, np.uint16)
         bounds = upto[np.searchsorted(starts, w.bounds)]
         if end is None:
             return ids, bounds
-        n = len(bounds) - 1
-        out = np.full(len(ids) + n, end, np.uint16)
-        out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
-        return out, bounds + np.arange(n + 1)
+        return np.insert(ids, bounds[1:], np.uint16(end)), bounds + np.arange(len(bounds))
 
 
 _SAFE = np.zeros(256, bool)  # first bytes of characters that are surely no white space
 _SAFE[0x21:0x7F] = _SAFE[0xC3:0xF5] = True
 _SAFE[[0xE1, 0xE2, 0xE3]] = False
+_SPACED = re.compile(rb" [^ \t-\r]").match  # segments that begin with one space and a word
 _PRINTED = np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
 
@@ -115,20 +115,19 @@ class ByteEncoder(Encoder):
 
     def learn(self, segments: list[bytes]) -> dict[bytes, bytes]:
         """New words with a space are encoded as one text, which has the same cuts, and parted by their bytes."""
-        out = {s: self.plain(s.decode()).tobytes() for s in segments if s[:1] != b" " or s[1:2].isspace() or len(s) > SHORT}
-        rest = [s for s in segments if s not in out]
+        alone = [s for s in segments if not _SPACED(s) or len(s) > SHORT]
+        out = {s: self.plain(s.decode()).tobytes() for s in alone}
+        rest = [s for s in segments if s not in out] if out else segments
         for at in range(0, len(rest), GROUP):
             part = rest[at:at + GROUP]
             ids = self.plain(b"".join(part).decode())
-            ends = np.cumsum([len(s) for s in part])
+            ends = np.cumsum(list(map(len, part)))
             reach = np.cumsum(self.lengths[ids])
             upto = np.minimum(np.searchsorted(reach, ends), len(reach) - 1)
             if not np.array_equal(reach[upto], ends):
                 raise AssertionError("segments do not part at their cuts")
-            data, begin = ids.tobytes(), 0
-            for s, end in zip(part, (2 * upto + 2).tolist()):
-                out[s] = data[begin:end]
-                begin = end
+            data, cuts = ids.tobytes(), (2 * upto + 2).tolist()
+            out.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
         return out
 
 
