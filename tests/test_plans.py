@@ -1,8 +1,13 @@
 """Physical plans: no nested loops, no Python, filters and columns reach the scan."""
 
+import glob
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from curbledger.plans.registry import REGISTRY
+from curbledger.session import CLEANUP, stored
 
 SMALL = "/root/testdata/sf0.001"
 LAZY = [
@@ -34,3 +39,18 @@ def test_census_dates_reach_both_scans(spark):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert any("GreaterThanOrEqual(end_dtm,1997-12-31)" in line and "LessThan(end_dtm,1998-06-30)" in line for line in pushed)
     assert any("GreaterThanOrEqual(end_dtm,1997-12-31)" in line and "LessThan(start_dtm,1998-06-30)" in line for line in pushed)
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    """A pipeline stage must not carry the shuffle files of the stages before it."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    rows = stored(spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).count())
+    for _ in range(50):  # files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(CLEANUP, None) == setting
+    assert rows.count() == 1000 and rows.count() == 1000
