@@ -15,7 +15,7 @@ from curbledger.llm.hilbert_packing import pack
 from curbledger.llm.minhash_forest import one_of_each
 from curbledger.llm.substring_dedup import remaining
 from curbledger.llm.weak_labels import good_documents
-from curbledger.session import stored
+from curbledger.session import discard, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(before)
     return docs

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbledger.llm.components import connected
+from curbledger.llm.components import connected, extended
 from curbledger.llm import words as W
-from curbledger.session import near, stored
+from curbledger.session import discard, near, stored
 
 TREES, DEPTH, TAIL = 20, 3, 8
 VALUES = TREES * DEPTH
@@ -168,7 +168,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, support): nodes that are near neighbours in some tree; support sums up the depths."""
+    """(a, b, support), stored: nodes that are near neighbours in some tree; support sums up the depths."""
     rows = nodes.mapInArrow(_trees, "region long, tail long, node binary")
     blocks = rows.repartitionByRange("region", "tail", "node").sortWithinPartitions("region", "tail", "node")
     found = stored(blocks.mapInArrow(_neighbours, "a binary, b binary, depth int, region long, tail long"))
@@ -177,10 +177,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
     edge = found.filter("b IS NULL").select("region", "tail", F.col("a").alias("node")).distinct()
     order = Window.partitionBy("region").orderBy("tail", "node")
     following = edge.withColumn("next", F.array(*[F.lead("node", d).over(order) for d in range(1, WIDTH + 1)]))
-    near = following.select(F.col("node").alias("a"), F.explode("next").alias("b"), F.lit(DEPTH).alias("depth")).filter(
+    over = following.select(F.col("node").alias("a"), F.explode("next").alias("b"), F.lit(DEPTH).alias("depth")).filter(
         "b IS NOT NULL")
-    return pairs.unionByName(near).filter("a <> b").groupBy(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("depth").alias("support"))
+    out = stored(pairs.unionByName(over).filter("a <> b").groupBy(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("depth").alias("support")))
+    discard(found)
+    return out
 
 
 def _confirm(size: int, percent: int):
@@ -195,25 +197,28 @@ def _confirm(size: int, percent: int):
             shared = np.bincount(owner[1:][(both[1:] == both[:-1]) & (owner[1:] == owner[:-1])], minlength=part.num_rows)
             union = np.diff(first) + np.diff(last) - shared
             linked = (100 * shared >= percent * union) & (union > 0)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked)], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "u", "v")), pa.array(linked)], ["a", "b", "u", "v", "linked"])
 
     return run
 
 
 def _open_regions(nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """(region, node, root, n) of regions of n > 2 nodes that are not all connected (two nodes were neighbours)."""
+    """(region, node, root, n), stored, of regions of n > 2 nodes that are not all connected (two nodes were neighbours)."""
     rooted = stored(nodes.select("node", "signature").join(label, "node", "left").select("node", "signature", F.coalesce("root", "node").alias("root")))
     rows = rooted.mapInArrow(_regions, "region long, node binary, root binary")
     parted = stored(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
                     .filter("n > 2 AND low <> high").select("region", "n"))
-    return stored(rows.join(near(parted, parted.count()), "region"))
+    out = stored(rows.join(near(parted, parted.count()), "region"))
+    discard(rooted, parted)
+    return out
 
 
 def _listed(members: DataFrame) -> DataFrame:
-    """(a, b): all pairs of nodes of different components in small regions."""
+    """(a, b, u, v): all pairs of nodes of different components in small regions, and their roots."""
     rows = members.filter(F.col("n") <= SMALL).groupBy("region").agg(F.collect_list(F.struct("node", "root")).alias("m"))
     both = rows.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
-    return both.filter("x.node < y.node AND x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return both.filter("x.node < y.node AND x.root <> y.root").select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("u"), F.col("y.root").alias("v")).distinct()
 
 
 def _blocked(members: DataFrame) -> DataFrame:
@@ -301,42 +306,53 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketches = stored(rows.mapInArrow(_sketch(shingle), "doc long, tag long, n_shingles long, node binary, signature binary"))
     some = sketches.filter("n_shingles > 0")
     nodes = stored(some.groupBy("node").agg(F.min(F.struct("doc", "tag")).alias("d"), F.first("signature").alias("signature")))
-    pairs = stored(candidates(nodes.select("node", "signature")))
+    tried = pairs = candidates(nodes.select("node", "signature"))
     wanted = nodes.select("node", "d.*").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     texts = stored(rows.join(wanted, ["doc", "tag"]).select("node", "text").dropDuplicates(["node"]))
 
     def confirmed(few: DataFrame) -> DataFrame:
-        both = few.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        """Of pairs (a, b), u and v (what a and b count as in links), and whether a and b are linked."""
+        both = few.select("a", "b", "u", "v").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return stored(both.mapInArrow(_confirm(shingle, percent), "a binary, b binary, linked boolean"))
+        return stored(both.mapInArrow(_confirm(shingle, percent), "a binary, b binary, u binary, v binary, linked boolean"))
 
-    tried = pairs.select("a", "b")
-    links = label = None
+    label = None
+    rest = pairs.withColumns({"u": F.col("a"), "v": F.col("b")})
     for turn in range(ROUNDS + 1):
-        if not pairs.limit(1).count():
+        if not rest.limit(1).count():
             break
-        few = pairs
+        few = rest
         if turn < ROUNDS:  # each node's best pair
-            best = pairs.select(F.struct("support", "a", "b").alias("p"), F.explode(F.array("a", "b")).alias("node")).groupBy(
+            best = rest.select(F.struct("support", "a", "b", "u", "v").alias("p"), F.explode(F.array("a", "b")).alias("node")).groupBy(
                 "node").agg(F.max("p").alias("p"))
-            few = best.select("p.a", "p.b").distinct()
+            few = best.select("p.a", "p.b", "p.u", "p.v").distinct()
         seen = confirmed(few)
-        new = seen.filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        label = stored(connected(links))
+        new = seen.filter("linked").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        label = connected(new) if label is None else extended(label, new)
         if turn < ROUNDS:
-            rest = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-            for side in ("a", "b"):
-                rest = rest.join(label.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left")
-            pairs = stored(rest.filter("_a IS NULL OR _b IS NULL OR _a <> _b").select("a", "b", "support"))
+            left = rest.select("a", "b", "support").join(near(seen.select("a", "b"), seen.count()), ["a", "b"], "left_anti")
+            n = label.count()
+            for side, root in (("a", "u"), ("b", "v")):
+                left = left.join(near(label.select(F.col("node").alias(side), F.col("root").alias(root)), n), side, "left").withColumn(
+                    root, F.coalesce(root, side))
+            rest = stored(left.filter("u <> v").select("a", "b", "support", "u", "v"))
+            if pairs is not tried:
+                discard(pairs)
+            pairs = rest
+        discard(seen)
+    if pairs is not tried:
+        discard(pairs)
     if label is not None:  # regions whose nodes are not all connected, whole
         members = _open_regions(nodes, label)
-        listed = stored(_listed(members).join(tried, ["a", "b"], "left_anti"))
+        listed = stored(_listed(members).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         blocks = _blocked(members).join(texts, "node").groupBy("region", "i", "j").applyInArrow(
             _compare(shingle, percent), "a binary, b binary")
-        new = stored(confirmed(listed).filter("linked").select("a", "b").unionByName(blocks))
+        seen = confirmed(listed)
+        new = stored(seen.filter("linked").select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(blocks))
         if new.limit(1).count():
-            label = stored(connected(links.unionByName(new)))
+            label = extended(label, new)
+        discard(members, listed, seen, new)
+    discard(tried, texts, nodes)
     if label is None:
         label = docs.sparkSession.createDataFrame([], "node binary, root binary")
     rooted = sketches.select("doc", "tag", "n_shingles", "node").join(label, "node", "left").withColumn(

@@ -1,5 +1,6 @@
 """Near-duplicate components against all pairs."""
 
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from curbledger.llm import minhash_forest as M
+from curbledger.session import ensure_checkpoint_dir
 
 
 def sets(text, size):
@@ -135,3 +137,13 @@ def test_unequal_words_of_equal_polynomials(spark, lead):
     rows = [(k, " ".join([*lead, "".join(letters[b] for b in bits)])) for k, letters in ((1, "ab"), (2, "ba"))]
     got = M.op3_minhash_forest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
+
+
+def test_rounds_leave_no_files(spark):
+    """The result reads the sketches, the labels and the groups' first documents; other steps' files go."""
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    docs = spark.createDataFrame(corpus(3, groups=4, size=6), "doc_id long, text string")
+    before = set(os.listdir(folder))
+    found = M.near_components(docs, shingle=4)
+    assert len(set(os.listdir(folder)) - before) <= 3
+    assert found.count() == docs.count()
